@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -123,28 +122,35 @@ def _matrix(sigs: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(sigs), np.uint32).reshape(-1, COORDINATES)
 
 
+KEEP = COORDINATES - MATCHES + 1
+
+
+def _prefix(sig: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and levels of all pairs of signatures in rows, and the coordinates of the KEEP rarest, rarest first."""
+    level = levels[_slots(sig)]
+    mixed = (sig.astype(np.uint64) + _SLOT_KEYS) * np.uint64(0xFF51AFD7ED558CCD)
+    keys = mixed ^ (mixed >> np.uint64(33))
+    order = np.argsort((level.astype(np.uint64) << np.uint64(56)) | (keys >> np.uint64(8)), axis=1, kind="stable")[:, :KEEP]
+    return keys.view(np.int64), level, order
+
+
 def postings(classes: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(key, salt, salts, cls): each class under its COORDINATES - MATCHES + 1 rarest pairs."""
+    """(key, salt, salts, coord, place, cls): each class under its KEEP rarest pairs."""
     table = classes.sparkSession.sparkContext.broadcast(levels)
-    keep = COORDINATES - MATCHES + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 2000):
                 batch = whole.slice(i, 2000)
                 cls = batch.column("cls")
-                sig = _matrix(batch.column("sig").to_pylist())
-                level = table.value[_slots(sig)].astype(np.uint64)
-                mixed = (sig.astype(np.uint64) + _SLOT_KEYS) * np.uint64(0xFF51AFD7ED558CCD)
-                keys = mixed ^ (mixed >> np.uint64(33))
-                order = np.argsort((level << np.uint64(56)) | (keys >> np.uint64(8)), axis=1, kind="stable")[:, :keep]
-                rows = np.repeat(np.arange(len(sig)), keep)
-                key = np.take_along_axis(keys, order, axis=1).ravel().view(np.int64)
+                keys, level, order = _prefix(_matrix(batch.column("sig").to_pylist()), table.value)
+                rows = np.repeat(np.arange(len(keys)), KEEP)
                 salts = np.maximum(1, (1 << np.take_along_axis(level, order, axis=1).ravel().astype(np.int64)) // BLOCK)
                 own = np.array([int.from_bytes(c.as_py()[:4], "little") for c in cls], np.int64)[rows]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array((own % salts).astype(np.int32)), pa.array(salts.astype(np.int32)), cls.take(pa.array(rows))], names=["key", "salt", "salts", "cls"])
+                place = np.tile(np.arange(KEEP, dtype=np.int32), len(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(np.take_along_axis(keys, order, axis=1).ravel()), pa.array((own % salts).astype(np.int32)), pa.array(salts.astype(np.int32)), pa.array(order.ravel().astype(np.int32)), pa.array(place), cls.take(pa.array(rows))], names=["key", "salt", "salts", "coord", "place", "cls"])
 
-    return classes.select("cls", "sig").mapInArrow(run, "key long, salt int, salts int, cls binary")
+    return classes.select("cls", "sig").mapInArrow(run, "key long, salt int, salts int, coord int, place int, cls binary")
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -194,9 +200,15 @@ def _full_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
     return own.mapInArrow(run, "cls binary, shingles binary").join(reps.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
 
 
-def _strays(lists: DataFrame, labels: DataFrame, classes: DataFrame, best_only: bool) -> DataFrame:
+#: In the rounds that seek one partner, a class looks in the lists of so many of its rarest pairs.
+FIRST_PLACES = 6
+
+
+def _strays(lists: DataFrame, labels: DataFrame, classes: DataFrame, levels: np.ndarray, best_only: bool) -> DataFrame:
     """Pairs that agree on MATCHES coordinates, of classes of one posting list in different components.
-    best_only: of each class with each other component in a block only the pair that agrees most."""
+    best_only: for each class outside its list's main component, the partner in a block that agrees most;
+    else all pairs, each from the list of the first coordinate under which both are posted."""
+    table = classes.sparkSession.sparkContext.broadcast(levels)
     comp = lists.join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     comp = materialize(comp)
     mixed = comp.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("root", "cls").alias("main")).where("lo != hi")
@@ -205,27 +217,71 @@ def _strays(lists: DataFrame, labels: DataFrame, classes: DataFrame, best_only:
     sig = classes.select(F.col("cls").alias("c"), "sig")
     rows = rows.join(sig, F.col("cls") == F.col("c")).drop("c")
     # strays meet every block of their list, and all members wait in their own block
-    stray = rows.where("root != main").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("side", F.lit(0))
-    both = rows.withColumn("side", F.lit(1)).unionByName(stray).select("key", "salt", "side", "cls", "root", "sig")
-
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        out: set[tuple[bytes, bytes]] = set()
-        if len(left) and len(right):
-            sr, cr, rr = _matrix(list(right.sig)), right.cls.to_numpy(), right.root.to_numpy()
-            for cls, root, sig in zip(left.cls, left.root, left.sig, strict=True):
-                same = (sr == np.frombuffer(sig, np.uint32)).sum(axis=1)
-                at = [i for i in np.flatnonzero(same >= MATCHES) if rr[i] != root]
-                if best_only:
-                    best: dict[bytes, int] = {}
-                    for i in at:
-                        if rr[i] not in best or (same[i], cr[i]) > (same[best[rr[i]]], cr[best[rr[i]]]):
-                            best[rr[i]] = i
-                    at = list(best.values())
-                out |= {(min(cls, cr[i]), max(cls, cr[i])) for i in at}
-        return pd.DataFrame(sorted(out), columns=["a", "b"])
-
-    return materialize(both.groupBy("key", "salt").applyInPandas(block, "a binary, b binary").distinct())
+    stray = rows.where("root != main")
+    if best_only:
+        stray = stray.where(F.col("place") < FIRST_PLACES)
+    stray = stray.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("side", F.lit(0))
+    both = rows.withColumn("side", F.lit(1)).unionByName(stray).select("key", "salt", "side", "coord", "cls", "root", "sig")
+    both = both.repartition("key", "salt").sortWithinPartitions("key", "salt")
+
+    def block(part: pa.Table) -> tuple[list[bytes], list[bytes]]:
+        side = part.column("side").to_numpy()
+        at_l, at_r = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(at_l) or not len(at_r):
+            return [], []
+        cls, sig, coord = part.column("cls").to_pylist(), _matrix(part.column("sig").to_pylist()), part.column("coord")[0].as_py()
+        root = np.unique(np.array(part.column("root").to_pylist(), dtype=object), return_inverse=True)[1]
+        posted = np.zeros(sig.shape, bool)
+        if not best_only:
+            np.put_along_axis(posted, _prefix(sig, table.value)[2], True, axis=1)
+        a, b = [], []
+        for i in range(0, len(at_l), 64):
+            own = at_l[i : i + 64]
+            agree = sig[own][:, None, :] == sig[at_r][None, :, :]
+            same = agree.sum(axis=2)
+            same[(same < MATCHES) | (root[own][:, None] == root[at_r][None, :])] = 0
+            if best_only:
+                x = np.flatnonzero(same.max(axis=1))
+                y = same[x].argmax(axis=1)
+            else:
+                x, y = np.nonzero(same)
+                earlier = (agree[x, y, :coord] & posted[own[x], :coord] & posted[at_r[y], :coord]).any(axis=1)
+                x, y = x[~earlier], y[~earlier]
+            for one, two in zip(own[x], at_r[y], strict=True):
+                a.append(min(cls[one], cls[two])), b.append(max(cls[one], cls[two]))
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in _and_none(batches):
+            if batch is not None:
+                if not batch.num_rows:
+                    continue
+                new = pa.Table.from_batches([batch])
+                held = pa.concat_tables([held, new]) if held is not None else new
+            if held is None:
+                continue
+            held = held.combine_chunks()
+            key, salt = held.column("key").to_numpy(), held.column("salt").to_numpy()
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
+            ends = np.r_[starts[1:], len(key)]
+            whole = len(starts) if batch is None else len(starts) - 1  # the last block may go on in the next batch
+            a, b = [], []
+            for lo, hi in zip(starts[:whole], ends[:whole], strict=True):
+                if hi - lo > 1:
+                    x, y = block(held.slice(lo, hi - lo))
+                    a += x
+                    b += y
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            held = held.slice(starts[-1]) if batch is not None else None
+
+    return materialize(both.mapInArrow(run, "a binary, b binary").distinct())
+
+
+def _and_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -241,7 +297,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     levels = frequencies(classes)
     posted = postings(classes, levels)
     many = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("centre")).where("n > 1")
-    lists = materialize(posted.join(many.select("key", "centre"), "key"))
+    lists = materialize(posted.join(many, "key"))
     # centre of the list with the centre of each block, centre of each block with its members
     blocks = materialize(lists.groupBy("key", "salt").agg(F.min("cls").alias("own"), F.min("centre").alias("centre"), F.max("salts").alias("salts")))
     within = lists.where("salts = 1").select(F.col("centre").alias("a"), F.col("cls").alias("b"))
@@ -251,11 +307,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = _agreeing(pairs, classes)
 
     links, done, sets, known = None, None, None, None
-    lists = lists.select("key", "salt", "salts", "cls")
-    for mode in ("centres", "best", "rest"):
+    # of a list with two members nothing is left to compare
+    lists = lists.where("n > 2").select("key", "salt", "salts", "coord", "place", "cls")
+    for mode in ("centres", "best", "best", "rest"):
         if mode != "centres":
-            pairs = _strays(lists, components(links), classes, best_only=mode == "best").join(done, ["a", "b"], "left_anti")
-            pairs = materialize(pairs)
+            pairs = _strays(lists, components(links), classes, levels, best_only=mode == "best").join(done, ["a", "b"], "left_anti")
+            pairs = materialize(pairs.join(done.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
+            if pairs.isEmpty():
+                continue
         wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
         wanted = wanted.join(classes.select("cls", "rep"), "cls")
         fresh = materialize(_full_sets(docs, wanted if known is None else wanted.join(known, "cls", "left_anti")))
