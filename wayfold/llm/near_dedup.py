@@ -135,7 +135,7 @@ def _prefix(sig: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def postings(classes: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(key, salt, salts, coord, place, cls): each class under its KEEP rarest pairs."""
+    """(key, salt, salts, coord, cls): each class under its KEEP rarest pairs."""
     table = classes.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,10 +147,9 @@ def postings(classes: DataFrame, levels: np.ndarray) -> DataFrame:
                 rows = np.repeat(np.arange(len(keys)), KEEP)
                 salts = np.maximum(1, (1 << np.take_along_axis(level, order, axis=1).ravel().astype(np.int64)) // BLOCK)
                 own = np.array([int.from_bytes(c.as_py()[:4], "little") for c in cls], np.int64)[rows]
-                place = np.tile(np.arange(KEEP, dtype=np.int32), len(keys))
-                yield pa.RecordBatch.from_arrays([pa.array(np.take_along_axis(keys, order, axis=1).ravel()), pa.array((own % salts).astype(np.int32)), pa.array(salts.astype(np.int32)), pa.array(order.ravel().astype(np.int32)), pa.array(place), cls.take(pa.array(rows))], names=["key", "salt", "salts", "coord", "place", "cls"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.take_along_axis(keys, order, axis=1).ravel()), pa.array((own % salts).astype(np.int32)), pa.array(salts.astype(np.int32)), pa.array(order.ravel().astype(np.int32)), cls.take(pa.array(rows))], names=["key", "salt", "salts", "coord", "cls"])
 
-    return classes.select("cls", "sig").mapInArrow(run, "key long, salt int, salts int, coord int, place int, cls binary")
+    return classes.select("cls", "sig").mapInArrow(run, "key long, salt int, salts int, coord int, cls binary")
 
 
 def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -186,6 +185,10 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(two.mapInArrow(run, "a binary, b binary"))
 
 
+#: So many doc_ids are sent to all executors to pick their texts; more are joined by shuffling the texts.
+BROADCAST_IDS = 1_000_000
+
+
 def _full_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(cls, shingles) of the classes in reps (cls, rep): the shingle sets of their first documents' texts."""
 
@@ -195,33 +198,43 @@ def _full_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
                 sets = [shingle_set(t).tobytes() for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["cls", "shingles"])
 
-    own = slim(docs, "doc_id", "text").join(reps.select(F.col("rep").alias("doc_id"), F.lit(1).alias("wanted")), "doc_id", "left_semi")
+    reps = materialize(reps)
+    ids = reps.select(F.col("rep").alias("doc_id"))
+    own = slim(docs, "doc_id", "text").join(F.broadcast(ids) if reps.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
     # a doc_id may stand on several rows: all their sets are made, one of each class stays
-    return own.mapInArrow(run, "cls binary, shingles binary").join(reps.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+    return materialize(own.mapInArrow(run, "cls binary, shingles binary").join(reps.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]))
 
 
-#: In the rounds that seek one partner, a class looks in the lists of so many of its rarest pairs.
-FIRST_PLACES = 6
+def _mixed(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of the lists that hold several components, with root, their class's component, and main, that of
+    the list's least class."""
+    comp = materialize(lists.join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+    mixed = comp.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("root", "cls").alias("main")).where("lo != hi")
+    return materialize(skew_join(comp, materialize(mixed.select(F.col("key").alias("k"), "main")), "key", "k").drop("k"))
+
 
+def _strays(rows: DataFrame, classes: DataFrame, sets: DataFrame, levels: np.ndarray) -> DataFrame:
+    """Links between classes of one list in different components, as many as join a block's components.
 
-def _strays(lists: DataFrame, labels: DataFrame, classes: DataFrame, levels: np.ndarray, best_only: bool) -> DataFrame:
-    """Pairs that agree on MATCHES coordinates, of classes of one posting list in different components.
-    best_only: for each class outside its list's main component, the partner in a block that agrees most;
-    else all pairs, each from the list of the first coordinate under which both are posted."""
+    Strays, the classes outside a list's main component, meet all members of all the list's blocks. Pairs
+    that agree on MATCHES coordinates, taken from the list of the first coordinate under which both are
+    posted, are compared on their sets (32 bits of each shingle's hash; the caller confirms on all bits).
+    Nothing leaves a block but links, at most one less than the components in it."""
     table = classes.sparkSession.sparkContext.broadcast(levels)
-    comp = lists.join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    comp = materialize(comp)
-    mixed = comp.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("root", "cls").alias("main")).where("lo != hi")
-    mixed = materialize(mixed.select(F.col("key").alias("k"), "main"))
-    rows = materialize(skew_join(comp, mixed, "key", "k").drop("k"))
-    sig = classes.select(F.col("cls").alias("c"), "sig")
-    rows = rows.join(sig, F.col("cls") == F.col("c")).drop("c")
-    # strays meet every block of their list, and all members wait in their own block
-    stray = rows.where("root != main")
-    if best_only:
-        stray = stray.where(F.col("place") < FIRST_PLACES)
-    stray = stray.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("side", F.lit(0))
-    both = rows.withColumn("side", F.lit(1)).unionByName(stray).select("key", "salt", "side", "coord", "cls", "root", "sig")
+    small = sets.select(F.col("cls").alias("d"), "shingles")
+    rows = rows.join(classes.select(F.col("cls").alias("c"), "sig"), F.col("cls") == F.col("c")).join(small, F.col("cls") == F.col("d")).drop("c", "d")
+
+    def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            short = pa.array([(np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for x in batch.column("shingles")], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _ROW), short], names=[*_ROW, "short"])
+
+    rows = rows.select(*_ROW, "shingles").mapInArrow(halve, "key long, salt int, salts int, coord int, cls binary, root binary, main binary, sig binary, short binary")
+    # a member waits in its own block; a stray also goes to all blocks of its list
+    own = F.struct(F.col("salt").alias("at"), F.lit(1).alias("side"))
+    all_blocks = F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda at: F.struct(at.alias("at"), F.lit(0).alias("side")))
+    places = F.when(F.col("root") != F.col("main"), F.concat(F.array(own), all_blocks)).otherwise(F.array(own))
+    both = rows.withColumn("p", F.explode(places)).select("key", F.col("p.at").alias("salt"), F.col("p.side").alias("side"), "coord", "cls", "root", "sig", "short")
     both = both.repartition("key", "salt").sortWithinPartitions("key", "salt")
 
     def block(part: pa.Table) -> tuple[list[bytes], list[bytes]]:
@@ -229,26 +242,44 @@ def _strays(lists: DataFrame, labels: DataFrame, classes: DataFrame, levels: np.
         at_l, at_r = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if not len(at_l) or not len(at_r):
             return [], []
-        cls, sig, coord = part.column("cls").to_pylist(), _matrix(part.column("sig").to_pylist()), part.column("coord")[0].as_py()
+        sig, coord = _matrix(part.column("sig").to_pylist()), part.column("coord")[0].as_py()
         root = np.unique(np.array(part.column("root").to_pylist(), dtype=object), return_inverse=True)[1]
         posted = np.zeros(sig.shape, bool)
-        if not best_only:
-            np.put_along_axis(posted, _prefix(sig, table.value)[2], True, axis=1)
-        a, b = [], []
+        np.put_along_axis(posted, _prefix(sig, table.value)[2], True, axis=1)
+        top = list(range(root.max() + 1))
+
+        def find(x: int) -> int:
+            while top[x] != x:
+                top[x] = x = top[top[x]]
+            return x
+
+        a, b, sets = [], [], None
         for i in range(0, len(at_l), 64):
             own = at_l[i : i + 64]
             agree = sig[own][:, None, :] == sig[at_r][None, :, :]
-            same = agree.sum(axis=2)
-            same[(same < MATCHES) | (root[own][:, None] == root[at_r][None, :])] = 0
-            if best_only:
-                x = np.flatnonzero(same.max(axis=1))
-                y = same[x].argmax(axis=1)
-            else:
-                x, y = np.nonzero(same)
-                earlier = (agree[x, y, :coord] & posted[own[x], :coord] & posted[at_r[y], :coord]).any(axis=1)
-                x, y = x[~earlier], y[~earlier]
-            for one, two in zip(own[x], at_r[y], strict=True):
-                a.append(min(cls[one], cls[two])), b.append(max(cls[one], cls[two]))
+            near = (agree.sum(axis=2) >= MATCHES) & (root[own][:, None] != root[at_r][None, :])
+            if not near.any():
+                continue
+            x, y = np.nonzero(near)
+            earlier = (agree[x, y, :coord] & posted[own[x], :coord] & posted[at_r[y], :coord]).any(axis=1)
+            near[x[earlier], y[earlier]] = False
+            if sets is None:
+                cls, raw = part.column("cls").to_pylist(), [np.frombuffer(v, np.uint32) for v in part.column("short").to_pylist()]
+                sizes = np.array([len(v) for v in raw])
+                ids = np.unique(np.concatenate(raw), return_inverse=True)[1]
+                ends = np.r_[0, np.cumsum(sizes)]
+                sets = [ids[ends[k] : ends[k + 1]] for k in range(len(raw))]
+                flags, flat, starts = np.zeros(ids.max() + 1, np.int32), np.concatenate([sets[k] for k in at_r]), np.r_[0, np.cumsum(sizes[at_r])[:-1]]
+            for k in np.flatnonzero(near.any(axis=1)):
+                one = own[k]
+                flags[sets[one]] = 1
+                common = np.add.reduceat(flags[flat], starts)
+                flags[sets[one]] = 0
+                for m in np.flatnonzero(near[k] & (100 * common >= PERCENT * (sizes[one] + sizes[at_r] - common))):
+                    p, q = find(root[one]), find(root[at_r[m]])
+                    if p != q:
+                        top[p] = q
+                        a.append(min(cls[one], cls[at_r[m]])), b.append(max(cls[one], cls[at_r[m]]))
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,6 +310,9 @@ def _strays(lists: DataFrame, labels: DataFrame, classes: DataFrame, levels: np.
     return materialize(both.mapInArrow(run, "a binary, b binary").distinct())
 
 
+_ROW = ("key", "salt", "salts", "coord", "cls", "root", "main", "sig")
+
+
 def _and_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
     yield from batches
     yield None
@@ -306,23 +340,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = materialize(within.unionByName(salted).unionByName(across).where("a != b").distinct())
     pairs = _agreeing(pairs, classes)
 
-    links, done, sets, known = None, None, None, None
+    reps = classes.select("cls", "rep")
+    ends = lambda p: p.select(F.col("a").alias("cls")).unionByName(p.select(F.col("b").alias("cls"))).distinct()
+    sets = _full_sets(docs, ends(pairs).join(reps, "cls"))
+    links = _confirm(pairs, sets)
     # of a list with two members nothing is left to compare
-    lists = lists.where("n > 2").select("key", "salt", "salts", "coord", "place", "cls")
-    for mode in ("centres", "best", "best", "rest"):
-        if mode != "centres":
-            pairs = _strays(lists, components(links), classes, levels, best_only=mode == "best").join(done, ["a", "b"], "left_anti")
-            pairs = materialize(pairs.join(done.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
-            if pairs.isEmpty():
-                continue
-        wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-        wanted = wanted.join(classes.select("cls", "rep"), "cls")
-        fresh = materialize(_full_sets(docs, wanted if known is None else wanted.join(known, "cls", "left_anti")))
-        sets = fresh if sets is None else sets.unionByName(fresh)
-        known = sets.select("cls")
-        found = _confirm(pairs, sets)
-        links = found if links is None else links.unionByName(found)
-        done = pairs if done is None else done.unionByName(pairs)
+    rows = _mixed(lists.where("n > 2").select("key", "salt", "salts", "coord", "cls"), components(links))
+    fresh = rows.select("cls").distinct().join(sets.select("cls"), "cls", "left_anti").join(reps, "cls")
+    sets = sets.unionByName(_full_sets(docs, fresh))
+    links = links.unionByName(_confirm(_strays(rows, classes, sets, levels), sets))
     labels = components(links).select(F.col("node").alias("cls"), "root")
     full = classes.join(labels, "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     full = materialize(full)
