@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.llm.byte_bpe import slices
@@ -26,6 +26,8 @@ from wayfold.llm.common import components, materialize, skew_join, slim
 SHINGLE, PERCENT, COORDINATES, MATCHES = 4, 80, 64, 34
 #: Slots of the table of frequencies by which pairs are ordered: its size doesn't depend on the input.
 SLOTS = 1 << 20
+#: So many ids are sent to all executors to pick their rows; more are joined by shuffling.
+BROADCAST_IDS = 1_000_000
 #: A posting list of a pair that n classes share is dealt out to n / BLOCK blocks.
 BLOCK = 512
 
@@ -169,7 +171,9 @@ def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links: pairs with 100 * intersection >= PERCENT * union of their full sets."""
-    s = sets.select(F.col("cls").alias("c"), "shingles")
+    ends = pairs.select(F.col("a").alias("e")).unionByName(pairs.select(F.col("b").alias("e"))).distinct()
+    few = pairs.count() <= BROADCAST_IDS // 4  # then only the sets at hand move
+    s = sets.select(F.col("cls").alias("c"), "shingles").join(F.broadcast(ends) if few else ends, F.col("c") == F.col("e"), "left_semi")
     one = materialize(skew_join(pairs, s, "b", "c").select("a", "b", F.col("shingles").alias("sb")))
     two = skew_join(one, s, "a", "c").select("a", "b", "sb", F.col("shingles").alias("sa"))
 
@@ -185,10 +189,6 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialize(two.mapInArrow(run, "a binary, b binary"))
 
 
-#: So many doc_ids are sent to all executors to pick their texts; more are joined by shuffling the texts.
-BROADCAST_IDS = 1_000_000
-
-
 def _full_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(cls, shingles) of the classes in reps (cls, rep): the shingle sets of their first documents' texts."""
 
@@ -213,23 +213,25 @@ def _mixed(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(skew_join(comp, materialize(mixed.select(F.col("key").alias("k"), "main")), "key", "k").drop("k"))
 
 
-def _strays(rows: DataFrame, classes: DataFrame, sets: DataFrame, levels: np.ndarray) -> DataFrame:
+def _strays(rows: DataFrame, classes: DataFrame, sets: DataFrame | None, levels: np.ndarray) -> DataFrame:
     """Links between classes of one list in different components, as many as join a block's components.
 
     Strays, the classes outside a list's main component, meet all members of all the list's blocks. Pairs
     that agree on MATCHES coordinates, taken from the list of the first coordinate under which both are
     posted, are compared on their sets (32 bits of each shingle's hash; the caller confirms on all bits).
-    Nothing leaves a block but links, at most one less than the components in it."""
+    Nothing leaves a block but links, at most one less than the components in it. Without sets: the keys k of
+    the lists in which any such pair is left to compare."""
     table = classes.sparkSession.sparkContext.broadcast(levels)
-    small = sets.select(F.col("cls").alias("d"), "shingles")
-    rows = rows.join(classes.select(F.col("cls").alias("c"), "sig"), F.col("cls") == F.col("c")).join(small, F.col("cls") == F.col("d")).drop("c", "d")
+    rows = rows.join(classes.select(F.col("cls").alias("c"), "sig"), F.col("cls") == F.col("c")).drop("c")
+    probe = sets is None
+    small = None if probe else sets.select(F.col("cls").alias("d"), "shingles")
 
     def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             short = pa.array([(np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for x in batch.column("shingles")], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _ROW), short], names=[*_ROW, "short"])
 
-    rows = rows.select(*_ROW, "shingles").mapInArrow(halve, "key long, salt int, salts int, coord int, cls binary, root binary, main binary, sig binary, short binary")
+    rows = rows.withColumn("short", F.lit(None).cast("binary")) if probe else rows.join(small, F.col("cls") == F.col("d")).select(*_ROW, "shingles").mapInArrow(halve, "key long, salt int, salts int, coord int, cls binary, root binary, main binary, sig binary, short binary")
     # a member waits in its own block; a stray also goes to all blocks of its list
     own = F.struct(F.col("salt").alias("at"), F.lit(1).alias("side"))
     all_blocks = F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda at: F.struct(at.alias("at"), F.lit(0).alias("side")))
@@ -253,7 +255,7 @@ def _strays(rows: DataFrame, classes: DataFrame, sets: DataFrame, levels: np.nda
                 top[x] = x = top[top[x]]
             return x
 
-        a, b, sets = [], [], None
+        a, b, held = [], [], None
         for i in range(0, len(at_l), 64):
             own = at_l[i : i + 64]
             agree = sig[own][:, None, :] == sig[at_r][None, :, :]
@@ -261,20 +263,25 @@ def _strays(rows: DataFrame, classes: DataFrame, sets: DataFrame, levels: np.nda
             if not near.any():
                 continue
             x, y = np.nonzero(near)
+            # the pair's first common list is another one
             earlier = (agree[x, y, :coord] & posted[own[x], :coord] & posted[at_r[y], :coord]).any(axis=1)
             near[x[earlier], y[earlier]] = False
-            if sets is None:
+            if probe:
+                if near.any():
+                    return [part.column("cls")[0].as_py()], [part.column("cls")[0].as_py()]
+                continue
+            if held is None:
                 cls, raw = part.column("cls").to_pylist(), [np.frombuffer(v, np.uint32) for v in part.column("short").to_pylist()]
                 sizes = np.array([len(v) for v in raw])
                 ids = np.unique(np.concatenate(raw), return_inverse=True)[1]
                 ends = np.r_[0, np.cumsum(sizes)]
-                sets = [ids[ends[k] : ends[k + 1]] for k in range(len(raw))]
-                flags, flat, starts = np.zeros(ids.max() + 1, np.int32), np.concatenate([sets[k] for k in at_r]), np.r_[0, np.cumsum(sizes[at_r])[:-1]]
+                held = [ids[ends[k] : ends[k + 1]] for k in range(len(raw))]
+                flags, flat, starts = np.zeros(ids.max() + 1, np.int32), np.concatenate([held[k] for k in at_r]), np.r_[0, np.cumsum(sizes[at_r])[:-1]]
             for k in np.flatnonzero(near.any(axis=1)):
                 one = own[k]
-                flags[sets[one]] = 1
+                flags[held[one]] = 1
                 common = np.add.reduceat(flags[flat], starts)
-                flags[sets[one]] = 0
+                flags[held[one]] = 0
                 for m in np.flatnonzero(near[k] & (100 * common >= PERCENT * (sizes[one] + sizes[at_r] - common))):
                     p, q = find(root[one]), find(root[at_r[m]])
                     if p != q:
@@ -297,17 +304,19 @@ def _strays(rows: DataFrame, classes: DataFrame, sets: DataFrame, levels: np.nda
             starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
             ends = np.r_[starts[1:], len(key)]
             whole = len(starts) if batch is None else len(starts) - 1  # the last block may go on in the next batch
-            a, b = [], []
+            of, a, b = [], [], []
             for lo, hi in zip(starts[:whole], ends[:whole], strict=True):
                 if hi - lo > 1:
                     x, y = block(held.slice(lo, hi - lo))
+                    of += [key[lo]] * len(x)
                     a += x
                     b += y
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["key", "a", "b"])
             held = held.slice(starts[-1]) if batch is not None else None
 
-    return materialize(both.mapInArrow(run, "a binary, b binary").distinct())
+    found = both.mapInArrow(run, "key long, a binary, b binary")
+    return materialize(found.select(F.col("key").alias("k")).distinct() if probe else found.select("a", "b").distinct())
 
 
 _ROW = ("key", "salt", "salts", "coord", "cls", "root", "main", "sig")
@@ -330,14 +339,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = materialize(docs_sketch.where("cls is not null").groupBy("cls").agg(F.min("sig").alias("sig"), F.min("doc_id").alias("rep")))
     levels = frequencies(classes)
     posted = postings(classes, levels)
-    many = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("centre")).where("n > 1")
-    lists = materialize(posted.join(many, "key"))
-    # centre of the list with the centre of each block, centre of each block with its members
-    blocks = materialize(lists.groupBy("key", "salt").agg(F.min("cls").alias("own"), F.min("centre").alias("centre"), F.max("salts").alias("salts")))
-    within = lists.where("salts = 1").select(F.col("centre").alias("a"), F.col("cls").alias("b"))
-    salted = lists.where("salts > 1").select("key", "salt", "cls").join(blocks.where("salts > 1").select("key", "salt", "own"), ["key", "salt"]).select(F.col("own").alias("a"), F.col("cls").alias("b"))
-    across = blocks.where("salts > 1").select(F.col("centre").alias("a"), F.col("own").alias("b"))
-    pairs = materialize(within.unionByName(salted).unionByName(across).where("a != b").distinct())
+    # blocks are bounded, so that one exchange and a window serve where an aggregate and a join would take two
+    block = Window.partitionBy("key", "salt")
+    lists = posted.withColumns({"n": F.count(F.lit(1)).over(block), "own": F.min("cls").over(block)}).where("n > 1 or salts > 1")
+    lists = materialize(lists)
+    # the centre of a block with its members, the centre of the list with those of its blocks
+    pairs = lists.select(F.col("own").alias("a"), F.col("cls").alias("b"))
+    blocks = materialize(lists.where("salts > 1").select("key", "own").distinct())
+    heads = blocks.groupBy("key").agg(F.min("own").alias("a"))
+    pairs = pairs.unionByName(blocks.join(heads, "key").select("a", F.col("own").alias("b")))
+    pairs = materialize(pairs.where("a != b").distinct())
     pairs = _agreeing(pairs, classes)
 
     reps = classes.select("cls", "rep")
@@ -345,7 +356,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = _full_sets(docs, ends(pairs).join(reps, "cls"))
     links = _confirm(pairs, sets)
     # of a list with two members nothing is left to compare
-    rows = _mixed(lists.where("n > 2").select("key", "salt", "salts", "coord", "cls"), components(links))
+    rows = _mixed(lists.where("n > 2 or salts > 1").select("key", "salt", "salts", "coord", "cls"), components(links))
+    rows = materialize(rows.join(_strays(rows, classes, None, levels), F.col("key") == F.col("k"), "left_semi"))
     fresh = rows.select("cls").distinct().join(sets.select("cls"), "cls", "left_anti").join(reps, "cls")
     sets = sets.unionByName(_full_sets(docs, fresh))
     links = links.unionByName(_confirm(_strays(rows, classes, sets, levels), sets))
