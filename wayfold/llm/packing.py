@@ -9,6 +9,7 @@ Executors then number the pieces of each length and look up their places.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -20,11 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from wayfold.llm.byte_bpe import slices
+from wayfold.llm.byte_bpe import byte_characters, slices
 from wayfold.llm.common import materialize, slim
 from wayfold.llm.token_cache import TokenCache
 
 TOKENIZER_FILE, CAPACITY, END_ID = "word_bpe_49k.json", 2048, 0
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[,.]?").fullmatch
 #: Pieces of one length are numbered in groups of about so many documents.
 GROUP_ROWS = 20_000
 
@@ -36,7 +38,22 @@ class WordTokenizer:
     def __init__(self, content: str):
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.encode_special_tokens = True
-        self.cache = TokenCache(lambda stretch: self.tokenizer.encode(stretch, add_special_tokens=False).ids)
+        self.model = self.tokenizer.model
+        self.chars = dict(enumerate(byte_characters()))
+        self.ends = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in ",."}
+        self.cache = TokenCache(self.encode_stretch)
+
+    def encode_stretch(self, stretch: str) -> list[int]:
+        """A plain Latin word, with a comma or stop or without, goes to the merges directly: lower-casing and
+        the byte characters are all that the tokenizer's other steps do to it."""
+        if PLAIN(stretch):
+            end = self.ends.get(stretch[-1])
+            word = (stretch[:-1] if end else stretch).lower()
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(self.chars)
+            ids = [t.id for t in self.model.tokenize(word)]
+            return ids + end if end else ids
+        return self.tokenizer.encode(stretch, add_special_tokens=False).ids
 
     def encode(self, text: str) -> array:
         return self.cache.ids(text.replace("\n", " ").split(" "))
