@@ -170,7 +170,9 @@ def find(docs: DataFrame) -> DataFrame:
     places = found.where("size(instances) > 0").select("row_key", F.explode("instances").alias("i")).where("not i.seed").select("row_key", "i.token", "i.start", "i.end")
     hits = skew_join(materialize(places.distinct()), new, "token", "t")
     added = hits.groupBy("row_key").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("start", "end"))), lambda s: F.concat(F.lit("id:"), s["start"], F.lit(":"), s["end"])), ",").alias("added"))
-    out = found.drop("instances").join(added, "row_key", "left")
+    # most rows have no instances and no key: they take no part in the join, where null keys would meet in a task
+    out = found.where("row_key is not null").drop("instances").join(added, "row_key", "left")
+    out = out.unionByName(found.where("row_key is null").drop("instances").withColumn("added", F.lit(None).cast("string")))
     spans = F.array_join(F.filter(F.array(F.col("base"), F.coalesce("added", F.lit(""))), lambda s: s != ""), ",")
     return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), spans.alias("spans"), "row_key")
 
