@@ -35,13 +35,23 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/wayfold-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
 
 
-def cleanup() -> None:
-    """Delete the tables that materialize() has written; run when results that read them are no longer needed."""
-    while _written:
-        spark, path = _written.pop()
+def tables_so_far() -> int:
+    return len(_written)
+
+
+def drop_tables(since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete the tables written after tables_so_far() gave `since`, but for those in keep (results of
+    materialize() that a caller still reads)."""
+    kept = {k.written_at for k in keep}
+    own, _written[since:] = _written[since:], [x for x in _written[since:] if x[1] in kept]
+    for spark, path in own:
+        if path in kept:
+            continue
         try:
             jvm = spark.sparkContext._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
@@ -50,6 +60,7 @@ def cleanup() -> None:
             return
 
 
+cleanup = drop_tables
 atexit.register(cleanup)
 
 
@@ -86,6 +97,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Keys should be hash-like: then a round removes a constant share of the nodes, so rounds grow with the
     logarithm of the input. The rounds' parent tables are composed backwards at the end.
     Self-edges and nulls are ignored; no edges give no rows."""
+    start = tables_so_far()
     e = materialize(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a != b").distinct())
     levels = []
     while not e.isEmpty():
@@ -98,11 +110,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     if not levels:
         return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     # in the last round both ends of every edge have one parent; a parent without edges in the next round is a root
-    roots = levels.pop().select("node", F.col("parent").alias("root"))
+    roots = materialize(levels.pop().select("node", F.col("parent").alias("root")))
     while levels:
         below = levels.pop()
         up = roots.select(F.col("node").alias("up"), "root")
         roots = materialize(skew_join(below, up, "parent", "up", "left").select("node", F.coalesce("root", "parent").alias("root")))
+    drop_tables(start, (roots,))
     return roots
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.llm.byte_bpe import slices
-from wayfold.llm.common import components, materialize, skew_join, slim
+from wayfold.llm.common import components, drop_tables, materialize, skew_join, slim, tables_so_far
 
 #: With 64 coordinates and Jaccard similarity 0.8, fewer than 34 agree with probability 3e-6.
 SHINGLE, PERCENT, COORDINATES, MATCHES = 4, 80, 64, 34
@@ -335,6 +335,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component and are not kept. Equal rows are one class, so of several rows with one doc_id and text all are
     kept or none. An empty table gives no rows."""
     spark = docs.sparkSession
+    start = tables_so_far()
     docs_sketch = materialize(sketch(docs))
     classes = materialize(docs_sketch.where("cls is not null").groupBy("cls").agg(F.min("sig").alias("sig"), F.min("doc_id").alias("rep")))
     levels = frequencies(classes)
@@ -366,6 +367,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     full = materialize(full)
     least = materialize(full.groupBy("root").agg(F.min("rep").alias("component_id")).withColumnRenamed("root", "r"))
     of_class = materialize(skew_join(full, least, "root", "r").select(F.col("cls").alias("c"), "component_id"))
+    drop_tables(start, (docs_sketch, of_class))
     out = skew_join(docs_sketch.select("doc_id", "n_shingles", "cls"), of_class, "cls", "c", "left")
     out = out.withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
