@@ -1,107 +1,253 @@
-"""Substring dedup by line and sentence hashing, with original offsets.
+"""Substring dedup by sentence and word-window hashing, with original offsets.
 
 Units are the sentences of each line (a line without sentence ends is one unit), normalised to lower-case
-letters and digits between single blanks. Digests of all units are grouped over the corpus; the occurrence
-with the smallest (doc_id, offset) stays and later ones go. Short units, which repeat by chance, go only where
-they lie between two removed ones, or next to one inside the same repeated passage.
+letters and digits between single blanks. Seeds are windows of WINDOW words, whatever sentences or lines they
+span: of every REACH + 1 consecutive windows the one with the least hash is one, so that a passage of
+WINDOW + REACH = 50 words shares at least a seed with its copy, and seeds within it leave no gap. Digests of units
+and seeds are grouped over the corpus; the occurrence with the smallest (doc_id, offset) stays and later ones
+go. A row of seeds that go is extended at both ends, word by word, as far as the text equals that around the
+kept occurrence. Short units, which repeat by chance, go only where they lie between two removed ones, or
+inside a repeated passage.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wayfold.llm.byte_bpe import slices
 from wayfold.llm.common import materialize, skew_join, slim
 
 #: Units of fewer words don't count as repeats by themselves.
 MIN_WORDS = 5
-UNIT = re.compile(r"[^\n.!?]+(?:[.!?]+(?!\s)[^\n.!?]+)*[.!?]*[^\S\n]*|[.!?]+[^\S\n]*")
-WORDS = re.compile(r"[^\W_]+")
+#: Words of a seed, and the most words by which a repeated passage goes on beyond its last seed.
+WINDOW, REACH = 26, 24
+UNIT = re.compile(r"[^\n.!?。！？]+(?:[.!?]+(?!\s)[^\n.!?。！？]+)*[.!?。！？]*[^\S\n]*|[.!?。！？]+[^\S\n]*")
+#: Scripts without blanks: each character is a token, two count as a word.
+DENSE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u309f\u30a1-\u30fa\u30fc-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORDS = re.compile(rf"[^\W_{DENSE}]+|[{DENSE}]")
+ONE_DENSE = re.compile(f"[{DENSE}]")
+#: What goes with the last word of a cut inside a unit.
+TAIL = re.compile(r"[^\w\s]*[^\S\n]*")
 
 
 def units(text: str) -> list[tuple[int, int, int, int]]:
     """(start, end, digest, words) of every unit with a word; in order, without overlaps."""
-    out = []
+    out, dense = [], ONE_DENSE.search(text) is not None
     for m in UNIT.finditer(text):
-        words = WORDS.findall(m[0].lower())
+        words = WORDS.findall(m[0])
         if words:
-            out.append((m.start(), m.end(), xxhash.xxh3_64_intdigest(" ".join(words)) - (1 << 63), len(words)))
+            n = len(words) - (len(ONE_DENSE.findall(m[0])) // 2 if dense else 0)
+            out.append((m.start(), m.end(), xxhash.xxh3_64_intdigest(" ".join(words).lower()) - (1 << 63), n))
     return out
 
 
+class _Hashes(dict):
+    """Word to the hash of its lower case."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = value = xxhash.xxh3_64_intdigest(word.lower())
+        return value
+
+
+_BASE = 0x9E3779B97F4A7C15
+_hashes = _Hashes()
+
+
+def _hashed(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def _rolling(a: np.ndarray, n: int, least: np.ufunc) -> np.ndarray:
+    """least over every n consecutive values."""
+    size = 1
+    while size < n:
+        step = min(size, n - size)
+        a = least(a[:-step], a[step:])
+        size += step
+    return a
+
+
+def seeds(words: list[str]) -> list[tuple[int, int]]:
+    """(place of the first word, digest) of the seeds. Texts of fewer than WINDOW + REACH words have none."""
+    n = len(words)
+    if n < WINDOW + REACH:
+        return []
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_hashed(words) * _powers(_BASE, n), dtype=np.uint64, out=sums[1:])
+    h = (sums[WINDOW:] - sums[:-WINDOW]) * _powers(pow(_BASE, -1, 1 << 64), n - WINDOW + 1)
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    least = _rolling(h, REACH + 1, np.minimum)
+    pad = np.zeros(REACH, np.uint64)
+    chosen = np.flatnonzero(_rolling(np.concatenate([pad, least, pad]), REACH + 1, np.maximum) == h)
+    return list(zip(chosen.tolist(), h[chosen].view(np.int64).tolist(), strict=True))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, row (tells rows with one doc_id apart) and text, of all texts with characters."""
+    return slim(docs, "doc_id", "text").where("text != ''").select("doc_id", F.xxhash64("text").alias("row"), "text")
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """A row per unit: doc_id, row (tells rows with one doc_id apart), unit, start, end, words, digest, and again:
-    whether the digest stands earlier in the same text."""
+    """A row per unit of MIN_WORDS words or more and per seed: doc_id, row, unit (of a seed: -1 - the place of its
+    first word), digest, and prior: where the digest stands first in the same text, if that is earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                out: list[list] = [[] for _ in range(8)]
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    if not text:
-                        continue
-                    row, seen = xxhash.xxh3_64_intdigest(text) - (1 << 63), set()
-                    for i, (a, b, digest, words) in enumerate(units(text)):
-                        for column, value in zip(out, (doc_id, row, i, a, b, words, digest, digest in seen), strict=True):
-                            column.append(value)
-                        seen.add(digest)
+                out: list[list] = [[] for _ in range(5)]
+                for doc_id, row, text in zip(part.column("doc_id").to_pylist(), part.column("row").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    own = [(i, u[2]) for i, u in enumerate(units(text)) if u[3] >= MIN_WORDS]
+                    own += [(-1 - i, digest) for i, digest in seeds(WORDS.findall(text))]
+                    seen: dict[int, int] = {}
+                    first = [seen.setdefault(digest, i) for i, digest in own]
+                    out[0] += [doc_id] * len(own)
+                    out[1] += [row] * len(own)
+                    out[2] += [i for i, _ in own]
+                    out[3] += [digest for _, digest in own]
+                    out[4] += [f if f != i else None for f, (i, _) in zip(first, own, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _TYPES, strict=True)], names=_NAMES)
 
-    return slim(docs, "doc_id", "text").mapInArrow(run, "doc_id long, row long, unit int, start int, end int, words int, digest long, again boolean")
+    return _keyed(docs).mapInArrow(run, "doc_id long, row long, unit int, digest long, prior int")
+
 
+_NAMES = ["doc_id", "row", "unit", "digest", "prior"]
+_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
 
-_NAMES = ["doc_id", "row", "unit", "start", "end", "words", "digest", "again"]
-_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
+
+def _with_text(docs: DataFrame, own: DataFrame) -> DataFrame:
+    """own (by doc_id and row) with the row's text; equal rows count once."""
+    own = own.withColumnsRenamed({"doc_id": "i", "row": "r"})
+    return _keyed(docs).join(own, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("row") == F.col("r"))).drop("i", "r")
+
+
+def _around(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """d, before, after: the hashes of up to REACH words on either side of kept seeds, nearest first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                out: list[list] = [[], [], []]
+                for text, places in zip(part.column("text").to_pylist(), part.column("places").to_pylist(), strict=True):
+                    h = _hashed(WORDS.findall(text))
+                    for p in places:
+                        at = p["pos"]
+                        out[0].append(p["d"])
+                        out[1].append(h[max(0, at - REACH) : at][::-1].tobytes())
+                        out[2].append(h[at + WINDOW : at + WINDOW + REACH].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["d", "before", "after"])
+
+    places = kept.groupBy("doc_id", "row").agg(F.collect_list(F.struct("d", "pos")).alias("places"))
+    return _with_text(docs, places).mapInArrow(run, "d long, before binary, after binary").dropDuplicates(["d"])
+
+
+def _cut(text: str, gone: list[int], found: list[dict]) -> tuple[int, int, list[tuple[int, int]]]:
+    """Units of which something goes, words that go, and the spans."""
+    tokens = [m.span() for m in WORDS.finditer(text)]
+    starts, out = [a for a, _ in tokens], bytearray(len(tokens))
+    h = _hashed([text[a:b] for a, b in tokens]) if any(s["before"] or s["after"] for s in found) else None
+    for s in found:
+        a, b = s["pos"], s["pos"] + WINDOW
+        for x in np.frombuffer(s["before"] or b"", np.uint64):
+            if not a or h[a - 1] != x:
+                break
+            a -= 1
+        for x in np.frombuffer(s["after"] or b"", np.uint64):
+            if b == len(tokens) or h[b] != x:
+                break
+            b += 1
+        if s["own"] is not None and s["pos"] - s["own"] < WINDOW:  # it overlaps its kept occurrence, which stays whole
+            a = max(a, s["own"] + WINDOW)
+        if a < b:
+            out[a:b] = b"\1" * (b - a)
+    parts = [(a, b, n, bisect_left(starts, a), bisect_left(starts, b)) for a, b, _, n in units(text)]
+    for i in gone:
+        _, _, _, p, q = parts[i]
+        out[p:q] = b"\1" * (q - p)
+    whole = [all(out[p:q]) for *_, p, q in parts]
+    i = 1
+    while i < len(parts):  # short units between removed ones
+        j = i
+        while j < len(parts) and not whole[j] and parts[j][2] < MIN_WORDS:
+            j += 1
+        if i < j < len(parts) and whole[i - 1] and whole[j]:
+            for *_, p, q in parts[i:j]:
+                out[p:q] = b"\1" * (q - p)
+            whole[i:j] = [True] * (j - i)
+        i = j + 1
+    spans: list[tuple[int, int]] = []
+    touched = 0
+    for (a, b, _, p, q), all_of_it in zip(parts, whole, strict=True):
+        cuts = [(a, b)] if all_of_it else []
+        while not all_of_it and (x := out.find(1, p, q)) >= 0:
+            p = y if (y := out.find(0, x, q)) >= 0 else q
+            cuts.append((starts[x], b if p == q else min(starts[p], TAIL.match(text, tokens[p - 1][1]).end())))
+        touched += bool(cuts)
+        for x, y in cuts:
+            if spans and spans[-1][1] == x:
+                x = spans.pop()[0]
+            spans.append((x, y))
+    return touched, sum(out), spans
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, row, spans (array of start, end) to remove, n_units and n_words of these, for each document
-    that has any. Of equal doc_ids the row with the smaller digest ranks first; a null doc_id ranks last."""
-    found = materialize(scan(docs))
-    long = found.where(F.col("words") >= MIN_WORDS)
-    rank = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    seen = long.select("digest", rank.alias("rank"), "again").groupBy("digest").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n"))
+    """doc_id, row, spans (array of start, end) to remove, n_units (of which something goes) and n_words of these,
+    for each document that has any. Of equal doc_ids the row with the smaller digest ranks first; a null doc_id
+    ranks last."""
+    found = materialize(scan(docs).withColumn("rank", F.coalesce("doc_id", F.lit((1 << 63) - 1))))
+    seen = found.groupBy("digest").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n"))
     seen = materialize(seen.where("n > 1").select(F.col("digest").alias("d"), "first"))
-    hits = materialize(skew_join(long.select("doc_id", "row", "unit", "digest", "again", rank.alias("rank")), seen, "digest", "d"))
+    hits = materialize(skew_join(found, seen, "digest", "d"))
     # among rows of one doc_id the least row digest has the first occurrence
     tied = hits.where("rank = first").groupBy("d").agg(F.min("row").alias("least"), F.max("row").alias("most")).where("least != most").select(F.col("d").alias("t"), "least")
     hits = hits.join(tied, F.col("d") == F.col("t"), "left")
-    gone = hits.where((F.col("rank") != F.col("first")) | F.col("again") | (F.col("least").isNotNull() & (F.col("row") != F.col("least"))))
-    by_doc = gone.groupBy("doc_id", "row").agg(F.collect_set("unit").alias("gone"))
-    # a document's own units come together only where some go
-    own = found.join(by_doc.select(F.col("doc_id").alias("i"), F.col("row").alias("r"), "gone"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("row") == F.col("r")))
-    own = own.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.struct("unit", "start", "end", "words"))).alias("units"), F.first("gone").alias("gone"))
+    hits = materialize(hits.select("doc_id", "row", "unit", "d", "prior", ((F.col("rank") == F.col("first")) & (F.col("least").isNull() | (F.col("row") == F.col("least")))).alias("here")))
+    gone = hits.where("not here or prior is not null")
+    pos = (-1 - F.col("unit")).alias("pos")
+    lost = gone.where("unit < 0").select("doc_id", "row", "d", pos, F.when(F.col("here"), -1 - F.col("prior")).alias("own")).distinct()
+    order = Window.partitionBy("doc_id", "row").orderBy("pos")
+    apart = lambda x: F.coalesce(x > WINDOW, F.lit(True))
+    lost = materialize(lost.withColumns({"left": apart(F.col("pos") - F.lag("pos").over(order)), "right": apart(F.lead("pos").over(order) - F.col("pos"))}))
+    # a row of seeds is extended from its ends only
+    ends = materialize(lost.where("left or right"))
+    kept = hits.where("unit < 0 and here and prior is null").join(ends.select("d").distinct(), "d", "left_semi").select("doc_id", "row", "d", pos).distinct()
+    around = materialize(_around(docs, kept)).withColumnRenamed("d", "k")
+    ends = skew_join(ends, around, "d", "k").withColumns({"before": F.when(F.col("left"), F.col("before")), "after": F.when(F.col("right"), F.col("after"))})
+    nothing = F.lit(None).cast("binary")
+    inner = lost.where("not left and not right").withColumns({"before": nothing, "after": nothing})
+    shape = ["doc_id", "row", F.lit(None).cast("int").alias("unit"), F.struct("pos", "own", "before", "after").alias("seed")]
+    every = ends.select(*shape).unionByName(inner.select(*shape))
+    every = every.unionByName(gone.where("unit >= 0").select("doc_id", "row", "unit", F.lit(None).cast(every.schema["seed"].dataType).alias("seed")))
+    by_doc = every.groupBy("doc_id", "row").agg(F.collect_set("unit").alias("gone"), F.collect_list("seed").alias("seeds"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                gone, parts = set(r["gone"]), r["units"]
-                for i, u in enumerate(parts):  # short units between removed ones
-                    if u["words"] < MIN_WORDS and i and parts[i - 1]["unit"] in gone:
-                        j = i
-                        while j < len(parts) and parts[j]["words"] < MIN_WORDS:
-                            j += 1
-                        if j < len(parts) and parts[j]["unit"] in gone:
-                            gone |= {x["unit"] for x in parts[i:j]}
-                spans: list[list[int]] = []
-                for u in parts:
-                    if u["unit"] in gone:
-                        if spans and spans[-1][1] == u["start"]:
-                            spans[-1][1] = u["end"]
-                        else:
-                            spans.append([u["start"], u["end"]])
-                rows.append({"doc_id": r["doc_id"], "row": r["row"], "n_units": len(gone), "n_words": sum(u["words"] for u in parts if u["unit"] in gone), "spans": [{"start": a, "end": b} for a, b in spans]})
-            yield pa.RecordBatch.from_pylist(rows, schema=_SPANS)
-
-    return own.mapInArrow(run, "doc_id long, row long, n_units long, n_words long, spans array<struct<start:int,end:int>>")
+            for part in slices(batch):
+                rows = []
+                for doc_id, row, text, gone, found in zip(*[part.column(c).to_pylist() for c in ("doc_id", "row", "text", "gone", "seeds")], strict=True):
+                    n_units, n_words, spans = _cut(text, gone, found)
+                    rows.append({"doc_id": doc_id, "row": row, "n_units": n_units, "n_words": n_words, "spans": [{"start": a, "end": b} for a, b in spans]})
+                yield pa.RecordBatch.from_pylist(rows, schema=_SPANS)
+
+    cut = _with_text(docs, by_doc).mapInArrow(run, "doc_id long, row long, n_units long, n_words long, spans array<struct<start:int,end:int>>")
+    return cut.where("n_units > 0").dropDuplicates(["doc_id", "row"])
 
 
 _SPANS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_units", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
@@ -115,15 +261,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     if "removed_spans" in docs.columns:
         raise ValueError("docs already has a column removed_spans")
     names = docs.columns
-    keyed = T.StructType([*docs.schema.fields, T.StructField("__row", T.LongType())])
-
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [xxhash.xxh3_64_intdigest(t) - (1 << 63) if t else None for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.int64())], names=[*names, "__row"])
-
     own = repeats(docs).select(F.col("doc_id").alias("__id"), F.col("row").alias("__r"), F.col("spans").alias("__spans"))
-    out = docs.mapInArrow(key, keyed).join(own, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__r")), "left")
+    out = docs.withColumn("__row", F.xxhash64("text")).join(own, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__r")), "left")
     out = out.withColumn("removed_spans", F.coalesce("__spans", F.array().cast("array<struct<start:int,end:int>>")))
     ends = F.transform(F.concat(F.array(F.lit(0)), F.transform("removed_spans", lambda s: s["end"])), lambda e, i: F.substring(F.col("text"), e + 1, F.coalesce(F.get(F.col("removed_spans"), i)["start"], F.length("text")) - e))
     return out.withColumn("text", F.when(F.size("removed_spans") > 0, F.array_join(ends, "")).otherwise(F.col("text"))).select(*names, "removed_spans")
