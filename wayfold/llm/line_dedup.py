@@ -1,9 +1,8 @@
 """Fuzzy line dedup: MinHash over character shingles, banding, exact Jaccard, union-find; one line stays of each
 component, the first by (doc_id, line).
 
-A line's shingles are its runs of WIDTH characters. Signatures use those that start at a word (one in some
-six; in lines of hardly any blanks, all); verification uses all. A character beyond the first 65,536 code points
-counts as two. Equal lines are one class.
+A line's shingles are its runs of WIDTH characters (a shorter line: itself); signatures and verification use all
+of them. A character beyond the first 65,536 code points counts as two. Equal lines are one class.
 Bands post a class under BANDS keys of two minima each: at similarity 0.8 some key is shared with probability
 1 - 0.36^5 = 0.994, at 0.9 with 0.9998. In each list the members are compared with its centre; then, within lists
 that still hold several components, the least members of these with each other's members.
@@ -53,11 +52,8 @@ def _minima(lines: DataFrame) -> DataFrame:
     """(key, minima): the signature of each class. Equal lines become one before the exchange; the minima are then
     taken where the line's row already is."""
     once = lines.groupBy("key").agg(F.first("own").alias("own"))
-    blanks = F.length("own") - F.length(F.replace(F.col("own"), F.lit(" "), F.lit("")))
-    # scripts without blanks: all runs
-    units = once.select("key", _units(F.col("own")).alias("u"), (F.length("own") > 16 * (blanks + 1)).alias("dense"))
-    runs = units.select("key", "u", "dense", F.explode(F.expr("sequence(0, octet_length(u) div 2 - 1)")).alias("i"))
-    runs = runs.where(F.expr("i = 0 or dense or substring(u, 2 * i - 1, 2) = X'0020'"))
+    units = once.select("key", _units(F.col("own")).alias("u"))
+    runs = units.select("key", "u", F.explode(F.expr(f"sequence(0, greatest(0, octet_length(u) div 2 - {WIDTH}))")).alias("i"))
     hashes = runs.select("key", F.xxhash64(F.expr(f"substring(u, 2 * i + 1, {2 * WIDTH})")).alias("h"))
     minima = hashes.groupBy("key").agg(*[F.min(F.xxhash64("h", F.lit(i))).alias(f"m{i}") for i in range(BANDS * ROWS)])
     return minima.select("key", F.array(*[f"m{i}" for i in range(BANDS * ROWS)]).alias("minima"))
