@@ -60,7 +60,7 @@ def _edges(ids: DataFrame) -> DataFrame:
     firsts = ids.groupBy(F.floor(F.col("key") / GROUP_IDS).alias("g")).agg(F.min("key").alias("first_id"))
     firsts = materialize(firsts.withColumn("s", F.floor(F.col("g") / GROUP_IDS)))
     supers = firsts.groupBy("s").agg(F.max("g").alias("last_g"))
-    chain = Window.partitionBy(F.floor(F.col("s") / (1 << 40))).orderBy("s")  # one short list: ids / GROUP_IDS**2
+    chain = Window.partitionBy(F.lit(0)).orderBy("s")  # one short list: ids / GROUP_IDS**2, and the null ids' stand-in
     supers = supers.withColumns({"before": F.lag("last_g").over(chain)})
     supers = supers.withColumn("before", F.coalesce("before", F.max("last_g").over(Window.partitionBy(F.lit(0)))))
     inner = firsts.withColumn("prev", F.lag("g").over(Window.partitionBy("s").orderBy("g")))
