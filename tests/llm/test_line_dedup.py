@@ -1,5 +1,7 @@
 """Line dedup: signatures of near-equal lines, links within a list."""
 
+import random
+
 from wayfold.llm import line_dedup
 
 LINE = "see https://example.org/archive/northern-water-board/annual-report for details of it"
@@ -11,3 +13,40 @@ def test_lines_of_few_blanks_sample_alike(spark):
     one, two = (r.minima for r in line_dedup._minima(line_dedup.lines_of(docs)).collect())
     assert sum(x == y for x, y in zip(one, two, strict=True)) >= 8
     assert {r.doc_id: r.gone for r in line_dedup.removed(docs).collect()} == {2: [0]}
+
+
+def test_all_agreeing_pairs_of_a_list_are_compared(spark):
+    """Lines of many components share lists; the components are those of brute force over pairs on one list."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    base, lines = [word() for _ in range(24)], []
+    for _ in range(60):  # families that are less alike than the limit, of members that are more alike
+        own = base[:]
+        for at in rng.sample(range(24), 4):
+            own[at] = word()
+        for _ in range(3):
+            line = own[:]
+            line[rng.randrange(24)] = word()
+            lines.append(" ".join(line))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    keys = {r.key: r.own for r in line_dedup.lines_of(docs).collect()}
+    minima = line_dedup._minima(line_dedup.lines_of(docs))
+    on, m = {}, {r.key: r.minima for r in minima.collect()}
+    for r in line_dedup._bands(minima).collect():
+        on.setdefault(r.band, set()).add(r.key)
+    sets, parent = {k: {t[i : i + 8] for i in range(len(t) - 7)} for k, t in keys.items()}, {k: k for k in keys}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in {(a, b) for own in on.values() for a in own for b in own if a < b}:
+        if sum(x == y for x, y in zip(m[a], m[b], strict=True)) >= line_dedup.AGREE and 100 * len(sets[a] & sets[b]) >= line_dedup.PERCENT * len(sets[a] | sets[b]):
+            parent[find(a)] = find(b)
+    got, want = {}, {}
+    labels = {r.node: r.root for r in line_dedup.classes(docs).collect()}
+    for k in keys:
+        got.setdefault(labels.get(k, k), set()).add(k)
+        want.setdefault(find(k), set()).add(k)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))

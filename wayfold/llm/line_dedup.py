@@ -5,7 +5,9 @@ A line's shingles are its runs of WIDTH characters (a shorter line: itself); sig
 of them. A character beyond the first 65,536 code points counts as two. Equal lines are one class.
 Bands post a class under BANDS keys of two minima each: at similarity 0.8 some key is shared with probability
 1 - 0.36^5 = 0.994, at 0.9 with 0.9998. In each list the members are compared with its centre; then, within lists
-that still hold several components, the least members of these with each other's members.
+that still hold several components, the least members of these with each other's members; and at last every
+member outside a list's largest component with all members of other components, as far as their minima agree.
+So a pair on one list is missed only where fewer than AGREE minima agree.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ WIDTH, PERCENT, BANDS, ROWS = 8, 80, 5, 2
 AGREE = 4
 #: So many keys are sent to all executors to pick their lines; more are joined by shuffling the lines.
 BROADCAST_KEYS = 1_000_000
-#: Further rounds of comparisons within lists that hold several components.
+#: Further rounds of comparisons within lists that hold several components, to leave less for the full comparison.
 ROUNDS = 2
+#: Members of a list that the full comparison holds against each other in one place.
+BLOCK = 500
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -100,6 +104,23 @@ def _confirm(pairs: DataFrame, minima: DataFrame, docs: DataFrame) -> DataFrame:
     return sizes.where(100 * F.col("both") >= PERCENT * (F.col("n") + F.col("m") - F.col("both"))).select("a", "b")
 
 
+def _spanning(lists: DataFrame, labels: DataFrame, minima: DataFrame) -> DataFrame:
+    """Pairs (a, b) on one list that lie in different components and agree on AGREE minima. A list is dealt over
+    blocks of some BLOCK members by their keys; members outside its largest component go to all of them."""
+    named = labels.withColumnsRenamed({"node": "x"})
+    held = materialize(lists.join(named, F.col("key") == F.col("x"), "left").select("band", "key", F.coalesce("root", "key").alias("root")))
+    sizes = held.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+    several = sizes.groupBy("band").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    several = materialize(several.select(F.col("band").alias("l"), "main", F.ceil(F.col("n") / BLOCK).alias("blocks")))
+    held = materialize(skew_join(held, several, "band", "l").drop("l"))
+    held = materialize(skew_join(held, materialize(_of_ends(minima, held.select(F.col("key").alias("a"), F.col("key").alias("b")))).withColumnsRenamed({"key": "k"}), "key", "k").drop("k"))
+    members = held.select(F.col("band").alias("l"), F.pmod("key", "blocks").alias("block"), F.col("key").alias("other"), F.col("root").alias("its"), F.col("minima").alias("mb"))
+    strays = held.where("root != main").withColumn("own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    agree = sum(((F.get("minima", F.lit(i)) == F.get("mb", F.lit(i))).cast("int") for i in range(BANDS * ROWS)), F.lit(0))
+    met = strays.join(members, (F.col("band") == F.col("l")) & (F.col("own") == F.col("block")) & (F.col("root") != F.col("its")) & ((F.col("its") == F.col("main")) | (F.col("key") < F.col("other"))) & (agree >= AGREE))
+    return met.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(node, root) of the line classes that are linked with others."""
     start = tables_so_far()
@@ -130,6 +151,9 @@ def classes(docs: DataFrame) -> DataFrame:
         if found.isEmpty():
             break
         labels = components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
+    pairs = materialize(_spanning(lists, labels, minima).join(done, ["a", "b"], "left_anti"))
+    if not pairs.isEmpty():
+        labels = components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_confirm(pairs, minima, docs)))
     labels = materialize(labels)
     drop_tables(start, (labels,))
     return labels
