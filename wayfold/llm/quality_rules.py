@@ -1,7 +1,7 @@
 """Quality rules: word and line statistics, and robust multivariate outliers per language and source.
 
 The second part is a minimum-covariance-determinant (MCD) estimate: for each (lang, source) the mean and
-covariance of the three quarters of its documents that lie closest together, found by concentration steps.
+covariance of the three quarters of its documents that lie closest together, found by concentration steps from medians until its determinant stops falling.
 Every step is one aggregate over a small written table. Statistics are whole numbers (thousandths), so that
 sums are exact and the verdicts don't depend on the order of rows or on a retried task.
 """
@@ -21,8 +21,8 @@ WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 5, 10, 20
 #: documents agree would else reject the smallest difference.
 FEATURES = {"symbol_rate": 0.034, "word_length": 0.6, "upper_share": 0.04, "mark_rate": 0.06, "dup_lines": 0.12}
 SCALE = 1000
-#: Share of a group's documents that the estimate rests on; concentration steps; least documents of a group.
-CORE, STEPS, MIN_GROUP = 0.75, 3, 40
+#: Share of a group's documents that the estimate rests on; least documents of a group.
+CORE, MIN_GROUP = 0.75, 40
 #: The squared distance beyond which a document is an outlier: the 0.999 quantile of chi-square with 5
 #: degrees of freedom. Distances of short documents, whose statistics vary more, shrink by n / (n + SHORT).
 CUTOFF, SHORT = 20.52, 20
@@ -114,20 +114,38 @@ def _with_estimate(rows: DataFrame, estimate: DataFrame, keys: list[str], how: s
     return rows.join(F.broadcast(estimate) if small else estimate, keys, how)
 
 
+def _start(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """An estimate from the medians and the median absolute deviations, which less than half the rows can't drag."""
+    middle = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.median(f"f{i}").alias(f"m{i}") for i in range(P)]))
+    near = _with_estimate(rows, middle, keys).groupBy(*keys).agg(F.first("n").alias("n"), *[F.first(f"m{i}").alias(f"m{i}") for i in range(P)], *[F.median(F.abs(F.col(f"f{i}") - F.col(f"m{i}"))).alias(f"a{i}") for i in range(P)])
+    scale = lambda i: F.sqrt((1.4826 * F.col(f"a{i}")) ** 2 + F.lit(_FLOORS[i]))
+    return near.select(*keys, "n", *[f"m{i}" for i in range(P)], *[(scale(i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in _PAIRS])
+
+
 def mcd(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Robust location and Cholesky factor per key, of rows with f0..: concentration steps from the estimate
-    over all rows; each keeps the CORE share with the smallest distances (to a bucket of distances, which a
-    histogram finds exactly) and estimates again. The last covariance is scaled up for the cut tail."""
-    estimate = materialize(_moments(rows, keys))
-    for _ in range(STEPS):
-        near = _distance(_with_estimate(rows, estimate, keys)).withColumn("bucket", F.floor(F.log1p("d2") * 64).cast("int"))
+    """Robust location and Cholesky factor per key, of rows with f0..: concentration steps from medians; each keeps
+    the CORE share with the smallest distances (to a bucket of distances, which a histogram finds exactly) and
+    estimates again, until no group's determinant falls any more. Each group's least determinant counts, and a group
+    that is done takes no further step. The last covariance is scaled up for the cut tail."""
+    estimate = materialize(_start(rows, keys))
+    size = sum((F.log(F.col(f"l{i}{i}")) for i in range(P)), F.lit(0.0))
+    best, left = None, rows
+    while True:
+        near = _distance(_with_estimate(left, estimate, keys)).withColumn("bucket", F.floor(F.log1p("d2") * 64).cast("int"))
         counts = near.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("k"))
         order = Window.partitionBy(*keys).orderBy("bucket")
         counts = counts.withColumn("upto", F.sum("k").over(order)).withColumn("all", F.sum("k").over(Window.partitionBy(*keys)))
         limit = counts.where(F.col("upto") >= F.ceil(F.col("all") * CORE)).groupBy(*keys).agg(F.min("bucket").alias("most"))
         core = _with_estimate(near, materialize(limit), keys).where("bucket <= most")
-        estimate = materialize(_moments(core, keys))
-    return estimate
+        made = _moments(core.select(*rows.columns), keys).withColumn("size", size)
+        if best is None:
+            best = estimate = materialize(made)
+            continue
+        old = best.select(*keys, F.col("size").alias("was"))
+        estimate = materialize(made.join(old, keys).where(F.col("size") < F.col("was") - 1e-6).drop("was"))
+        if estimate.isEmpty():
+            return best.drop("size")
+        best = materialize(best.join(estimate, keys, "left_anti").unionByName(estimate))
 
 
 #: The variance of the nearest 75 % of a 5-dimensional normal sample, as a share of the whole's.
