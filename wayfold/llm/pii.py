@@ -1,9 +1,10 @@
 """Personal data: fixed patterns, and identifiers that bootstrapped contexts discover.
 
-The fixed patterns' matches are the seeds. Every token with digits is an instance; the words around it are
-its lexical patterns. Spark scores the bipartite graph: a pattern by the share of its instances that are
-known, an instance by its confident patterns, in a few rounds. Tokens that confident patterns point at and
-that the fixed patterns don't cover become spans of kind `id`.
+The fixed patterns' matches are the seeds. Every token of SHORTEST characters with DIGITS_LEAST digits or more is
+an instance; the words around it are its lexical patterns. Spark scores the bipartite graph: a pattern by its
+labelled instances, known ones against dates, times, amounts and failed card numbers (until they become known),
+an instance by its confident patterns, until nothing changes. Unlabelled instances count neither way. Tokens that
+confident patterns point at and that the fixed patterns don't cover become spans of kind `id`.
 """
 
 from __future__ import annotations
@@ -29,10 +30,13 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]+")
 
-#: An instance: a token of these lengths with that many digits. A pattern is believed from so many known
-#: distinct instances and such a share of known ones on; an instance from such a score on.
+#: An instance: a token of these lengths with that many digits. A pattern is believed from so many distinct seeds
+#: and such a share of known ones among its labelled ones on, with PRIOR more against it; an instance from such a score on.
 SHORTEST, LONGEST, DIGITS_LEAST = 6, 128, 4
-SUPPORT, CONFIDENT, ROUNDS = 3, 0.9, 3
+SUPPORT, CONFIDENT, PRIOR = 3, 0.9, 0.3
+#: Evidence against a pattern: dates, times, decimals, grouped thousands, dotted numbers, and runs of 16 digits or more (no
+#: seeds, so that they failed the cards' test).
+QUANTITY = re.compile(r"[0-9]{1,4}([-/.])[0-9]{1,2}\1[0-9]{1,4}(?:T[0-9:.]+Z?)?|[0-9]{1,2}(?::[0-9]{2}){1,2}|[0-9]+[.,][0-9]+|[0-9]{1,3}(?:[.,'][0-9]{3})+(?:[.,][0-9]+)?|[0-9]+(?:\.[0-9]+){2,}|[0-9](?:-?[0-9]){15,}")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -118,7 +122,7 @@ def _contexts(text: str, a: int, b: int) -> list[str]:
     return out
 
 
-FOUND = "row_key string, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, instances array<struct<token:binary,start:int,end:int,seed:boolean,patterns:array<string>>>"
+FOUND = "row_key string, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, instances array<struct<token:binary,start:int,end:int,seed:boolean,amount:boolean,patterns:array<string>>>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -132,7 +136,7 @@ def scan(docs: DataFrame) -> DataFrame:
                     text = text or ""
                     spans = base_spans(text)
                     joined = ",".join(f"{k}:{a}:{b}" for k in KINDS for a, b in spans[k])
-                    found = [{"token": hashlib.blake2b(t.encode(), digest_size=12).digest(), "start": a, "end": b, "seed": s, "patterns": p} for t, a, b, s, p in instances(text, spans)]
+                    found = [{"token": hashlib.blake2b(t.encode(), digest_size=12).digest(), "start": a, "end": b, "seed": s, "amount": not s and QUANTITY.fullmatch(t) is not None, "patterns": p} for t, a, b, s, p in instances(text, spans)]
                     key = hashlib.blake2b(f"{doc_id}:{text}".encode(), digest_size=16).hexdigest() if found else None
                     rows.append({"row_key": key, "doc_id": doc_id, **{f"n_{k}": len(spans[k]) for k in KINDS}, "base": joined, "instances": found})
                 yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
@@ -140,22 +144,28 @@ def scan(docs: DataFrame) -> DataFrame:
     return slim(docs, "doc_id", "text").mapInArrow(run, FOUND)
 
 
-_ARROW = pa.schema([("row_key", pa.string()), ("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base", pa.string()), ("instances", pa.list_(pa.struct([("token", pa.binary()), ("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_()), ("patterns", pa.list_(pa.string()))])))])
+_ARROW = pa.schema([("row_key", pa.string()), ("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base", pa.string()), ("instances", pa.list_(pa.struct([("token", pa.binary()), ("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_()), ("amount", pa.bool_()), ("patterns", pa.list_(pa.string()))])))])
 
 
 def bootstrap(found: DataFrame) -> DataFrame:
     """Tokens (digest, score) that confident patterns discover. Edges of the graph are distinct (pattern,
     token) pairs; a pattern's sums and a token's product are aggregates, so frequent words cost a row a task."""
-    own = found.select(F.explode("instances").alias("i")).select("i.token", "i.seed", F.explode("i.patterns").alias("pattern"))
-    edges = materialize(own.groupBy("pattern", "token").agg(F.max("seed").alias("seed")))
+    own = found.select(F.explode("instances").alias("i")).select("i.token", "i.seed", "i.amount", F.explode("i.patterns").alias("pattern"))
+    edges = materialize(own.groupBy("pattern", "token").agg(F.max("seed").alias("seed"), F.max("amount").alias("amount")))
+    # patterns without enough seeds are never believed
+    backed = edges.where("seed").groupBy("pattern").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= SUPPORT).select(F.col("pattern").alias("p"))
+    edges = materialize(skew_join(edges, materialize(backed), "pattern", "p").drop("p"))
     scores = materialize(edges.groupBy("token").agg(F.max(F.col("seed").cast("double")).alias("score")).select(F.col("token").alias("t"), "score"))
-    for _ in range(ROUNDS):
-        weighed = edges.join(scores, F.col("token") == F.col("t"))
-        patterns = weighed.groupBy("pattern").agg(F.sum(F.round("score", 6).cast("decimal(20,6)")).cast("double").alias("known"), F.count(F.lit(1)).alias("all"), F.sum(F.col("seed").cast("int")).alias("support"))
-        patterns = patterns.where(F.col("support") >= SUPPORT).select(F.col("pattern").alias("p"), (F.col("known") / (F.col("all") + 0.5)).alias("confidence")).where(F.col("confidence") >= CONFIDENT)
+    before = -1
+    # a known token stays known, as patterns only gain; so the number of known ones tells when nothing changes
+    while (known := scores.where(F.col("score") >= CONFIDENT).count()) != before:
+        before = known
+        weighed = edges.join(scores, F.col("token") == F.col("t")).withColumn("known", (F.col("score") >= CONFIDENT).cast("int"))
+        patterns = weighed.groupBy("pattern").agg(F.sum("known").alias("known"), F.sum((F.col("amount") & (F.col("known") == 0)).cast("int")).alias("against"))
+        patterns = patterns.select(F.col("pattern").alias("p"), (F.col("known") / (F.col("known") + F.col("against") + PRIOR)).alias("confidence")).where(F.col("confidence") >= CONFIDENT)
         believed = skew_join(edges, materialize(patterns), "pattern", "p")
-        reached = believed.groupBy("token").agg(F.max("seed").alias("seed"), F.max("confidence").alias("reach"))
-        scores = materialize(scores.select("t").join(reached, F.col("t") == F.col("token"), "left").join(edges.groupBy(F.col("token").alias("u")).agg(F.max("seed").alias("own")), F.col("t") == F.col("u")).select("t", F.when(F.col("own"), 1.0).otherwise(F.coalesce("reach", F.lit(0.0))).alias("score")))
+        reached = believed.groupBy("token").agg(F.max("confidence").alias("reach"))
+        scores = materialize(scores.join(reached, F.col("t") == F.col("token"), "left").select("t", F.greatest("score", F.coalesce("reach", F.lit(0.0))).alias("score")))
     seeds = edges.where("seed").select(F.col("token").alias("t")).distinct()
     return materialize(scores.where(F.col("score") >= CONFIDENT).join(seeds, "t", "left_anti"))
 
