@@ -47,7 +47,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_dedup", near_duplicates), ("pii", personal_data), ("packing", pack)]
 
-#: Signatures, iterations and tokenizers aren't SQL; tests/llm holds the stages against brute-force versions.
+#: Signatures, iterations and tokenizers aren't SQL; tests/llm has cases of the stages' operators, not of the whole.
 ORACLE_SQL = None
 
 

@@ -61,5 +61,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_line_dedup, op3_packing, op4_quality_rules, op5_near_dedup, op6_substring_dedup, op7_fingerprints, op8_pii, op9_license_scan, op10_quality_classifier)}
 
 #: None of the results is plain SQL: each rests on a tokenizer, a signature, an iteration or a trained model.
-#: tests/llm holds them against brute-force versions.
+#: tests/llm holds some against brute-force versions and has small cases of the others.
 ORACLES: dict[str, str] = {}
