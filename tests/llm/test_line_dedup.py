@@ -1,26 +1,122 @@
-"""Line dedup: signatures of near-equal lines, links within a list."""
+"""Line dedup against brute force: links of all lines, their components, and which lines go."""
 
 import random
+from collections import Counter, defaultdict
 
 from wayfold.llm import line_dedup
 
 LINE = "see https://example.org/archive/northern-water-board/annual-report for details of it"
 
 
-def test_lines_of_few_blanks_sample_alike(spark):
-    rows = [(1, LINE + "abcdefghijkl"), (2, LINE + "abcdefghijklm")]
+def _lines(rows):
+    """(doc_id, line, normalised text) by the docstrings' rules."""
+    return [(i, k, x) for i, t in rows for k, own in enumerate((t or "").split("\n")) if (x := own.strip(" \t\n\x0b\x0c\r").lower())]
+
+
+def _links(texts):
+    """All pairs of texts whose sets of 8-character runs have similarity 0.8 or more: a pair shares one of the
+    rarest runs of either, as many as the similarity lets differ, and one."""
+    sets = {x: {x[i : i + 8] for i in range(max(1, len(x) - 7))} for x in texts}
+    often = Counter(r for s in sets.values() for r in s)
+    posted, out = defaultdict(list), set()
+    for x in sorted(sets):
+        own = sorted(sets[x], key=lambda r: (often[r], r))[: len(sets[x]) // 5 + 1]
+        for y in {y for r in own for y in posted[r]}:
+            both = len(sets[x] & sets[y])
+            if 100 * both >= 80 * (len(sets[x]) + len(sets[y]) - both):
+                out.add((y, x))
+        for r in own:
+            posted[r].append(x)
+    return out
+
+
+def _top(texts, links):
+    parent = {x: x for x in texts}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a, b in links:
+        parent[find(a)] = find(b)
+    return {x: find(x) for x in texts}
+
+
+def _gone(rows, top):
+    first, out = {}, set()
+    for i, k, x in sorted(_lines(rows)):
+        if top[x] in first and first[top[x]] != (i, k):
+            out.add((i, k))
+        first.setdefault(top[x], (i, k))
+    return out
+
+
+def _compare(spark, rows):
+    """(share of brute force's links that stand within one component, found removals, brute force's)."""
+    texts = {x for *_, x in _lines(rows)}
+    links = _links(texts)
+    want = _top(texts, links)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    one, two = (r.minima for r in line_dedup._minima(line_dedup.lines_of(docs)).collect())
-    assert sum(x == y for x, y in zip(one, two, strict=True)) >= 8
-    assert {r.doc_id: r.gone for r in line_dedup.removed(docs).collect()} == {2: [0]}
+    key = {r.own: r.key for r in line_dedup.lines_of(docs).collect()}
+    assert set(key) == texts
+    linked = line_dedup._linked(docs)
+    label = {r.node: r.root for r in linked[2].collect()}
+    own = {x: label.get(key[x], key[x]) for x in texts}
+    assert all(len({want[x] for x in group}) == 1 for group in _groups(own)), "lines of two components joined"
+    got = {(r.doc_id, r.line) for r in line_dedup._gone(*linked).collect()}
+    assert got == _gone(rows, own)
+    return sum(own[a] == own[b] for a, b in links) / max(1, len(links)), got, _gone(rows, want)
+
 
+def _groups(top):
+    out = defaultdict(list)
+    for x, t in top.items():
+        out[t].append(x)
+    return out.values()
 
-def test_all_agreeing_pairs_of_a_list_are_compared(spark):
-    """Lines of many components share lists; the components are those of brute force over pairs on one list."""
+
+def test_a_corpus_against_brute_force(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    share, got, want = _compare(spark, rows)
+    assert share >= 0.99 and len(got & want) >= 0.995 * len(want)
+
+
+def test_chains_of_edited_lines_against_brute_force(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9)))
+    rows = []
+    for _ in range(60):
+        own = [word() for _ in range(rng.randrange(8, 30))]
+        for _ in range(14):  # each differs from the one before it in a word; the ends have little in common
+            own = own[:]
+            own[rng.randrange(len(own))] = word()
+            rows.append((rng.randrange(400), " ".join(own)))
+    by_doc = defaultdict(list)
+    for i, x in rows:
+        by_doc[i].append(x)
+    share, got, want = _compare(spark, [(i, "\n".join(x)) for i, x in by_doc.items()])
+    assert share >= 0.99 and len(got & want) >= 0.99 * len(want) and len(want) > 300
+
+
+def test_isolated_pairs_near_the_limit_are_found(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(1500):
+        x = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(rng.randrange(90, 400))).strip()
+        n = max(1, round(0.105 * len(x)) - 7)  # a changed stretch touches that many runs and seven more
+        at = rng.randrange(8, len(x) - n - 8)
+        rows += [(2 * i, x), (2 * i + 1, x[:at] + "".join(rng.choice("0123456789") for _ in range(n)) + x[at + n :])]
+    share, got, want = _compare(spark, rows)
+    assert len(want) > 1000 and share >= 0.985
+
+
+def test_lists_of_many_components(spark):
+    """Families that are less alike than the limit, of members that are more alike, share lists."""
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
     base, lines = [word() for _ in range(24)], []
-    for _ in range(60):  # families that are less alike than the limit, of members that are more alike
+    for _ in range(60):
         own = base[:]
         for at in rng.sample(range(24), 4):
             own[at] = word()
@@ -28,25 +124,18 @@ def test_all_agreeing_pairs_of_a_list_are_compared(spark):
             line = own[:]
             line[rng.randrange(24)] = word()
             lines.append(" ".join(line))
-    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    keys = {r.key: r.own for r in line_dedup.lines_of(docs).collect()}
-    minima = line_dedup._minima(line_dedup.lines_of(docs))
-    on, m = {}, {r.key: r.minima for r in minima.collect()}
-    for r in line_dedup._bands(minima).collect():
-        on.setdefault(r.band, set()).add(r.key)
-    sets, parent = {k: {t[i : i + 8] for i in range(len(t) - 7)} for k, t in keys.items()}, {k: k for k in keys}
+    share, got, want = _compare(spark, list(enumerate(lines)))
+    assert share >= 0.99 and got == want
+
+
+def test_lines_of_few_blanks(spark):
+    rows = [(1, LINE + "abcdefghijkl"), (2, LINE + "abcdefghijklm")]
+    assert {r.doc_id: r.gone for r in line_dedup.removed(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {2: [0]}
 
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
 
-    for a, b in {(a, b) for own in on.values() for a in own for b in own if a < b}:
-        if sum(x == y for x, y in zip(m[a], m[b], strict=True)) >= line_dedup.AGREE and 100 * len(sets[a] & sets[b]) >= line_dedup.PERCENT * len(sets[a] | sets[b]):
-            parent[find(a)] = find(b)
-    got, want = {}, {}
-    labels = {r.node: r.root for r in line_dedup.classes(docs).collect()}
-    for k in keys:
-        got.setdefault(labels.get(k, k), set()).add(k)
-        want.setdefault(find(k), set()).add(k)
-    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+def test_odd_rows(spark):
+    """Null and repeated ids, equal rows, blank lines, short lines and clashing column names."""
+    rows = [(None, "a line that stands here too", 1), (2, "a line that stands here too\n\n \n", 1), (2, "a line that stands here too\n\n \n", 1), (3, "ab\nab\nabc", None), (4, None, 1), (5, "", 1), (6, "한국어 \U0001f600\n한국어 \U0001f600 ", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone int")
+    out = sorted(((r.doc_id or 9, r.text, r.gone) for r in line_dedup.remove_lines(docs).collect()), key=repr)
+    assert out == sorted([(9, "", 1), (2, "a line that stands here too\n\n \n", 1), (2, "a line that stands here too\n\n \n", 1), (3, "ab\nabc", None), (4, None, 1), (5, "", 1), (6, "한국어 \U0001f600", 1)], key=repr)

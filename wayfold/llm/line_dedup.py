@@ -1,160 +1,164 @@
 """Fuzzy line dedup: MinHash over character shingles, banding, exact Jaccard, union-find; one line stays of each
 component, the first by (doc_id, line).
 
-A line's shingles are its runs of WIDTH characters (a shorter line: itself); signatures and verification use all
-of them. A character beyond the first 65,536 code points counts as two. Equal lines are one class.
-Bands post a class under BANDS keys of two minima each: at similarity 0.8 some key is shared with probability
-1 - 0.36^5 = 0.994, at 0.9 with 0.9998. In each list the members are compared with its centre; then, within lists
-that still hold several components, the least members of these with each other's members; and at last every
-member outside a list's largest component with all members of other components, as far as their minima agree.
-So a pair on one list is missed only where fewer than AGREE minima agree.
+A line's shingles are its runs of WIDTH characters (a shorter line: itself); a character beyond the first 65,536
+code points counts as two. Equal lines are one class. Signatures are taken over all runs of WIDTH bytes of a line,
+which are its shingles but for letters of several bytes. Bands post a class under BANDS keys of ROWS minima each:
+at similarity 0.8 some key is shared with probability 1 - (1 - 0.8^3)^7 = 0.993, at 0.9 with 0.9999. In each list
+the members are compared with its centre, and then every member outside a list's largest component with all
+members of other components, as far as AGREE minima agree. So a pair on one list is missed only where fewer do.
+
+The functions run Spark jobs as they build their result: intermediate tables are written in the shared folder.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import components, drop_tables, materialize, skew_join, slim, tables_so_far
 from wayfold.llm.text_columns import BLANKS
 
-WIDTH, PERCENT, BANDS, ROWS = 8, 80, 5, 2
-#: Of the 10 minima so many have to agree; at similarity 0.8 fewer do with probability 9e-4, at 0.9 with 1e-5.
-AGREE = 4
-#: So many keys are sent to all executors to pick their lines; more are joined by shuffling the lines.
+WIDTH, PERCENT, BANDS, ROWS = 8, 80, 7, 3
+MINIMA = BANDS * ROWS
+#: A minimum is the least of the runs' hashes after an exclusive or with its constant: the run next to a random point.
+POINTS = [random.Random(f"minimum {i}").getrandbits(32) - (1 << 31) for i in range(MINIMA)]
+#: Of 21 minima, three bits of each, so many have to agree; at similarity 0.8 fewer do with probability 2e-4.
+AGREE = 10
+#: Neighbouring runs that the signature takes in one row.
+STEP = 16
+#: So many keys are sent to all executors to pick their lines or lists; more are joined by shuffling.
 BROADCAST_KEYS = 1_000_000
-#: Further rounds of comparisons within lists that hold several components, to leave less for the full comparison.
-ROUNDS = 2
 #: Members of a list that the full comparison holds against each other in one place.
 BLOCK = 500
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, line (from 0) and key, a 64-bit digest of the normalised line (lower case, blanks trimmed at the
-    ends), of all lines with a word."""
-    split = slim(docs, "doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "own"))
-    # the filter is on the trimmed line, so that lower case is made once a line
-    trimmed = F.btrim("own", F.lit(BLANKS))
-    own = split.where(trimmed != "").select("doc_id", "line", F.lower(trimmed).alias("own"))
+    """doc_id, line (from 0), own, the normalised line (lower case, blanks trimmed at the ends), and key, its 64-bit
+    digest, of all lines with a word."""
+    split = slim(docs, "doc_id", "text").select("doc_id", F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "own"))
+    # trimming walks through the line, so that only those with a blank at an end are trimmed
+    blank = (F.ascii("own") <= 32) | (F.substring(F.col("own").cast("binary"), -1, 1) <= F.unhex(F.lit("20")))
+    own = split.select("doc_id", "line", F.when(blank, F.btrim("own", F.lit(BLANKS))).otherwise(F.col("own")).alias("own")).where("own != ''")
     return own.select("doc_id", "line", F.xxhash64("own").alias("key"), "own")
 
 
-def _units(own: Column) -> Column:
-    """A line's characters, two bytes each (four beyond the first 65,536 code points), to find runs without
-    counting from the line's start."""
-    return F.encode(own, "UTF-16BE")
+def _rank() -> Column:
+    """Order of documents: a null doc_id comes last."""
+    return F.coalesce("doc_id", F.lit((1 << 63) - 1))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value computed once a row, however often lambdas within body refer to it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def signatures(lines: DataFrame) -> DataFrame:
+    """A row per class: key, n_lines, first_doc, bands and sketch, three bits of each minimum. A row of the aggregate
+    takes STEP runs, so that its buffers are touched once for these."""
+    bytes_of = lines.select("key", _rank().alias("rank"), F.col("own").cast("binary").alias("u")).withColumn("last", F.greatest(F.lit(1), F.octet_length("u") - (WIDTH - 1)))
+    starts = bytes_of.select("key", "rank", "u", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(STEP))).alias("i"))
+    # beyond the end the last run is taken again, which changes no minimum
+    hashes = starts.select("key", "rank", "i", *[F.hash(F.substring(F.col("u"), F.least(F.col("i") + k, F.col("last")), F.lit(WIDTH))).alias(f"h{k}") for k in range(STEP)])
+    minima = [F.min(F.least(*[F.col(f"h{k}").bitwiseXOR(F.lit(p)) for k in range(STEP)])).alias(f"m{i}") for i, p in enumerate(POINTS)]
+    made = hashes.groupBy("key").agg(F.count_if(F.col("i") == 1).alias("n_lines"), F.min("rank").alias("first_doc"), *minima)
+    bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
+    bits = [F.shiftleft(F.col(f"m{i}").bitwiseAND(F.lit(7)).cast("long"), 3 * i) for i in range(MINIMA)]
+    sketch = bits[0]
+    for b in bits[1:]:
+        sketch = sketch.bitwiseOR(b)
+    return made.select("key", "n_lines", "first_doc", bands.alias("bands"), sketch.alias("sketch"))
 
 
-def _minima(lines: DataFrame) -> DataFrame:
-    """(key, minima): the signature of each class. Equal lines become one before the exchange; the minima are then
-    taken where the line's row already is."""
-    once = lines.groupBy("key").agg(F.first("own").alias("own"))
-    units = once.select("key", _units(F.col("own")).alias("u"))
-    runs = units.select("key", "u", F.explode(F.expr(f"sequence(0, greatest(0, octet_length(u) div 2 - {WIDTH}))")).alias("i"))
-    hashes = runs.select("key", F.xxhash64(F.expr(f"substring(u, 2 * i + 1, {2 * WIDTH})")).alias("h"))
-    minima = hashes.groupBy("key").agg(*[F.min(F.xxhash64("h", F.lit(i))).alias(f"m{i}") for i in range(BANDS * ROWS)])
-    return minima.select("key", F.array(*[f"m{i}" for i in range(BANDS * ROWS)]).alias("minima"))
+def agreeing(a: str, b: str) -> Column:
+    """Minima whose three bits are equal in two sketches."""
+    x = F.col(a).bitwiseXOR(F.col(b))
+    differ = x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2)).bitwiseAND(F.lit(sum(1 << 3 * i for i in range(MINIMA))))
+    return MINIMA - F.bit_count(differ)
 
 
-def _bands(minima: DataFrame) -> DataFrame:
-    """(key, band): one row per class and band."""
-    keys = [F.xxhash64(F.lit(b), *[F.get("minima", F.lit(b * ROWS + r)) for r in range(ROWS)]) for b in range(BANDS)]
-    return minima.select("key", F.explode(F.array(*keys)).alias("band"))
+def _few(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has up to BROADCAST_KEYS rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
 
 
-def _shingle_set(own: str) -> Column:
-    """Hashes of all runs of WIDTH characters (a shorter line: itself)."""
-    units = _units(F.col(own))
-    last = F.octet_length(units).cast("int") / 2 - WIDTH
-    runs = _let(units, lambda u: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), last.cast("int"))), lambda i: F.xxhash64(F.substring(u, 2 * i + 1, F.lit(2 * WIDTH)))))
-    return F.array_distinct(runs)
+def _lists(classes: DataFrame) -> DataFrame:
+    """(band, centre, key, sketch): the lists of several classes. centre is the list's least key."""
+    posted = classes.select("key", "sketch", F.explode("bands").alias("band"))
+    many = posted.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("centre")).where("n > 1")
+    many = materialize(many.select(F.col("band").alias("l"), "n", "centre"))
+    if many.count() <= BROADCAST_KEYS:
+        return materialize(posted.join(F.broadcast(many), F.col("band") == F.col("l")).drop("l", "n"))
+    # the largest lists (so few that all executors can hold their names) are kept out of the exchange
+    largest = many.agg(F.sum("n")).first()[0] // BROADCAST_KEYS + BLOCK
+    hot = F.broadcast(many.where(F.col("n") > largest))
+    cold = posted.join(hot, F.col("band") == F.col("l"), "left_anti").join(many.where(F.col("n") <= largest), F.col("band") == F.col("l"))
+    return materialize(cold.unionByName(posted.join(hot, F.col("band") == F.col("l"))).drop("l", "n"))
 
 
-def _of_ends(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rows whose key stands in a pair; few keys are sent to where the rows are."""
-    keys = materialize(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct())
-    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "key", "left_semi")
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row, however often lambdas within body refer to it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _agreeing(pairs: DataFrame, minima: DataFrame) -> DataFrame:
-    """Pairs (a, b) that agree on AGREE minima; lines move for these only."""
-    m = materialize(_of_ends(minima, pairs)).withColumnsRenamed({"key": "k"})
-    one = materialize(skew_join(pairs, m, "b", "k").select("a", "b", F.col("minima").alias("mb")))
-    agree = sum(((F.get("minima", F.lit(i)) == F.get("mb", F.lit(i))).cast("int") for i in range(BANDS * ROWS)), F.lit(0))
-    return materialize(skew_join(one, m, "a", "k").where(agree >= AGREE).select("a", "b"))
+def shingle_set(own: str) -> Column:
+    """Hashes of all runs of WIDTH characters (a shorter line: itself), found in two-byte units."""
+    units = F.encode(F.col(own), "UTF-16BE")
+    last = F.octet_length(units).cast("int") / 2 - WIDTH
+    runs = _let(units, lambda u: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), last.cast("int"))), lambda i: F.xxhash64(F.substring(u, 2 * i + 1, F.lit(2 * WIDTH)))))
+    return F.array_distinct(runs)
 
 
-def _confirm(pairs: DataFrame, minima: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Links: pairs (a, b) whose shingle sets have Jaccard similarity of PERCENT or more. The lines move, being
     far smaller than their sets."""
-    pairs = _agreeing(pairs, minima)
-    own = _of_ends(lines_of(docs).select("key", "own"), pairs)
-    texts = materialize(own.groupBy("key").agg(F.first("own").alias("own"))).withColumnsRenamed({"key": "k"})
     one = materialize(skew_join(pairs, texts, "b", "k").select("a", "b", F.col("own").alias("ob")))
-    sets = skew_join(one, texts, "a", "k").select("a", "b", _shingle_set("own").alias("s"), _shingle_set("ob").alias("t"))
+    sets = skew_join(one, texts, "a", "k").select("a", "b", shingle_set("own").alias("s"), shingle_set("ob").alias("t"))
     # a written table, so that the sets are not made anew for every use of them
     sizes = materialize(sets.select("a", "b", F.size("s").alias("n"), F.size("t").alias("m"), F.size(F.array_intersect("s", "t")).alias("both")))
     return sizes.where(100 * F.col("both") >= PERCENT * (F.col("n") + F.col("m") - F.col("both"))).select("a", "b")
 
 
-def _spanning(lists: DataFrame, labels: DataFrame, minima: DataFrame) -> DataFrame:
+def _spanning(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs (a, b) on one list that lie in different components and agree on AGREE minima. A list is dealt over
     blocks of some BLOCK members by their keys; members outside its largest component go to all of them."""
     named = labels.withColumnsRenamed({"node": "x"})
-    held = materialize(lists.join(named, F.col("key") == F.col("x"), "left").select("band", "key", F.coalesce("root", "key").alias("root")))
+    held = materialize(lists.join(_few(named), F.col("key") == F.col("x"), "left").select("band", "key", "sketch", F.coalesce("root", "key").alias("root")))
     sizes = held.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-    several = sizes.groupBy("band").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    several = materialize(several.select(F.col("band").alias("l"), "main", F.ceil(F.col("n") / BLOCK).alias("blocks")))
+    several = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("root", "n").alias("main")).where("parts > 1")
+    # of a list of two the pair is already compared
+    several = materialize(several.where("all > 2").select(F.col("band").alias("l"), "main", F.ceil(F.col("all") / BLOCK).alias("blocks")))
     held = materialize(skew_join(held, several, "band", "l").drop("l"))
-    held = materialize(skew_join(held, materialize(_of_ends(minima, held.select(F.col("key").alias("a"), F.col("key").alias("b")))).withColumnsRenamed({"key": "k"}), "key", "k").drop("k"))
-    members = held.select(F.col("band").alias("l"), F.pmod("key", "blocks").alias("block"), F.col("key").alias("other"), F.col("root").alias("its"), F.col("minima").alias("mb"))
+    members = held.select(F.col("band").alias("l"), F.pmod("key", "blocks").alias("block"), F.col("key").alias("other"), F.col("root").alias("its"), F.col("sketch").alias("sb"))
     strays = held.where("root != main").withColumn("own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    agree = sum(((F.get("minima", F.lit(i)) == F.get("mb", F.lit(i))).cast("int") for i in range(BANDS * ROWS)), F.lit(0))
-    met = strays.join(members, (F.col("band") == F.col("l")) & (F.col("own") == F.col("block")) & (F.col("root") != F.col("its")) & ((F.col("its") == F.col("main")) | (F.col("key") < F.col("other"))) & (agree >= AGREE))
+    met = strays.join(members, (F.col("band") == F.col("l")) & (F.col("own") == F.col("block")) & (F.col("root") != F.col("its")) & ((F.col("its") == F.col("main")) | (F.col("key") < F.col("other"))) & (agreeing("sketch", "sb") >= AGREE))
     return met.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
 
 
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, classes, labels): doc_id, line, rank and key of all lines; a row per class; and (node, root) of the
+    classes that are linked with others."""
+    lines = lines_of(docs)
+    classes = materialize(signatures(lines))
+    lists = _lists(classes)
+    # the second and last pass over the texts: places of all lines, and the text of a class on some list
+    wanted = materialize(classes.join(_few(materialize(lists.select("key").distinct())), "key", "left_semi").select(F.col("key").alias("k"), "first_doc"))
+    rows = lines.withColumn("rank", _rank()).join(_few(wanted), F.col("key") == F.col("k"), "left")
+    rows = materialize(rows.select("doc_id", "line", "rank", "key", F.when(F.col("rank") == F.col("first_doc"), F.col("own")).alias("own")))
+    texts = materialize(rows.where("own is not null").select(F.col("key").alias("k"), "own").dropDuplicates(["k"]))
+    centres = lists.where("key = centre").select(F.col("band").alias("l"), F.col("sketch").alias("sb"))
+    pairs = skew_join(lists.where("key != centre"), centres, "band", "l").where(agreeing("sketch", "sb") >= AGREE)
+    pairs = materialize(pairs.select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct())
+    links = _confirm(pairs, texts)
+    labels = materialize(components(links))
+    more = materialize(_spanning(lists, labels).join(pairs, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        labels = materialize(components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_confirm(more, texts))))
+    return rows.select("doc_id", "line", "rank", "key"), classes, labels
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(node, root) of the line classes that are linked with others."""
     start = tables_so_far()
-    minima = materialize(_minima(lines_of(docs)))
-    bands = _bands(minima)
-    many = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("centre")).where("n > 1").select("band", "centre")
-    lists = materialize(bands.join(many, "band"))
-    pairs = materialize(lists.where("key != centre").select(F.least("centre", "key").alias("a"), F.greatest("centre", "key").alias("b")).distinct())
-    done, labels = pairs, components(_confirm(pairs, minima, docs))
-    for _ in range(ROUNDS):
-        # a list's components stand for themselves by their least member in it; each member meets those of
-        # the other components that come next to its own in order, and the centre's, already done
-        named = labels.withColumnsRenamed({"node": "x"})
-        held = lists.join(named, F.col("key") == F.col("x"), "left").select("band", "key", F.coalesce("root", "key").alias("root"))
-        held = materialize(held.select("key", "band", "root", F.xxhash64("band", "root").alias("part")))
-        heads = held.groupBy("band", "root").agg(F.min("key").alias("key"), F.first("part").alias("part"))
-        order = Window.partitionBy("band").orderBy("root")
-        nexts = heads.withColumns({"to": F.lead("key").over(order), "back": F.lag("key").over(order)})
-        # lists of one component have no next
-        nexts = materialize(nexts.select(F.col("part").alias("p"), F.array_compact(F.array("to", "back")).alias("others")).where("size(others) > 0"))
-        met = skew_join(held, nexts, "part", "p").select("key", F.explode("others").alias("other"))
-        pairs = met.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
-        pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            break
-        found = _confirm(pairs, minima, docs)
-        done = done.unionByName(pairs)
-        if found.isEmpty():
-            break
-        labels = components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
-    pairs = materialize(_spanning(lists, labels, minima).join(done, ["a", "b"], "left_anti"))
-    if not pairs.isEmpty():
-        labels = components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_confirm(pairs, minima, docs)))
-    labels = materialize(labels)
+    labels = _linked(docs)[2]
     drop_tables(start, (labels,))
     return labels
 
@@ -165,17 +169,24 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     Blank lines never go. Null and empty texts have no lines. A null doc_id ranks last; rows with one doc_id
     share their line numbers, so that of equal rows under one doc_id each keeps its first occurrences. An empty
     table gives no rows."""
-    labels = classes(docs)
-    rank = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    rows = materialize(lines_of(docs).select("doc_id", "line", "key", rank.alias("rank")))
-    own = skew_join(rows, labels, "key", "node", "left").select("doc_id", "line", "rank", F.coalesce("root", "key").alias("root"))
-    own = materialize(own)
-    # the least (doc_id, line) by two numeric aggregates with map-side combine
-    first = materialize(own.groupBy("root").agg(F.min("rank").alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("root").alias("r"), "first_doc"))
-    many = materialize(skew_join(own, first, "root", "r").drop("r"))
-    head = materialize(many.where("rank = first_doc").groupBy("root").agg(F.min("line").alias("first_line")).withColumnRenamed("root", "r"))
-    out = skew_join(many, head, "root", "r").where("rank != first_doc or line != first_line")
-    return out.select("doc_id", "line").distinct()
+    start = tables_so_far()
+    gone = _gone(*_linked(docs))
+    drop_tables(start, (gone,))
+    return gone
+
+
+def _gone(rows: DataFrame, own: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, line of all lines but the first of each component; takes what _linked gives."""
+    named = labels.select(F.col("node").alias("k"), "root")
+    roots = materialize(own.join(_few(named), F.col("key") == F.col("k"), "left").select("key", "n_lines", "first_doc", F.coalesce("root", "key").alias("root")).where("n_lines > 1 or root != key or k is not null"))
+    first = materialize(roots.groupBy("root").agg(F.sum("n_lines").alias("n"), F.min("first_doc").alias("first_doc")).where("n > 1").select(F.col("root").alias("r"), F.col("first_doc").alias("head_doc")))
+    of_key = materialize(skew_join(roots, first, "root", "r").select(F.col("key").alias("k"), "root", "head_doc"))
+    many = rows.join(F.broadcast(of_key), F.col("key") == F.col("k")) if of_key.count() <= BROADCAST_KEYS else skew_join(rows, of_key, "key", "k")
+    many = materialize(many.select("doc_id", "line", "rank", "root", "head_doc"))
+    near = many.where("rank = head_doc")
+    head = materialize(near.groupBy("root").agg(F.min("line").alias("head_line")).withColumnRenamed("root", "r"))
+    late = skew_join(near, head, "root", "r").where("line != head_line").select("doc_id", "line")
+    return materialize(many.where("rank != head_doc").select("doc_id", "line").unionByName(late).distinct())
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -184,10 +195,15 @@ def removed(docs: DataFrame) -> DataFrame:
 
 
 def remove_lines(docs: DataFrame) -> DataFrame:
-    """docs without the repeated lines, n_chars made anew where the table has it. All rows and columns stay; a
-    text that loses all its lines becomes empty; null texts stay null."""
-    gone = materialize(removed(docs)).withColumnsRenamed({"doc_id": "__id", "gone": "__gone"})
-    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    left = F.array_join(F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.when(~F.array_contains("__gone", i), x)), lambda x: x.isNotNull()), "\n")
-    out = out.withColumn("text", F.when(F.col("__gone").isNotNull() & F.col("text").isNotNull(), left).otherwise(F.col("text"))).select(docs.columns)
-    return out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType))) if "n_chars" in docs.columns else out
+    """docs without the repeated lines, n_chars made anew where the table has it. All rows and columns stay, whatever
+    their names; a text that loses all its lines becomes empty; null texts stay null."""
+    gone = materialize(removed(docs))
+    # the table's columns travel as one, so that none of them clashes with the join's own
+    out = docs.select(F.struct("*").alias("row")).join(gone, F.col("row.doc_id").eqNullSafe(F.col("doc_id")), "left")
+    left = F.array_join(F.filter(F.transform(F.split("row.text", "\n"), lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull()), "\n")
+    text = F.when(F.col("gone").isNotNull() & F.col("row.text").isNotNull(), left).otherwise(F.col("row.text"))
+    out = out.withColumn("text", text)
+    made = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.when(F.col("row.n_chars").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[made.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
