@@ -7,6 +7,7 @@ which are its shingles but for letters of several bytes. Bands post a class unde
 at similarity 0.8 some key is shared with probability 1 - (1 - 0.8^3)^7 = 0.993, at 0.9 with 0.9999. In each list
 the members are compared with its centre, and then every member outside a list's largest component with all
 members of other components, as far as AGREE minima agree. So a pair on one list is missed only where fewer do.
+The likeliest pair of every two components comes first, so that the pairs within a grown component need no look.
 
 The functions run Spark jobs as they build their result: intermediate tables are written in the shared folder.
 """
@@ -32,6 +33,8 @@ AGREE = 10
 STEP = 16
 #: So many keys are sent to all executors to pick their lines or lists; more are joined by shuffling.
 BROADCAST_KEYS = 1_000_000
+#: Rounds in which of any two components one pair is compared; what lies between components then is compared in full.
+ROUNDS = 3
 #: Members of a list that the full comparison holds against each other in one place.
 BLOCK = 500
 
@@ -129,8 +132,36 @@ def _spanning(lists: DataFrame, labels: DataFrame) -> DataFrame:
     held = materialize(skew_join(held, several, "band", "l").drop("l"))
     members = held.select(F.col("band").alias("l"), F.pmod("key", "blocks").alias("block"), F.col("key").alias("other"), F.col("root").alias("its"), F.col("sketch").alias("sb"))
     strays = held.where("root != main").withColumn("own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    met = strays.join(members, (F.col("band") == F.col("l")) & (F.col("own") == F.col("block")) & (F.col("root") != F.col("its")) & ((F.col("its") == F.col("main")) | (F.col("key") < F.col("other"))) & (agreeing("sketch", "sb") >= AGREE))
-    return met.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+    sure = agreeing("sketch", "sb")
+    met = strays.join(members, (F.col("band") == F.col("l")) & (F.col("own") == F.col("block")) & (F.col("root") != F.col("its")) & ((F.col("its") == F.col("main")) | (F.col("key") < F.col("other"))) & (sure >= AGREE))
+    met = met.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"), sure.alias("agree"))
+    return met.groupBy("a", "b").agg(F.first("agree").alias("agree"))
+
+
+def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """a, b, agree, ra, rb: the pairs whose ends lie in different components, and these."""
+    named = _few(labels)
+    for end, root in (("a", "ra"), ("b", "rb")):
+        pairs = pairs.drop(root).join(named.select(F.col("node").alias("x"), F.col("root").alias(root)), F.col(end) == F.col("x"), "left").withColumn(root, F.coalesce(root, end)).drop("x")
+    return materialize(pairs.where("ra != rb"))
+
+
+def _join_components(pairs: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """labels after all links among pairs."""
+    for k in range(ROUNDS + 1):
+        pairs = _between(pairs, labels)
+        if pairs.isEmpty():
+            break
+        if k < ROUNDS:
+            order = F.col("agree") * (1 << 48) + F.shiftrightunsigned(F.xxhash64("a", "b"), 16)
+            of_two = pairs.groupBy(F.least("ra", "rb").alias("p"), F.greatest("ra", "rb").alias("q"))
+            tried = materialize(of_two.agg(F.max_by("a", order).alias("a"), F.max_by("b", order).alias("b")).select("a", "b"))
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        else:
+            tried = pairs.select("a", "b")
+        found = _confirm(tried, texts)
+        labels = materialize(components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)))
+    return labels
 
 
 def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -149,9 +180,7 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     pairs = materialize(pairs.select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct())
     links = _confirm(pairs, texts)
     labels = materialize(components(links))
-    more = materialize(_spanning(lists, labels).join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        labels = materialize(components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_confirm(more, texts))))
+    labels = _join_components(materialize(_spanning(lists, labels).join(pairs, ["a", "b"], "left_anti")), labels, texts)
     return rows.select("doc_id", "line", "rank", "key"), classes, labels
 
 
