@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from wayfold.llm import byte_bpe, fingerprints, license_scan, line_dedup, near_dedup, packing, pii, quality_classifier, quality_rules, substring_dedup
+from wayfold.llm import byte_bpe, fingerprints, license_scan, line_dedup, near_dedup, packing, pii, quality_classifier, quality_rules
 from wayfold.llm.common import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, row string, words int, score double"
@@ -151,31 +151,6 @@ def test_line_dedup(spark, odd, empty):
     assert line_dedup.remove_lines(odd).count() == len(ODD) and line_dedup.remove_lines(empty).count() == 0
 
 
-def test_substring_dedup(spark, odd, empty):
-    p = "A passage of some length that stands here. It goes on for a second sentence of words! Short one. And then a third sentence closes it."
-    docs = spark.createDataFrame([(1, f"Start of one text here. {p} End."), (2, f"Another text begins with this. {p}"), (3, None)], "doc_id long, text string")
-    out = {r.doc_id: r for r in substring_dedup.remove_repeats(docs).collect()}
-    assert out[1].removed_spans == [] and out[2].text == "Another text begins with this. " and [tuple(s) for s in out[2].removed_spans] == [(31, 31 + len(p))]
-    assert substring_dedup.remove_repeats(odd).count() == len(ODD) and substring_dedup.remove_repeats(empty).count() == 0
-
-
-def test_substring_dedup_finds_passages_across_sentences_and_lines(spark):
-    rng = random.Random(11)
-    some = lambda k, n: " ".join(f"{k}{rng.randrange(10**6)}" for _ in range(n))
-    bare, tiny, cjk = some("p", 60), ". ".join(some("q", 3) for _ in range(20)), "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(60))
-    period = " ".join([some("z", 30)] * 4)
-    rows = [(1, f"{some('a', 40)} {bare} {some('b', 9)}"), (2, f"{some('c', 33)} {bare} {some('d', 51)}"), (3, f"{some('e', 30)}\n{tiny} {some('f', 30)}"), (4, f"{some('g', 8)} {tiny} {some('h', 17)}")]
-    rows += [(5, f"开始{cjk}结束"), (6, f"另外{cjk}完"), (7, period), (8, "这个句子在两处都有的。第一"), (9, "第二这里不同。这个句子在两处都有的。")]
-    out = {r.doc_id: r for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    texts = dict(rows)
-    assert all(out[i].text == texts[i] for i in (1, 3, 5, 8))
-    for i, passage in ((2, bare), (4, tiny), (6, cjk), (9, "这个句子在两处都有的。")):
-        at = texts[i].index(passage)
-        (a, b), = out[i].removed_spans
-        assert a == at and at + len(passage) <= b <= at + len(passage) + 1
-    assert out[7].text.split() == period.split()[:30]
-
-
 def test_fingerprints(docs, odd, empty):
     rows = {r.doc_id: r for r in fingerprints.fingerprints(docs).collect()}
     texts = sorted((r.doc_id, r.text) for r in docs.collect())

@@ -1,13 +1,15 @@
-"""Substring dedup by sentence and word-window hashing, with original offsets.
-
-Units are the sentences of each line (a line without sentence ends is one unit), normalised to lower-case
-letters and digits between single blanks. Seeds are windows of WINDOW words, whatever sentences or lines they
-span: of every REACH + 1 consecutive windows the one with the least hash is one, so that a passage of
-WINDOW + REACH = 50 words shares at least a seed with its copy, and seeds within it leave no gap. Digests of units
-and seeds are grouped over the corpus; the occurrence with the smallest (doc_id, offset) stays and later ones
-go. A row of seeds that go is extended at both ends, word by word, as far as the text equals that around the
-kept occurrence. Short units, which repeat by chance, go only where they lie between two removed ones, or
-inside a repeated passage.
+"""Substring dedup by line and word-window hashing, with original offsets.
+
+Units are lines (a paragraph of several lines goes line by line), normalised to lower-case letters and digits
+between single blanks. Those of MIN_WORDS words or more are hashed; shorter ones (greetings, headings, stock phrases)
+repeat in clean texts too and go only between two removed lines. So that a passage is found inside longer
+lines or across them as well, windows of WINDOW words are seeds, whatever lines they span: of every REACH + 1
+consecutive windows the one with the least hash is one, so that a passage of WINDOW + REACH = 50 words shares at
+least a seed with its copy, and seeds within it leave no gap. Digests of units and seeds are grouped over the
+corpus; the occurrence with the smallest (doc_id, offset) stays and later ones go. A row of seeds that go is extended
+at both ends, word by word, as far as the text equals that around the kept occurrence.
+
+The functions run Spark jobs as they build their result: intermediate tables are written in the shared folder.
 """
 
 from __future__ import annotations
@@ -25,28 +27,32 @@ from pyspark.sql import functions as F
 from wayfold.llm.byte_bpe import slices
 from wayfold.llm.common import materialize, skew_join, slim
 
-#: Units of fewer words don't count as repeats by themselves.
-MIN_WORDS = 5
+#: Lines of fewer words don't count as repeats by themselves.
+MIN_WORDS = 20
 #: Words of a seed, and the most words by which a repeated passage goes on beyond its last seed.
 WINDOW, REACH = 26, 24
-UNIT = re.compile(r"[^\n.!?。！？]+(?:[.!?]+(?!\s)[^\n.!?。！？]+)*[.!?。！？]*[^\S\n]*|[.!?。！？]+[^\S\n]*")
 #: Scripts without blanks: each character is a token, two count as a word.
 DENSE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3041-\u309f\u30a1-\u30fa\u30fc-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 WORDS = re.compile(rf"[^\W_{DENSE}]+|[{DENSE}]")
 ONE_DENSE = re.compile(f"[{DENSE}]")
+PLAIN_WORDS = re.compile(r"[^\W_]+")
 #: What goes with the last word of a cut inside a unit.
 TAIL = re.compile(r"[^\w\s]*[^\S\n]*")
 
 
-def units(text: str) -> list[tuple[int, int, int, int]]:
-    """(start, end, digest, words) of every unit with a word; in order, without overlaps."""
-    out, dense = [], ONE_DENSE.search(text) is not None
-    for m in UNIT.finditer(text):
-        words = WORDS.findall(m[0])
-        if words:
-            n = len(words) - (len(ONE_DENSE.findall(m[0])) // 2 if dense else 0)
-            out.append((m.start(), m.end(), xxhash.xxh3_64_intdigest(" ".join(words).lower()) - (1 << 63), n))
-    return out
+def lines(text: str) -> tuple[list[str], list[int], list[int], list[int]]:
+    """The text's words, and for each line its place, the words before it and the words it counts for."""
+    find = WORDS.findall if ONE_DENSE.search(text) else PLAIN_WORDS.findall
+    words: list[str] = []
+    starts, before, counts, at = [], [], [], 0
+    for line in text.split("\n"):
+        own = find(line)
+        starts.append(at)
+        before.append(len(words))
+        counts.append(len(own) if find is PLAIN_WORDS.findall else len(own) - sum(map(bool, map(ONE_DENSE.match, own))) // 2)
+        words += own
+        at += len(line) + 1
+    return words, starts, before, counts
 
 
 class _Hashes(dict):
@@ -83,21 +89,34 @@ def _rolling(a: np.ndarray, n: int, least: np.ufunc) -> np.ndarray:
     return a
 
 
-def seeds(words: list[str]) -> list[tuple[int, int]]:
-    """(place of the first word, digest) of the seeds. Texts of fewer than WINDOW + REACH words have none."""
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(31))
+    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def digests(words: list[str], before: list[int], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(unit, digest) of the lines of MIN_WORDS words or more (unit: the line's number), then of the seeds (-1 - the
+    place of the first word). Digests are polynomials over the words' hashes, by differences of running sums."""
     n = len(words)
-    if n < WINDOW + REACH:
-        return []
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_hashed(words) * _powers(_BASE, n), dtype=np.uint64, out=sums[1:])
-    h = (sums[WINDOW:] - sums[:-WINDOW]) * _powers(pow(_BASE, -1, 1 << 64), n - WINDOW + 1)
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(29)
+    inverse = _powers(_INVERSE, n + 1)
+    ends = np.array([*before[1:], n])
+    own = np.flatnonzero(np.array(counts) >= MIN_WORDS)
+    a, b = np.array(before)[own], ends[own]
+    # a line's digest takes its length in, so that it is no seed's
+    at_lines = _mixed((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+    if n < WINDOW + REACH:  # no passage of that length is in it
+        return own, at_lines.view(np.int64)
+    h = _mixed((sums[WINDOW:] - sums[:-WINDOW]) * inverse[: n - WINDOW + 1])
     least = _rolling(h, REACH + 1, np.minimum)
     pad = np.zeros(REACH, np.uint64)
     chosen = np.flatnonzero(_rolling(np.concatenate([pad, least, pad]), REACH + 1, np.maximum) == h)
-    return list(zip(chosen.tolist(), h[chosen].view(np.int64).tolist(), strict=True))
+    return np.concatenate([own, -1 - chosen]), np.concatenate([at_lines, h[chosen]]).view(np.int64)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -106,30 +125,31 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """A row per unit of MIN_WORDS words or more and per seed: doc_id, row, unit (of a seed: -1 - the place of its
-    first word), digest, and prior: where the digest stands first in the same text, if that is earlier."""
+    """A row per line of MIN_WORDS words or more and per seed: doc_id, row, unit (the line's number; of a seed: -1 -
+    the place of its first word), digest, and prior: where the digest stands first in the same text, if earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                out: list[list] = [[] for _ in range(5)]
-                for doc_id, row, text in zip(part.column("doc_id").to_pylist(), part.column("row").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    own = [(i, u[2]) for i, u in enumerate(units(text)) if u[3] >= MIN_WORDS]
-                    own += [(-1 - i, digest) for i, digest in seeds(WORDS.findall(text))]
-                    seen: dict[int, int] = {}
-                    first = [seen.setdefault(digest, i) for i, digest in own]
-                    out[0] += [doc_id] * len(own)
-                    out[1] += [row] * len(own)
-                    out[2] += [i for i, _ in own]
-                    out[3] += [digest for _, digest in own]
-                    out[4] += [f if f != i else None for f, (i, _) in zip(first, own, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _TYPES, strict=True)], names=_NAMES)
+                ids, rows = part.column("doc_id"), part.column("row")
+                sizes, units, found, priors = [], [], [], []
+                for text in part.column("text").to_pylist():
+                    words, _, before, counts = lines(text)
+                    unit, digest = digests(words, before, counts)
+                    _, first, back = np.unique(digest, return_index=True, return_inverse=True)
+                    prior = unit[first[back]] if len(digest) else unit
+                    sizes.append(len(unit))
+                    units.append(unit)
+                    found.append(digest)
+                    priors.append(np.where(prior == unit, _NONE, prior))
+                at = pa.array(np.repeat(np.arange(part.num_rows), sizes))
+                prior = np.concatenate(priors).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([ids.take(at), rows.take(at), pa.array(np.concatenate(units).astype(np.int32)), pa.array(np.concatenate(found)), pa.array(prior, mask=prior == _NONE)], names=["doc_id", "row", "unit", "digest", "prior"])
 
     return _keyed(docs).mapInArrow(run, "doc_id long, row long, unit int, digest long, prior int")
 
 
-_NAMES = ["doc_id", "row", "unit", "digest", "prior"]
-_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
+_NONE = np.iinfo(np.int32).min
 
 
 def _with_text(docs: DataFrame, own: DataFrame) -> DataFrame:
@@ -146,7 +166,7 @@ def _around(docs: DataFrame, kept: DataFrame) -> DataFrame:
             for part in slices(batch):
                 out: list[list] = [[], [], []]
                 for text, places in zip(part.column("text").to_pylist(), part.column("places").to_pylist(), strict=True):
-                    h = _hashed(WORDS.findall(text))
+                    h = _hashed(lines(text)[0])
                     for p in places:
                         at = p["pos"]
                         out[0].append(p["d"])
@@ -160,7 +180,7 @@ def _around(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 def _cut(text: str, gone: list[int], found: list[dict]) -> tuple[int, int, list[tuple[int, int]]]:
     """Units of which something goes, words that go, and the spans."""
-    tokens = [m.span() for m in WORDS.finditer(text)]
+    tokens = [m.span() for m in (WORDS if ONE_DENSE.search(text) else PLAIN_WORDS).finditer(text)]
     starts, out = [a for a, _ in tokens], bytearray(len(tokens))
     h = _hashed([text[a:b] for a, b in tokens]) if any(s["before"] or s["after"] for s in found) else None
     for s in found:
@@ -177,13 +197,16 @@ def _cut(text: str, gone: list[int], found: list[dict]) -> tuple[int, int, list[
             a = max(a, s["own"] + WINDOW)
         if a < b:
             out[a:b] = b"\1" * (b - a)
-    parts = [(a, b, n, bisect_left(starts, a), bisect_left(starts, b)) for a, b, _, n in units(text)]
+    _, at, before, counts = lines(text)
+    at.append(len(text))
+    before.append(len(tokens))
+    # a line's end goes with it
+    parts = [(at[i], at[i + 1], n, before[i], before[i + 1]) for i, n in enumerate(counts) if before[i] < before[i + 1]]
     for i in gone:
-        _, _, _, p, q = parts[i]
-        out[p:q] = b"\1" * (q - p)
+        out[before[i] : before[i + 1]] = b"\1" * (before[i + 1] - before[i])
     whole = [all(out[p:q]) for *_, p, q in parts]
     i = 1
-    while i < len(parts):  # short units between removed ones
+    while i < len(parts):  # short lines between removed ones
         j = i
         while j < len(parts) and not whole[j] and parts[j][2] < MIN_WORDS:
             j += 1
@@ -198,7 +221,7 @@ def _cut(text: str, gone: list[int], found: list[dict]) -> tuple[int, int, list[
         cuts = [(a, b)] if all_of_it else []
         while not all_of_it and (x := out.find(1, p, q)) >= 0:
             p = y if (y := out.find(0, x, q)) >= 0 else q
-            cuts.append((starts[x], b if p == q else min(starts[p], TAIL.match(text, tokens[p - 1][1]).end())))
+            cuts.append((starts[x], min(starts[p] if p < len(starts) else b, TAIL.match(text, tokens[p - 1][1]).end())))
         touched += bool(cuts)
         for x, y in cuts:
             if spans and spans[-1][1] == x:
@@ -217,7 +240,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     hits = materialize(skew_join(found, seen, "digest", "d"))
     # among rows of one doc_id the least row digest has the first occurrence
     tied = hits.where("rank = first").groupBy("d").agg(F.min("row").alias("least"), F.max("row").alias("most")).where("least != most").select(F.col("d").alias("t"), "least")
-    hits = hits.join(tied, F.col("d") == F.col("t"), "left")
+    hits = skew_join(hits, materialize(tied), "d", "t", "left")
     hits = materialize(hits.select("doc_id", "row", "unit", "d", "prior", ((F.col("rank") == F.col("first")) & (F.col("least").isNull() | (F.col("row") == F.col("least")))).alias("here")))
     gone = hits.where("not here or prior is not null")
     pos = (-1 - F.col("unit")).alias("pos")
