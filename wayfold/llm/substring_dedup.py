@@ -42,14 +42,15 @@ TAIL = re.compile(r"[^\w\s]*[^\S\n]*")
 
 def lines(text: str) -> tuple[list[str], list[int], list[int], list[int]]:
     """The text's words, and for each line its place, the words before it and the words it counts for."""
-    find = WORDS.findall if ONE_DENSE.search(text) else PLAIN_WORDS.findall
+    dense = ONE_DENSE.search(text) is not None
+    find = WORDS.findall if dense else PLAIN_WORDS.findall
     words: list[str] = []
     starts, before, counts, at = [], [], [], 0
     for line in text.split("\n"):
         own = find(line)
         starts.append(at)
         before.append(len(words))
-        counts.append(len(own) if find is PLAIN_WORDS.findall else len(own) - sum(map(bool, map(ONE_DENSE.match, own))) // 2)
+        counts.append(len(own) - sum(map(bool, map(ONE_DENSE.match, own))) // 2 if dense else len(own))
         words += own
         at += len(line) + 1
     return words, starts, before, counts
@@ -183,19 +184,22 @@ def _cut(text: str, gone: list[int], found: list[dict]) -> tuple[int, int, list[
     tokens = [m.span() for m in (WORDS if ONE_DENSE.search(text) else PLAIN_WORDS).finditer(text)]
     starts, out = [a for a, _ in tokens], bytearray(len(tokens))
     h = _hashed([text[a:b] for a, b in tokens]) if any(s["before"] or s["after"] for s in found) else None
-    for s in found:
-        a, b = s["pos"], s["pos"] + WINDOW
-        for x in np.frombuffer(s["before"] or b"", np.uint64):
-            if not a or h[a - 1] != x:
-                break
-            a -= 1
-        for x in np.frombuffer(s["after"] or b"", np.uint64):
-            if b == len(tokens) or h[b] != x:
-                break
-            b += 1
-        if s["own"] is not None and s["pos"] - s["own"] < WINDOW:  # it overlaps its kept occurrence, which stays whole
-            a = max(a, s["own"] + WINDOW)
-        if a < b:
+    a = 0
+    for s in sorted(found, key=lambda s: s["pos"]):  # from a row's first seed to its last all words go
+        if s["left"]:
+            a = s["pos"]
+            for x in np.frombuffer(s["before"] or b"", np.uint64):
+                if not a or h[a - 1] != x:
+                    break
+                a -= 1
+            if s["own"] is not None and s["pos"] - s["own"] < WINDOW:  # it overlaps its kept occurrence, which stays whole
+                a = max(a, s["own"] + WINDOW)
+        if s["right"]:
+            b = s["pos"] + WINDOW
+            for x in np.frombuffer(s["after"] or b"", np.uint64):
+                if b == len(tokens) or h[b] != x:
+                    break
+                b += 1
             out[a:b] = b"\1" * (b - a)
     _, at, before, counts = lines(text)
     at.append(len(text))
@@ -204,7 +208,7 @@ def _cut(text: str, gone: list[int], found: list[dict]) -> tuple[int, int, list[
     parts = [(at[i], at[i + 1], n, before[i], before[i + 1]) for i, n in enumerate(counts) if before[i] < before[i + 1]]
     for i in gone:
         out[before[i] : before[i + 1]] = b"\1" * (before[i + 1] - before[i])
-    whole = [all(out[p:q]) for *_, p, q in parts]
+    whole = [out.find(0, p, q) < 0 for *_, p, q in parts]
     i = 1
     while i < len(parts):  # short lines between removed ones
         j = i
@@ -252,11 +256,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     ends = materialize(lost.where("left or right"))
     kept = hits.where("unit < 0 and here and prior is null").join(ends.select("d").distinct(), "d", "left_semi").select("doc_id", "row", "d", pos).distinct()
     around = materialize(_around(docs, kept)).withColumnRenamed("d", "k")
-    ends = skew_join(ends, around, "d", "k").withColumns({"before": F.when(F.col("left"), F.col("before")), "after": F.when(F.col("right"), F.col("after"))})
-    nothing = F.lit(None).cast("binary")
-    inner = lost.where("not left and not right").withColumns({"before": nothing, "after": nothing})
-    shape = ["doc_id", "row", F.lit(None).cast("int").alias("unit"), F.struct("pos", "own", "before", "after").alias("seed")]
-    every = ends.select(*shape).unionByName(inner.select(*shape))
+    ends = skew_join(ends, around, "d", "k", "left").withColumns({"before": F.when(F.col("left"), F.col("before")), "after": F.when(F.col("right"), F.col("after"))})
+    every = ends.select("doc_id", "row", F.lit(None).cast("int").alias("unit"), F.struct("pos", "own", "left", "right", "before", "after").alias("seed"))
     every = every.unionByName(gone.where("unit >= 0").select("doc_id", "row", "unit", F.lit(None).cast(every.schema["seed"].dataType).alias("seed")))
     by_doc = every.groupBy("doc_id", "row").agg(F.collect_set("unit").alias("gone"), F.collect_list("seed").alias("seeds"))
 
