@@ -1,7 +1,9 @@
 """Quality rules: word and line statistics, and robust multivariate outliers per language and source.
 
 The second part is a minimum-covariance-determinant (MCD) estimate: for each (lang, source) the mean and
-covariance of the three quarters of its documents that lie closest together, found by concentration steps from medians until its determinant stops falling.
+covariance of the three quarters of its documents that lie closest together, found by concentration steps from
+two starts (medians, and the mean and covariance of all) until the determinant stops falling; the start that ends
+with the least determinant counts.
 Every step is one aggregate over a small written table. Statistics are whole numbers (thousandths), so that
 sums are exact and the verdicts don't depend on the order of rows or on a retried task.
 """
@@ -122,16 +124,14 @@ def _start(rows: DataFrame, keys: list[str]) -> DataFrame:
     return near.select(*keys, "n", *[f"m{i}" for i in range(P)], *[(scale(i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in _PAIRS])
 
 
-def mcd(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Robust location and Cholesky factor per key, of rows with f0..: concentration steps from medians; each keeps
-    the CORE share with the smallest distances (to a bucket of distances, which a histogram finds exactly) and
-    estimates again, until no group's determinant falls any more. Each group's least determinant counts, and a group
-    that is done takes no further step. The last covariance is scaled up for the cut tail."""
-    estimate = materialize(_start(rows, keys))
+def _concentrate(rows: DataFrame, keys: list[str], estimate: DataFrame) -> DataFrame:
+    """The estimate with the least determinant (its logarithm is twice `size`) that concentration steps from `estimate`
+    reach; each keeps the CORE share with the smallest distances (to a bucket of distances, which a histogram finds
+    exactly) and estimates again. A group whose determinant no longer falls takes no further step."""
     size = sum((F.log(F.col(f"l{i}{i}")) for i in range(P)), F.lit(0.0))
-    best, left = None, rows
+    best = None
     while True:
-        near = _distance(_with_estimate(left, estimate, keys)).withColumn("bucket", F.floor(F.log1p("d2") * 64).cast("int"))
+        near = _distance(_with_estimate(rows, estimate, keys)).withColumn("bucket", F.floor(F.log1p("d2") * 64).cast("int"))
         counts = near.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("k"))
         order = Window.partitionBy(*keys).orderBy("bucket")
         counts = counts.withColumn("upto", F.sum("k").over(order)).withColumn("all", F.sum("k").over(Window.partitionBy(*keys)))
@@ -144,12 +144,21 @@ def mcd(rows: DataFrame, keys: list[str]) -> DataFrame:
         old = best.select(*keys, F.col("size").alias("was"))
         estimate = materialize(made.join(old, keys).where(F.col("size") < F.col("was") - 1e-6).drop("was"))
         if estimate.isEmpty():
-            return best.drop("size")
+            return best
         best = materialize(best.join(estimate, keys, "left_anti").unionByName(estimate))
 
 
+def mcd(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Robust location and Cholesky factor per key, of rows with f0... The last covariance is not yet scaled up for the
+    cut tail (TRIMMED)."""
+    one, two = (_concentrate(rows, keys, materialize(start(rows, keys))) for start in (_start, _moments))
+    better = two.join(one.select(*keys, F.col("size").alias("other")), keys).where(F.col("size") < F.col("other") - 1e-6).drop("other")
+    better = materialize(better)
+    return materialize(one.join(better, keys, "left_anti").unionByName(better)).drop("size")
+
+
 #: The variance of the nearest 75 % of a 5-dimensional normal sample, as a share of the whole's.
-TRIMMED = 0.62
+TRIMMED = 0.707
 
 
 def judge(docs: DataFrame) -> DataFrame:
