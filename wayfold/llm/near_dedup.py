@@ -24,8 +24,11 @@ from wayfold.llm.common import components, drop_tables, materialize, skew_join,
 
 #: With 64 coordinates and Jaccard similarity 0.8, fewer than 34 agree with probability 3e-6.
 SHINGLE, PERCENT, COORDINATES, MATCHES = 4, 80, 64, 34
-#: Slots of the table of frequencies by which pairs are ordered: its size doesn't depend on the input.
-SLOTS = 1 << 20
+#: Slots of the table of frequencies by which pairs are ordered, a byte each on every executor: as many as half the
+#: classes, within these bounds (64 MB), so that a slot counts some 128 pairs up to 130 million classes.
+LEAST_SLOTS, MOST_SLOTS = 1 << 20, 1 << 26
+#: Signatures that a task counts before it hands on its table of slots.
+COUNTED = 200_000
 #: So many ids are sent to all executors to pick their rows; more are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 #: A posting list of a pair that n classes share is dealt out to n / BLOCK blocks.
@@ -93,29 +96,31 @@ def sketch(docs: DataFrame) -> DataFrame:
 _SLOT_KEYS = np.arange(COORDINATES, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _slots(sig: np.ndarray) -> np.ndarray:
-    """Slot of each (coordinate, value) of signatures in rows."""
+def _slots(sig: np.ndarray, slots: int) -> np.ndarray:
+    """Slot of each (coordinate, value) of signatures in rows; slots is a power of two."""
     h = (sig.astype(np.uint64) + _SLOT_KEYS) * _A
-    return (h >> np.uint64(44)).astype(np.int64)
+    return (h >> np.uint64(65 - slots.bit_length())).astype(np.int64)
 
 
-def frequencies(classes: DataFrame) -> np.ndarray:
-    """log2 of the number of classes by slot of their (coordinate, value) pairs: SLOTS bytes, however many
-    classes there are. Tasks count all their pairs and hand on the counts of slots, which an aggregate adds up."""
+def frequencies(classes: DataFrame, slots: int | None = None) -> np.ndarray:
+    """log2 of the number of classes by slot of their (coordinate, value) pairs, a byte a slot. Tasks count all their
+    pairs and hand on the counts of slots, which an aggregate adds up."""
+    total = classes.count()
+    slots = slots or min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (total // 2).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.int64)
+        counts = np.zeros(slots, np.int64)
         for batch in batches:
             if batch.num_rows:
-                counts += np.bincount(_slots(_matrix(batch.column("sig").to_pylist())).ravel(), minlength=SLOTS)
+                counts += np.bincount(_slots(_matrix(batch.column("sig").to_pylist()), slots).ravel(), minlength=slots)
         at = np.flatnonzero(counts)
         for i in range(0, len(at), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000].astype(np.int32)), pa.array(counts[at[i : i + 100_000]])], names=["slot", "n"])
 
-    few = classes.select("sig").coalesce(12)  # fewer partial tables; reading signatures is light
-    total = few.mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1")
-    levels = np.zeros(SLOTS, np.uint8)
-    for batch in total.select("slot", F.floor(F.log2("n")).cast("int").alias("level")).toArrow().to_batches():
+    few = classes.select("sig").coalesce(max(12, total // COUNTED))  # fewer partial tables; reading signatures is light
+    held = few.mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1")
+    levels = np.zeros(slots, np.uint8)
+    for batch in held.select("slot", F.floor(F.log2("n")).cast("int").alias("level")).toArrow().to_batches():
         levels[batch.column("slot").to_numpy()] = batch.column("level").to_numpy()
     return levels
 
@@ -129,7 +134,7 @@ KEEP = COORDINATES - MATCHES + 1
 
 def _prefix(sig: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys and levels of all pairs of signatures in rows, and the coordinates of the KEEP rarest, rarest first."""
-    level = levels[_slots(sig)]
+    level = levels[_slots(sig, len(levels))]
     mixed = (sig.astype(np.uint64) + _SLOT_KEYS) * np.uint64(0xFF51AFD7ED558CCD)
     keys = mixed ^ (mixed >> np.uint64(33))
     order = np.argsort((level.astype(np.uint64) << np.uint64(56)) | (keys >> np.uint64(8)), axis=1, kind="stable")[:, :KEEP]
@@ -327,7 +332,7 @@ def _and_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, slots: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included) and kept.
 
     Null, empty and blank texts have no shingles and no links. A class all of whose rows lack a doc_id has no
@@ -338,7 +343,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     start = tables_so_far()
     docs_sketch = materialize(sketch(docs))
     classes = materialize(docs_sketch.where("cls is not null").groupBy("cls").agg(F.min("sig").alias("sig"), F.min("doc_id").alias("rep")))
-    levels = frequencies(classes)
+    levels = frequencies(classes, slots)
     posted = postings(classes, levels)
     # blocks are bounded, so that one exchange and a window serve where an aggregate and a join would take two
     block = Window.partitionBy("key", "salt")
