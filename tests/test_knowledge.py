@@ -34,6 +34,18 @@ def test_grid_equals_brute_force_over_the_antimeridian(spark):
     assert got == want and {(b, a) for a, b in got} == got
 
 
+def test_as_of_keeps_null_columns_and_takes_the_latest_value(spark):
+    items = spark.createDataFrame([(1, None, 5), (2, "x", 5), (2, "x", 5), (None, "y", 5), (3, "z", None), (4, "w", 1)], "k int, note string, at int")
+    log = spark.createDataFrame([(1, 3, 10), (1, 4, 20), (1, 4, 15), (1, 9, 30), (2, 5, 7), (None, 1, 8), (3, 1, 9), (4, 2, 1)], "k int, ts int, v int")
+    got = sorted(((r.k, r.note, r["at"], r.v) for r in kn.as_of(items, log, "k", "at", "ts", "v").collect()), key=repr)
+    assert got == sorted([(1, None, 5, 20), (2, "x", 5, 7), (2, "x", 5, 7), (None, "y", 5, None), (3, "z", None, None), (4, "w", 1, None)], key=repr)
+
+
+@pytest.mark.parametrize("name", ["filter_price", "fuzzy_name", "link_mentions", "co_mention_edges"])
+def test_selective_queries_are_not_empty(spark, name):
+    assert QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
+
+
 def test_open_past_midnight(spark):
     df = spark.sql("SELECT array(named_struct('dow', 5, 'open_min', 1320, 'close_min', 1560)) AS hours")
     assert [df.where(kn.open_at(F.col("hours"), d, m)).count() for d, m in ((5, 1400), (6, 60), (6, 120), (5, 60))] == [1, 1, 0, 0]

@@ -73,10 +73,18 @@ def near(a: DataFrame, b: DataFrame, km: float, lat_limit: float = 60.0) -> Data
 
 
 def as_of(items: DataFrame, log: DataFrame, key: str, at: str, ts: str, value: str) -> DataFrame:
-    """Each item with the latest log value at or before its time (ties: the larger value); null if none."""
-    hits = items.join(log, key, "left").where(F.col(ts).isNull() | (F.col(ts) <= F.col(at)))
-    best = hits.groupBy(*items.columns).agg(F.max(F.struct(ts, value)).alias("b"))
-    return items.join(best, items.columns, "left").select(*items.columns, F.col(f"b.{value}").alias(value))
+    """Each item with the latest log value at or before its time (ties: the larger value); null if none, or if the
+    item's key or time is null. Columns of items may be null. Items and log rows of a key are walked through once in
+    order of time: one exchange, no pairs."""
+    kind = items.select(F.struct("*").alias("item")).schema["item"].dataType
+    own = items.select(F.struct("*").alias("item"), F.col(key).alias("k"), F.col(at).alias("t"), F.lit(1).alias("side"))
+    known = F.col(key).isNotNull() & F.col(ts).isNotNull()
+    seen = log.where(known).select(F.lit(None).cast(kind).alias("item"), F.col(key).alias("k"), F.col(ts).alias("t"), F.lit(0).alias("side"), F.struct(F.col(value).alias("v")).alias("last"))
+    both = seen.unionByName(own.where("k is not null"), allowMissingColumns=True)
+    before = Window.partitionBy("k").orderBy("t", "side", F.col("last.v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("last", F.last("last", ignorenulls=True).over(before)).where("side = 1")
+    out = found.unionByName(own.where("k is null"), allowMissingColumns=True)
+    return out.select(*[F.col(f"item.`{c}`").alias(c) for c in items.columns], F.col("last.v").alias(value))
 
 
 def match_blocked(a: DataFrame, b: DataFrame, block: str, name: str, most: int) -> DataFrame:

@@ -74,9 +74,9 @@ def filter_tags_all(spark, sf):
     return kb.activities(spark, sf).where(kn.has_all_tags(F.split(F.lower("tag"), " "), ["promo"])).select("id")
 
 
-@_add("SELECT p_partkey AS id, p_retailprice AS price FROM part WHERE p_retailprice <= 1200 AND p_retailprice >= 1000")
+@_add("SELECT p_partkey AS id, p_retailprice AS price FROM part WHERE p_retailprice <= 960 AND p_retailprice >= 920")
 def filter_price(spark, sf):
-    return kb.activities(spark, sf).where(kn.price_overlaps(F.col("price"), F.col("price"), 1000.0, 1200.0)).select("id", "price")
+    return kb.activities(spark, sf).where(kn.price_overlaps(F.col("price"), F.col("price"), 920.0, 960.0)).select("id", "price")
 
 
 @_add(f"SELECT id, rating FROM {H} h WHERE rating >= 3.5")
@@ -151,7 +151,7 @@ def entity_match(spark, sf):
     return kn.match_blocked(h, h, "area_id", "name", 1).select("a_id", "b_id", F.col("edits").cast("bigint").alias("edits"))
 
 
-_shared("fuzzy_name", "SELECT p_partkey AS id, CAST(levenshtein(lower(p_name), 'part 100') AS BIGINT) AS edits FROM part WHERE levenshtein(lower(p_name), 'part 100') <= 4")
+_shared("fuzzy_name", "SELECT p_partkey AS id, CAST(levenshtein(lower(p_name), 'read wigdet') AS BIGINT) AS edits FROM part WHERE levenshtein(lower(p_name), 'read wigdet') <= 4")
 
 _TOK = "(SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS tok FROM documents)"
 
@@ -167,12 +167,12 @@ def tokenize_df(spark, sf):
     return by_doc.groupBy("tok").agg(F.sum("n").cast("bigint").alias("n"), F.count(F.lit(1)).cast("bigint").alias("df"))
 
 
-_DICT = "(SELECT doc_id AS item, min(tok) AS tok FROM (SELECT item_id AS doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS tok FROM benchmark) b WHERE length(tok) >= 9 GROUP BY doc_id)"
+_DICT = "(SELECT doc_id AS item, min(tok) AS tok FROM (SELECT item_id AS doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS tok FROM benchmark) b WHERE length(tok) >= 6 GROUP BY doc_id)"
 _MENTIONS = f"SELECT DISTINCT t.doc_id, d.item AS entity_id FROM {_TOK} t JOIN {_DICT} d ON t.tok = d.tok"
 
 
 def _mentions(spark, sf):
-    names = table(spark, sf, "benchmark").select(F.col("item_id").alias("entity_id"), F.explode(tx.tokens(F.col("text"))).alias("tok")).where("length(tok) >= 9").groupBy("entity_id").agg(F.min("tok").alias("tok"))
+    names = table(spark, sf, "benchmark").select(F.col("item_id").alias("entity_id"), F.explode(tx.tokens(F.col("text"))).alias("tok")).where("length(tok) >= 6").groupBy("entity_id").agg(F.min("tok").alias("tok"))
     return _tokens(spark, sf).distinct().join(kn.maybe_broadcast(names), "tok").select("doc_id", "entity_id").distinct()
 
 
@@ -390,14 +390,30 @@ def confidence(spark, sf):
     return _confident(spark, sf).drop("score")
 
 
-_PACKAGE = f"SELECT c.q, CAST(c.node AS VARCHAR) AS id, h.name, h.type, d.lang AS description, h.lat, h.lon, n_name AS area_name, h.rating, d.source AS source_url, md5(d.text) AS evidence_text, CAST(c.confidence AS DOUBLE) AS confidence_score FROM ({_CONF}) c JOIN {H} h ON h.id = c.node JOIN nation ON h.area_id = n_nationkey JOIN documents d ON d.doc_id = c.node"
+_OFFERS = "(SELECT l_suppkey AS id, CAST(CAST(floor(min(l_extendedprice)) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(ceil(max(l_extendedprice)) AS BIGINT) AS VARCHAR) AS price_range, string_agg(DISTINCT lower(p_type), ',' ORDER BY lower(p_type)) AS tags, string_agg(DISTINCT 'OFFERS:' || p_brand, ',' ORDER BY 'OFFERS:' || p_brand) AS offers FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey)"
+_PACKAGE = f"SELECT c.q, CAST(c.node AS VARCHAR) AS id, h.name, h.type, h.type || ' in ' || n_name AS description, n_name || ' ' || CAST(CAST(round(h.lat * 100) AS BIGINT) AS VARCHAR) || ' ' || CAST(CAST(round(h.lon * 100) AS BIGINT) AS VARCHAR) AS location, o.price_range, h.rating, o.tags, 'LOCATED_IN:' || n_name || coalesce(',' || o.offers, '') AS relationships, d.source AS source_url, d.text AS evidence_text, CAST(c.confidence AS DOUBLE) AS confidence_score FROM ({_CONF}) c JOIN {H} h ON h.id = c.node JOIN nation ON h.area_id = n_nationkey JOIN documents d ON d.doc_id = c.node LEFT JOIN {_OFFERS} o ON o.id = c.node"
 
 
-def _package(spark, sf):
+def _package(spark, sf, k=None):
+    """The output contract: a row per query and grounded entity, the best k of each query or all. Prices, tags and
+    relationships are aggregated for the entities at hand only. location: area and hundredths of degrees."""
     h, n = kb.hotels(spark, sf), table(spark, sf, "nation")
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("node"), F.col("lang").alias("description"), F.col("source").alias("source_url"), F.md5("text").alias("evidence_text"))
-    r = _confident(spark, sf).join(h.withColumnRenamed("id", "node"), "node").join(F.broadcast(n), F.col("area_id") == F.col("n_nationkey")).join(d, "node")
-    return r.select("q", F.col("node").cast("string").alias("id"), "name", "type", "description", "lat", "lon", F.col("n_name").alias("area_name"), "rating", "source_url", "evidence_text", F.col("confidence").alias("confidence_score"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("node"), F.col("source").alias("source_url"), F.col("text").alias("evidence_text"))
+    r = _confident(spark, sf).join(h.withColumnRenamed("id", "node"), "node").join(F.broadcast(n), F.col("area_id") == F.col("n_nationkey"))
+    r = r.withColumn("id", F.col("node").cast("string"))
+    r = r.join(d.select("node"), "node", "left_semi") if k else r
+    r = kn.top_per(r, "q", [F.desc("confidence"), F.asc("id")], k).drop("rank") if k else r
+    nodes = r.select(F.col("node").alias("l_suppkey")).distinct()
+    sold = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey", "l_extendedprice").join(nodes, "l_suppkey", "left_semi")
+    sold = sold.join(table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_brand"), "l_partkey")
+    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    whole = lambda c: c.cast("bigint").cast("string")
+    price = F.concat_ws("-", whole(F.floor(F.min("l_extendedprice"))), whole(F.ceil(F.max("l_extendedprice"))))
+    offers = sold.groupBy(F.col("l_suppkey").alias("node")).agg(price.alias("price_range"), joined(F.lower("p_type")).alias("tags"), joined(F.concat(F.lit("OFFERS:"), F.col("p_brand"))).alias("offers"))
+    r = r.join(d, "node").join(offers, "node", "left")
+    location = F.concat_ws(" ", "n_name", whole(F.round(F.col("lat") * 100)), whole(F.round(F.col("lon") * 100)))
+    relationships = F.concat_ws(",", F.concat(F.lit("LOCATED_IN:"), F.col("n_name")), "offers")
+    return r.select("q", "id", "name", "type", F.concat("type", F.lit(" in "), "n_name").alias("description"), location.alias("location"), "price_range", "rating", "tags", relationships.alias("relationships"), "source_url", "evidence_text", F.col("confidence").alias("confidence_score"))
 
 
 @_add(_PACKAGE)
@@ -408,7 +424,7 @@ def evidence_package(spark, sf):
 @_add(f"SELECT * FROM ({_PACKAGE}) p QUALIFY row_number() OVER (PARTITION BY q ORDER BY confidence_score DESC, id) <= 5")
 def hybrid_retrieve(spark, sf):
     """Vector search, graph expansion, reranking, evidence: the flagship query."""
-    return kn.top_per(_package(spark, sf), "q", [F.desc("confidence_score"), F.asc("id")], 5).drop("rank")
+    return _package(spark, sf, 5)
 
 
 _VEC = f"SELECT q, node, CAST(rank AS BIGINT) AS rank FROM ({_knn_sql(10)}) a"
