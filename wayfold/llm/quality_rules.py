@@ -129,23 +129,23 @@ def _concentrate(rows: DataFrame, keys: list[str], estimate: DataFrame) -> DataF
     reach; each keeps the CORE share with the smallest distances (to a bucket of distances, which a histogram finds
     exactly) and estimates again. A group whose determinant no longer falls takes no further step."""
     size = sum((F.log(F.col(f"l{i}{i}")) for i in range(P)), F.lit(0.0))
-    best = None
+    best, groups = None, estimate.count()
     while True:
         near = _distance(_with_estimate(rows, estimate, keys)).withColumn("bucket", F.floor(F.log1p("d2") * 64).cast("int"))
         counts = near.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("k"))
         order = Window.partitionBy(*keys).orderBy("bucket")
         counts = counts.withColumn("upto", F.sum("k").over(order)).withColumn("all", F.sum("k").over(Window.partitionBy(*keys)))
         limit = counts.where(F.col("upto") >= F.ceil(F.col("all") * CORE)).groupBy(*keys).agg(F.min("bucket").alias("most"))
-        core = _with_estimate(near, materialize(limit), keys).where("bucket <= most")
+        core = _with_estimate(near, materialize(limit, groups), keys).where("bucket <= most")
         made = _moments(core.select(*rows.columns), keys).withColumn("size", size)
         if best is None:
-            best = estimate = materialize(made)
+            best = estimate = materialize(made, groups)
             continue
         old = best.select(*keys, F.col("size").alias("was"))
-        estimate = materialize(made.join(old, keys).where(F.col("size") < F.col("was") - 1e-6).drop("was"))
+        estimate = materialize(made.join(old, keys).where(F.col("size") < F.col("was") - 1e-6).drop("was"), groups)
         if estimate.isEmpty():
             return best
-        best = materialize(best.join(estimate, keys, "left_anti").unionByName(estimate))
+        best = materialize(best.join(estimate, keys, "left_anti").unionByName(estimate), groups)
 
 
 def mcd(rows: DataFrame, keys: list[str]) -> DataFrame:
