@@ -8,6 +8,7 @@ at similarity 0.8 some key is shared with probability 1 - (1 - 0.8^3)^7 = 0.993,
 the members are compared with its centre, and then every member outside a list's largest component with all
 members of other components, as far as AGREE minima agree. So a pair on one list is missed only where fewer do.
 The likeliest pair of every two components comes first, so that the pairs within a grown component need no look.
+A pair whose bitmaps of shingles differ in more places than its sets may is never looked at: that loses nothing.
 
 The functions run Spark jobs as they build their result: intermediate tables are written in the shared folder.
 """
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +31,9 @@ MINIMA = BANDS * ROWS
 POINTS = [random.Random(f"minimum {i}").getrandbits(32) - (1 << 31) for i in range(MINIMA)]
 #: Of 21 minima, three bits of each, so many have to agree; at similarity 0.8 fewer do with probability 2e-4.
 AGREE = 10
+#: Words of 64 bits in a class's bitmap; a shingle's hash sets one bit.
+WORDS = 8
+BITMAP = ("runs", *[f"w{w}" for w in range(WORDS)])
 #: Neighbouring runs that the signature takes in one row.
 STEP = 16
 #: So many keys are sent to all executors to pick their lines or lists; more are joined by shuffling.
@@ -78,6 +83,26 @@ def agreeing(a: str, b: str) -> Column:
     return MINIMA - F.bit_count(differ)
 
 
+def bitmaps(texts: DataFrame) -> DataFrame:
+    """k, runs, w0 to w7 of (k, own): the number of the line's runs, equal ones counted again, and the bits that the
+    hashes of its shingles set."""
+    units = texts.select("k", F.encode("own", "UTF-16BE").alias("u")).withColumn("runs", F.greatest(F.lit(1), (F.octet_length("u") / 2).cast("int") - (WIDTH - 1)))
+    starts = units.select("k", "u", "runs", F.explode(F.sequence(F.lit(1), F.col("runs"), F.lit(STEP))).alias("i"))
+    # beyond the end the last run is taken again, which sets no further bit
+    hashes = starts.select("k", "runs", *[F.xxhash64(F.substring(F.col("u"), 2 * F.least(F.col("i") + j, F.col("runs")) - 1, F.lit(2 * WIDTH))).alias(f"h{j}") for j in range(STEP)])
+    # the upper three bits name the word, the lower six the bit
+    bits = [[F.when(F.shiftrightunsigned(f"h{j}", 61) == w, F.expr(f"shiftleft(1L, cast(h{j} & 63 as int))")).otherwise(F.lit(0).cast("long")) for j in range(STEP)] for w in range(WORDS)]
+    return hashes.groupBy("k").agg(F.first("runs").alias("runs"), *[F.bit_or(reduce(Column.bitwiseOR, of_word)).alias(f"w{w}") for w, of_word in enumerate(bits)])
+
+
+def may_link(other: str) -> Column:
+    """False only for pairs that are surely below PERCENT: every place where the bitmaps differ is a shingle of one
+    line alone, and of two sets with n and m members at most (n + m) * (100 - PERCENT) / (100 + PERCENT) are. The
+    second line's columns end with `other`."""
+    apart = sum((F.bit_count(F.col(f"w{w}").bitwiseXOR(F.col(f"w{w}{other}"))) for w in range(1, WORDS)), F.bit_count(F.col("w0").bitwiseXOR(F.col(f"w0{other}"))))
+    return apart * (100 + PERCENT) <= (F.col("runs") + F.col(f"runs{other}")) * (100 - PERCENT)
+
+
 def _few(df: DataFrame) -> DataFrame:
     """A written table, to be broadcast if it has up to BROADCAST_KEYS rows."""
     return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
@@ -121,19 +146,19 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _spanning(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) on one list that lie in different components and agree on AGREE minima. A list is dealt over
+    """Pairs (a, b) on one list that lie in different components, agree on AGREE minima and may link. A list is dealt over
     blocks of some BLOCK members by their keys; members outside its largest component go to all of them."""
     named = labels.withColumnsRenamed({"node": "x"})
-    held = materialize(lists.join(_few(named), F.col("key") == F.col("x"), "left").select("band", "key", "sketch", F.coalesce("root", "key").alias("root")))
+    held = materialize(lists.join(_few(named), F.col("key") == F.col("x"), "left").select("band", "key", "sketch", *BITMAP, F.coalesce("root", "key").alias("root")))
     sizes = held.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
     several = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("root", "n").alias("main")).where("parts > 1")
     # of a list of two the pair is already compared
     several = materialize(several.where("all > 2").select(F.col("band").alias("l"), "main", F.ceil(F.col("all") / BLOCK).alias("blocks")))
     held = materialize(skew_join(held, several, "band", "l").drop("l"))
-    members = held.select(F.col("band").alias("l"), F.pmod("key", "blocks").alias("block"), F.col("key").alias("other"), F.col("root").alias("its"), F.col("sketch").alias("sb"))
+    members = held.select(F.col("band").alias("l"), F.pmod("key", "blocks").alias("block"), F.col("key").alias("other"), F.col("root").alias("its"), F.col("sketch").alias("sb"), *[F.col(c).alias(f"{c}_b") for c in BITMAP])
     strays = held.where("root != main").withColumn("own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     sure = agreeing("sketch", "sb")
-    met = strays.join(members, (F.col("band") == F.col("l")) & (F.col("own") == F.col("block")) & (F.col("root") != F.col("its")) & ((F.col("its") == F.col("main")) | (F.col("key") < F.col("other"))) & (sure >= AGREE))
+    met = strays.join(members, (F.col("band") == F.col("l")) & (F.col("own") == F.col("block")) & (F.col("root") != F.col("its")) & ((F.col("its") == F.col("main")) | (F.col("key") < F.col("other"))) & (sure >= AGREE) & may_link("_b"))
     met = met.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"), sure.alias("agree"))
     return met.groupBy("a", "b").agg(F.first("agree").alias("agree"))
 
@@ -175,8 +200,9 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = lines.withColumn("rank", _rank()).join(_few(wanted), F.col("key") == F.col("k"), "left")
     rows = materialize(rows.select("doc_id", "line", "rank", "key", F.when(F.col("rank") == F.col("first_doc"), F.col("own")).alias("own")))
     texts = materialize(rows.where("own is not null").select(F.col("key").alias("k"), "own").dropDuplicates(["k"]))
-    centres = lists.where("key = centre").select(F.col("band").alias("l"), F.col("sketch").alias("sb"))
-    pairs = skew_join(lists.where("key != centre"), centres, "band", "l").where(agreeing("sketch", "sb") >= AGREE)
+    lists = materialize(lists.join(bitmaps(texts), F.col("key") == F.col("k")).drop("k"))
+    centres = lists.where("key = centre").select(F.col("band").alias("l"), F.col("sketch").alias("sb"), *[F.col(c).alias(f"{c}_b") for c in BITMAP])
+    pairs = skew_join(lists.where("key != centre"), centres, "band", "l").where((agreeing("sketch", "sb") >= AGREE) & may_link("_b"))
     pairs = materialize(pairs.select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct())
     links = _confirm(pairs, texts)
     labels = materialize(components(links))
