@@ -3,11 +3,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayfold.functions import text as tx
-from wayfold.operators import graph, vectors as vs
+from wayfold.operators import dedup, evaluate, graph, vectors as vs
 from wayfold.operators import knowledge as kn
 from wayfold.plans import kb
 from wayfold.plans.queries import ORACLES, QUERIES
 from wayfold.sources import readers, sinks
+from wayfold.streaming import events as streams
 
 
 @pytest.fixture(scope="module")
@@ -80,3 +81,52 @@ def test_sources_and_sinks(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/p").where("type = 'hotel'").count() == 2
     page = readers.parse_html(spark.createDataFrame([("http://a.example/x", "<title>T</title><script>no()</script><p>yes</p>")], "url string, html string")).first()
     assert (page.title, page.host, page.body_text) == ("T", "a.example", "T yes")
+
+
+def test_near_equal_texts(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join(words)), (3, " ".join([*words[:-1], "x"])), (4, "other words than those"), (5, None), (6, ""), (7, None)]
+    got = {tuple(r) for r in dedup.near_equal(spark.createDataFrame(rows, "i long, t string"), "i", "t").collect()}
+    # a null and an empty text have no shingles, so that they link with nothing
+    assert {r for r in got if r[0] < 5} == {(1, 1, 1), (2, 1, 1), (3, 3, 1), (4, 4, 0)}
+    assert {(r[0], r[2]) for r in got if r[0] > 4} == {(5, 0), (6, 0), (7, 0)}
+
+
+def test_evaluation_against_a_golden_set(spark):
+    run = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "c", 3), (2, "x", 1), (1, "a", 5)], "q long, node string, rank int")
+    golden = spark.createDataFrame([(1, "b"), (1, "d"), (2, "y"), (3, "z"), (1, "b")], "q long, node string")
+    got = {r.q: (r.precision, r.recall, r.rr, r.ndcg) for r in evaluate.evaluate(run, golden, 3).collect()}
+    assert got == {1: (0.333333, 0.5, 0.5, 0.386853), 2: (0.0, 0.0, 0.0, 0.0), 3: (0.0, 0.0, 0.0, 0.0)}
+    kb_rows = spark.createDataFrame([("h1", "Blue House", 4.5), ("h2", None, 3.0)], "id string, name string, rating double")
+    facts = spark.createDataFrame([("h1", "name", "Blue House"), ("h2", "name", "Red House"), ("h2", "rating", "3.0"), ("h9", "rating", "1.0")], "id string, attribute string, value string")
+    assert {(r.attribute, r.facts, r.accuracy) for r in evaluate.fact_accuracy(kb_rows, facts).collect()} == {("name", 2, 0.5), ("rating", 2, 0.5)}
+
+
+def test_exports_and_raw_records_come_back(spark, tmp_path):
+    nodes, edges = spark.sql("SELECT 'a' AS id"), spark.sql("SELECT 'a' AS src_id, 'b' AS dst_id")
+    sinks.export_graph(nodes, edges, f"{tmp_path}/g", "csv")
+    assert [spark.read.option("header", "true").csv(f"{tmp_path}/g/{n}").collect() for n in ("nodes", "edges")] == [nodes.collect(), edges.collect()]
+    vectors = spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [0.0, 1.0], 1)], "id long, vec array<double>, centroid int")
+    sinks.export_index(vectors, vectors.select("centroid", "vec"), f"{tmp_path}/i")
+    assert [r.id for r in spark.read.parquet(f"{tmp_path}/i/vectors").where("centroid = 1").collect()] == [2]
+    assert spark.read.json(f"{tmp_path}/i/manifest").first().nlist == 2
+    (tmp_path / "raw.json").write_text('{"id": 1}\n{"id": oops\n')
+    raw = readers.read_raw(spark, f"{tmp_path}/raw.json", "json", "id long, _corrupt_record string")
+    assert sorted((r.id is None, r._corrupt_record) for r in raw.collect()) == [(False, None), (True, '{"id": oops')]
+
+
+def test_streams_go_on_where_they_ended_and_drop_what_is_late(spark, tmp_path):
+    def add(rows):
+        spark.createDataFrame(rows, "event_id long, user_id long, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def go():
+        stream = streams.read_events(spark, f"{tmp_path}/in", "10 minutes").withColumn("event_type", F.lit("e"))
+        return sorted((r.start.hour, r.n) for r in streams.run(streams.windows(stream, "1 hour"), f"{tmp_path}/out").collect())
+
+    add([(1, 1, "2024-01-01 00:10:00", 1.0), (2, 1, "2024-01-01 00:50:00", 1.0), (3, 1, "2024-01-01 02:00:00", 1.0)])
+    assert go() == [(0, 2)]
+    # one event for a closed window, which is dropped, and one that closes the window of two o'clock
+    add([(4, 1, "2024-01-01 00:20:00", 1.0), (5, 1, "2024-01-01 04:00:00", 1.0)])
+    assert go() == [(0, 2), (2, 1)]
+    once = streams.run(streams.first_of(streams.read_events(spark, f"{tmp_path}/in", "1 day"), "user_id"), f"{tmp_path}/once")
+    assert once.count() == 1

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,9 +13,10 @@ from pyspark.sql import functions as F
 from wayfold.functions import text as tx
 from wayfold.functions.geo import haversine
 from wayfold.functions.vector import cosine
-from wayfold.operators import graph, knowledge as kn, vectors as vs
+from wayfold.operators import dedup, evaluate as ev, graph, knowledge as kn, vectors as vs
 from wayfold.plans import kb
 from wayfold.session import TABLES, table
+from wayfold.streaming import events
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -259,12 +262,36 @@ def json_extract(spark, sf):
 _shared("suitable_for", f"SELECT p_type AS tag, c_mktsegment AS style, {B} AS weight FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY p_type, c_mktsegment")
 _shared("has_constraint", "SELECT p_partkey AS id, 'price' AS kind, CAST(p_retailprice AS DOUBLE) AS value FROM part UNION ALL SELECT p_partkey, 'size', CAST(p_size AS DOUBLE) FROM part")
 
-_EDGES = "SELECT 'hotel' AS src_type, CAST(s_suppkey AS VARCHAR) AS src_id, 'LOCATED_IN' AS rel, 'area' AS dst_type, CAST(s_nationkey AS VARCHAR) AS dst_id FROM supplier UNION ALL SELECT 'area', CAST(n_nationkey AS VARCHAR), 'LOCATED_IN', 'region', CAST(n_regionkey AS VARCHAR) FROM nation UNION ALL SELECT DISTINCT 'activity', CAST(l_partkey AS VARCHAR), 'OFFERED_AT', 'hotel', CAST(l_suppkey AS VARCHAR) FROM lineitem"
+_EDGES = f"""SELECT 'hotel' AS src_type, CAST(s_suppkey AS VARCHAR) AS src_id, 'LOCATED_IN' AS rel, 'area' AS dst_type, CAST(s_nationkey AS VARCHAR) AS dst_id, CAST(1 AS DOUBLE) AS weight FROM supplier
+UNION ALL SELECT 'area', CAST(n_nationkey AS VARCHAR), 'LOCATED_IN', 'region', CAST(n_regionkey AS VARCHAR), 1 FROM nation
+UNION ALL SELECT DISTINCT 'activity', CAST(l_partkey AS VARCHAR), 'OFFERED_AT', 'hotel', CAST(l_suppkey AS VARCHAR), 1 FROM lineitem
+UNION ALL SELECT 'hotel', CAST(a.id AS VARCHAR), 'NEAR', 'activity', CAST(b.id AS VARCHAR), round({_NEAR}, 3) FROM {H} a JOIN {A} b ON {_NEAR} <= 20
+UNION ALL SELECT 'tag', lower(p_type), 'SUITABLE_FOR', 'style', lower(c_mktsegment), CAST(count(*) AS DOUBLE) FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY lower(p_type), lower(c_mktsegment)
+UNION ALL SELECT 'activity', CAST(p_partkey AS VARCHAR), 'HAS_CONSTRAINT', 'price', CAST(CAST(floor(p_retailprice / 100) AS BIGINT) * 100 AS VARCHAR), 1 FROM part
+UNION ALL SELECT DISTINCT 'activity', CAST(id AS VARCHAR), 'HAS_CONSTRAINT', 'hours', CAST(dow AS VARCHAR) || ' ' || CAST(o AS VARCHAR) || '-' || CAST(o + 480 AS VARCHAR), 1 FROM {_OPEN} x
+UNION ALL SELECT 'activity', CAST(p_partkey AS VARCHAR), 'HAS_CONSTRAINT', 'weather', CASE WHEN p_type = 'SMALL' THEN 'snow' ELSE 'rain' END, 1 FROM part WHERE p_type IN ('PROMO', 'LARGE', 'SMALL')"""
+
+#: Tags that a kind of weather rules out.
+WEATHER = [("PROMO", "rain"), ("LARGE", "rain"), ("SMALL", "snow")]
+
+
+def _constraints(spark, sf):
+    """HAS_CONSTRAINT edges of activities: to their price band, spans of opening hours, and weather they can't have."""
+    a = kb.activities(spark, sf)
+    price = a.select("id", (F.floor(F.col("price") / 100) * 100).alias("to"))
+    span = kb.hours(a, "id").select("id", F.explode("hours").alias("h"))
+    span = span.select("id", F.concat(F.col("h.dow"), F.lit(" "), F.col("h.open_min"), F.lit("-"), F.col("h.close_min")).alias("to")).distinct()
+    rules = spark.createDataFrame(WEATHER, "tag string, to string")
+    return [graph.edge(df, "activity", "id", "HAS_CONSTRAINT", kind, "to") for kind, df in (("price", price), ("hours", span), ("weather", a.join(F.broadcast(rules), "tag")))]
 
 
 def _edges(spark, sf):
-    parts = [graph.edge(table(spark, sf, "supplier"), "hotel", "s_suppkey", "LOCATED_IN", "area", "s_nationkey"), graph.edge(table(spark, sf, "nation"), "area", "n_nationkey", "LOCATED_IN", "region", "n_regionkey"), graph.edge(kb.links(spark, sf), "activity", "src", "OFFERED_AT", "hotel", "dst")]
-    return kn.union_entities(*parts)
+    """All typed edges; the areas' and hotels' places, offers, nearness, suitability and constraints."""
+    places = [graph.edge(table(spark, sf, "supplier"), "hotel", "s_suppkey", "LOCATED_IN", "area", "s_nationkey"), graph.edge(table(spark, sf, "nation"), "area", "n_nationkey", "LOCATED_IN", "region", "n_regionkey"), graph.edge(kb.links(spark, sf), "activity", "src", "OFFERED_AT", "hotel", "dst")]
+    close = graph.edge(kn.near(kb.hotels(spark, sf), kb.activities(spark, sf), 20.0), "hotel", "a_id", "NEAR", "activity", "b_id", F.round("km", 3))
+    sold = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    suits = sold.groupBy(F.lower("p_type").alias("tag"), F.lower("c_mktsegment").alias("style")).agg(F.count(F.lit(1)).alias("n"))
+    return kn.union_entities(*places, close, graph.edge(suits, "tag", "tag", "SUITABLE_FOR", "style", "style", F.col("n")), *_constraints(spark, sf))
 
 
 @_add(f"SELECT rel, src_type, dst_type, CAST(count(*) AS BIGINT) AS edges FROM ({_EDGES}) e GROUP BY 1, 2, 3")
@@ -272,9 +299,9 @@ def graph_build(spark, sf):
     return _edges(spark, sf).dropDuplicates(["src_type", "src_id", "rel", "dst_type", "dst_id"]).groupBy("rel", "src_type", "dst_type").agg(F.count(F.lit(1)).cast("bigint").alias("edges"))
 
 
-@_add(f"SELECT src_type, src_id, rel, dst_type, dst_id FROM ({_EDGES}) e")
+@_add(f"SELECT src_type, src_id, rel, dst_type, dst_id, weight FROM ({_EDGES}) e")
 def graph_export(spark, sf):
-    return _edges(spark, sf).drop("weight")
+    return _edges(spark, sf)
 
 
 @_add("SELECT n_name AS node, r_name AS ancestor, CAST(1 AS BIGINT) AS hops FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT n_name, 'WORLD', CAST(2 AS BIGINT) FROM nation UNION ALL SELECT r_name, 'WORLD', CAST(1 AS BIGINT) FROM region")
@@ -344,8 +371,8 @@ _HOP1 = f"SELECT q, l_suppkey AS node, max(sim) AS score, CAST(count(*) AS BIGIN
 _HOP1_CAP = f"SELECT q, node, score, paths FROM ({_HOP1}) h QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, node) <= 50"
 
 
-def _seeds(spark, sf):
-    return vs.knn_exact(kb.query_vectors(spark, sf), kb.vectors(spark, sf), 10).select("q", "node", F.col("sim").alias("score"))
+def _seeds(spark, sf, queries=None):
+    return vs.knn_exact(kb.query_vectors(spark, sf) if queries is None else queries, kb.vectors(spark, sf), 10).select("q", "node", F.col("sim").alias("score"))
 
 
 @_add(f"SELECT q, node, score, paths, CAST(1 AS BIGINT) AS hop FROM ({_HOP1_CAP}) h")
@@ -365,8 +392,8 @@ def graph_expand_2hop(spark, sf):
 _RERANK = f"SELECT q, node, round(0.7 * score + CAST(0.3 AS DOUBLE) * ln(CAST(1 + paths AS DOUBLE)), 6) AS score FROM ({_HOP1_CAP}) h".replace("0.7 *", "CAST(0.7 AS DOUBLE) *")
 
 
-def _reranked(spark, sf):
-    return graph.expand(_seeds(spark, sf), kb.links(spark, sf), 1).select("q", "node", F.round(F.lit(0.7) * F.col("score") + F.lit(0.3) * F.log(1.0 + F.col("paths")), 6).alias("score"))
+def _reranked(spark, sf, queries=None):
+    return graph.expand(_seeds(spark, sf, queries), kb.links(spark, sf), 1).select("q", "node", F.round(F.lit(0.7) * F.col("score") + F.lit(0.3) * F.log(1.0 + F.col("paths")), 6).alias("score"))
 
 
 @_add(f"SELECT q, node, score, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, node) AS rank FROM ({_RERANK}) r) x WHERE rank <= 10")
@@ -377,9 +404,9 @@ def rerank_weighted(spark, sf):
 _CONF = f"SELECT q, node, round(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1 END * CASE WHEN EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = node) THEN 1 ELSE 0 END, 6) AS confidence FROM (SELECT *, min(score) OVER (PARTITION BY q) AS lo, max(score) OVER (PARTITION BY q) AS hi FROM ({_RERANK}) r) x"
 
 
-def _confident(spark, sf):
+def _confident(spark, sf, queries=None):
     w = Window.partitionBy("q")
-    r = _reranked(spark, sf).withColumns({"lo": F.min("score").over(w), "hi": F.max("score").over(w)})
+    r = _reranked(spark, sf, queries).withColumns({"lo": F.min("score").over(w), "hi": F.max("score").over(w)})
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("node"), F.lit(1).alias("grounded"))
     r = r.join(d, "node", "left").withColumn("c", F.when(F.col("hi") > F.col("lo"), (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(1.0))
     return r.select("q", "node", "score", F.round(F.col("c") * F.coalesce("grounded", F.lit(0)), 6).alias("confidence"))
@@ -394,13 +421,17 @@ _OFFERS = "(SELECT l_suppkey AS id, CAST(CAST(floor(min(l_extendedprice)) AS BIG
 _PACKAGE = f"SELECT c.q, CAST(c.node AS VARCHAR) AS id, h.name, h.type, h.type || ' in ' || n_name AS description, n_name || ' ' || CAST(CAST(round(h.lat * 100) AS BIGINT) AS VARCHAR) || ' ' || CAST(CAST(round(h.lon * 100) AS BIGINT) AS VARCHAR) AS location, o.price_range, h.rating, o.tags, 'LOCATED_IN:' || n_name || coalesce(',' || o.offers, '') AS relationships, d.source AS source_url, d.text AS evidence_text, CAST(c.confidence AS DOUBLE) AS confidence_score FROM ({_CONF}) c JOIN {H} h ON h.id = c.node JOIN nation ON h.area_id = n_nationkey JOIN documents d ON d.doc_id = c.node LEFT JOIN {_OFFERS} o ON o.id = c.node"
 
 
-def _package(spark, sf, k=None):
+def _package(spark, sf, k=None, queries=None):
     """The output contract: a row per query and grounded entity, the best k of each query or all. Prices, tags and
     relationships are aggregated for the entities at hand only. location: area and hundredths of degrees."""
     h, n = kb.hotels(spark, sf), table(spark, sf, "nation")
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("node"), F.col("source").alias("source_url"), F.col("text").alias("evidence_text"))
-    r = _confident(spark, sf).join(h.withColumnRenamed("id", "node"), "node").join(F.broadcast(n), F.col("area_id") == F.col("n_nationkey"))
+    r = _confident(spark, sf, queries).join(h.withColumnRenamed("id", "node"), "node").join(F.broadcast(n), F.col("area_id") == F.col("n_nationkey"))
     r = r.withColumn("id", F.col("node").cast("string"))
+    if queries is not None:
+        told = queries.select(F.col("id").alias("q"), "intent", "entities")
+        wanted = F.coalesce(F.size("entities") <= 0, F.lit(True)) | F.array_contains("entities", F.col("n_name"))
+        r = r.join(told, "q").where(wanted & (~F.col("intent").eqNullSafe("best_rated") | (F.col("rating") >= 3.5)))
     r = r.join(d.select("node"), "node", "left_semi") if k else r
     r = kn.top_per(r, "q", [F.desc("confidence"), F.asc("id")], k).drop("rank") if k else r
     nodes = r.select(F.col("node").alias("l_suppkey")).distinct()
@@ -427,6 +458,25 @@ def hybrid_retrieve(spark, sf):
     return _package(spark, sf, 5)
 
 
+def retrieve(spark: SparkSession, sf: str, queries: DataFrame, k: int = 5) -> DataFrame:
+    """The output contract for a caller's queries (id, vec, intent, entities), the best k entities of each. The caller
+    gives intent and entities: "best_rated" asks for a rating of 3.5 or more, any other intent or null for nothing
+    special; entities names the areas wanted, null or empty for all. A vector of the table is not found by a query of
+    its own id."""
+    return _package(spark, sf, k, queries)
+
+
+_ASKED = f"SELECT p.* FROM ({_PACKAGE}) p JOIN {H} h ON CAST(h.id AS VARCHAR) = p.id JOIN nation ON h.area_id = n_nationkey WHERE (p.q % 200 <> 0 OR p.rating >= 3.5) AND (p.q % 300 <> 0 OR n_nationkey < 12)"
+
+
+@_add(f"SELECT * FROM ({_ASKED}) p QUALIFY row_number() OVER (PARTITION BY q ORDER BY confidence_score DESC, id) <= 5")
+def retrieve_asked(spark, sf):
+    """Every second query asks for the best rated, every third for twelve areas."""
+    areas = table(spark, sf, "nation").where("n_nationkey < 12").agg(F.collect_list("n_name").alias("names"))
+    asked = kb.query_vectors(spark, sf).crossJoin(F.broadcast(areas)).select("id", "vec", F.when(F.col("id") % 200 == 0, F.lit("best_rated")).alias("intent"), F.when(F.col("id") % 300 == 0, F.col("names")).alias("entities"))
+    return retrieve(spark, sf, asked)
+
+
 _VEC = f"SELECT q, node, CAST(rank AS BIGINT) AS rank FROM ({_knn_sql(10)}) a"
 _GRA = f"SELECT q, node, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, node) AS BIGINT) AS rank FROM ({_HOP1_CAP}) h"
 
@@ -463,11 +513,12 @@ def bm25_df(spark, sf):
 @_add(f"WITH t AS (SELECT doc_id, tok FROM {_TOK} x WHERE tok <> ''), l AS (SELECT doc_id, CAST(count(*) AS DOUBLE) AS len FROM t GROUP BY 1), a AS (SELECT CAST((SELECT count(*) FROM documents) AS DOUBLE) AS n, avg(len) AS al FROM l), f AS (SELECT tok, CAST(count(DISTINCT doc_id) AS DOUBLE) AS df FROM t GROUP BY 1), c AS (SELECT doc_id, tok, CAST(count(*) AS DOUBLE) AS tf FROM t GROUP BY 1, 2) SELECT q, c.doc_id, round(sum(ln(1 + (n - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5 AS DOUBLE))) * tf * CAST(2.2 AS DOUBLE) / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * len / al))), 4) AS score FROM (SELECT DISTINCT q, tok FROM {_QTOK} y WHERE tok <> '') k JOIN c ON c.tok = k.tok JOIN f ON f.tok = k.tok JOIN l ON l.doc_id = c.doc_id CROSS JOIN a GROUP BY 1, 2")
 def bm25(spark, sf):
     """The stated queries' words meet the corpus by an equi-join on the word; corpus means are two numbers."""
-    tf = _tokens(spark, sf).groupBy("doc_id", "tok").agg(F.count(F.lit(1)).cast("double").alias("tf"))
-    length = tf.groupBy("doc_id").agg(F.sum("tf").alias("len"))
-    mean, n = length.agg(F.avg("len")).first()[0], float(table(spark, sf, "documents").count())
+    docs = table(spark, sf, "documents").select("doc_id", tx.tokens(F.col("text")).alias("words"))
+    length = docs.select("doc_id", F.size("words").cast("double").alias("len"))
+    mean, n = length.agg(F.avg(F.when(F.col("len") > 0, F.col("len"))), F.count(F.lit(1)).cast("double")).first()
     q = table(spark, sf, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("q"), F.explode(tx.tokens(F.col("text"))).alias("tok")).distinct()
-    hits = tf.join(kn.maybe_broadcast(q.select("tok").distinct()), "tok", "left_semi")
+    hits = docs.select("doc_id", F.explode("words").alias("tok")).join(kn.maybe_broadcast(q.select("tok").distinct()), "tok", "left_semi")
+    hits = hits.groupBy("doc_id", "tok").agg(F.count(F.lit(1)).cast("double").alias("tf"))
     df = hits.groupBy("tok").agg(F.count(F.lit(1)).cast("double").alias("df"))
     s = hits.join(df, "tok").join(length, "doc_id").join(kn.maybe_broadcast(q), "tok")
     part = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.lit(mean)))
@@ -532,4 +583,82 @@ def eval_overlap(spark, sf):
     return _run(spark, sf).groupBy("q").agg(F.sum("rel").cast("bigint").alias("found"))
 
 
+_SCORES = f"SELECT g.q, round(sum(rel) / CAST(10 AS DOUBLE), 6) AS precision, round(sum(rel) / max(n), 6) AS recall, round(max(CASE WHEN rel = 1 THEN CAST(1 AS DOUBLE) / CAST(rank AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS rr, round(sum(rel / log2(CAST(rank + 1 AS DOUBLE))) / max(ideal), 6) AS ndcg FROM ({_RUN}) r JOIN (SELECT q, max(n) AS n, sum(CASE WHEN i <= n THEN 1 / log2(CAST(i + 1 AS DOUBLE)) ELSE 0 END) AS ideal FROM {_GOLD} g, (SELECT unnest(range(1, 11)) AS i) k GROUP BY q) g ON g.q = r.q GROUP BY g.q"
+
+
+@_add(_SCORES)
+def eval_scores(spark, sf):
+    """All measures at once, against the golden set of vectors with the query's label."""
+    v = kb.vectors(spark, sf)
+    golden = kb.query_vectors(spark, sf).select(F.col("id").alias("q"), "label").join(v.select(F.col("id").alias("node"), "label"), "label").where("q != node").select("q", "node")
+    return ev.evaluate(vs.knn_exact(kb.query_vectors(spark, sf), v, 10), golden)
+
+
 _shared("eval_fact_accuracy", "SELECT source, round(avg(CASE WHEN n_chars = length(text) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS accuracy FROM documents GROUP BY source")
+
+
+_WORDS = "SELECT c, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM (SELECT min(doc_id) AS c, text FROM documents GROUP BY text) r"
+_SETS = f"SELECT DISTINCT c, array_to_string(t[i:i + 4], ' ') AS g FROM (SELECT c, t, unnest(range(1, greatest(len(t) - 4, 1) + 1)) AS i FROM ({_WORDS}) w WHERE len(t) > 0) x"
+
+
+@_add(f"WITH s AS ({_SETS}), n AS (SELECT c, count(*) AS n FROM s GROUP BY c), p AS (SELECT x.c AS a, y.c AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.c <> y.c GROUP BY 1, 2), l AS (SELECT a, count(*) AS links FROM p JOIN n x ON x.c = a JOIN n y ON y.c = b WHERE 100 * k >= 80 * (x.n + y.n - k) GROUP BY a) SELECT doc_id, class_id, CAST(coalesce(links, 0) AS BIGINT) AS n_links FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS class_id FROM documents) d LEFT JOIN l ON a = class_id")
+def jaccard_dups(spark, sf):
+    """Near-equal texts: every document with its class of equal texts and the number of other classes it is like."""
+    return dedup.near_equal(table(spark, sf, "documents"), "doc_id", "text")
+
+
+# --- streams: each query runs its stream to the end of the table and returns what it wrote
+
+_LATE = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+
+
+def _stream(spark, sf):
+    # a stream reads a folder or a pattern, and the table may be one file
+    return events.read_events(spark, f"{sf}/event[s].parquet")
+
+
+def _out(spark):
+    """A new folder below spark.checkpoint.dir, which all executors share; only a local session may do without."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="wayfold-")
+    return f"{where.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+@_add("SELECT event_id, user_id, event_type FROM events")
+def stream_ingest(spark, sf):
+    return events.run(_stream(spark, sf).select("event_id", "user_id", "event_type"), _out(spark))
+
+
+@_add(f"SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2, time_bucket(INTERVAL 1 DAY, ts) HAVING time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= {_LATE}")
+def stream_windows(spark, sf):
+    done = events.run(events.windows(_stream(spark, sf), "1 day"), _out(spark))
+    return done.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@_add(f"SELECT user_id, CAST(count(*) AS BIGINT) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events) a) b GROUP BY user_id, run HAVING max(ts) + INTERVAL 6 HOUR <= {_LATE}")
+def stream_sessions(spark, sf):
+    done = events.run(events.sessions(_stream(spark, sf), "6 hours"), _out(spark))
+    return done.select("user_id", "n", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"))
+
+
+@_add("SELECT user_id, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY user_id")
+def stream_state(spark, sf):
+    done = events.run(events.running_totals(_stream(spark, sf)), _out(spark))
+    return done.groupBy("user_id").agg(F.max("n").alias("n"))
+
+
+@_add("SELECT a.user_id, a.event_id AS first_id, b.event_id AS then_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR WHERE a.event_type = 'view' AND b.event_type = 'purchase'")
+def stream_join(spark, sf):
+    first, then = (_stream(spark, sf).where(F.col("event_type") == kind) for kind in ("view", "purchase"))
+    return events.run(events.followed(first, then, "6 HOURS"), _out(spark))
+
+
+# --- further joins, aggregates, windows and maps
+
+_shared("join_full_outer", "SELECT c_custkey, o_orderkey FROM (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) AS c FULL OUTER JOIN (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 2 = 0) AS o ON c_custkey = o_custkey")
+_shared("agg_distinct", "SELECT l_returnflag, CAST(count(DISTINCT l_partkey) AS BIGINT) AS parts, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS hotels, min(l_quantity) AS least FROM lineitem GROUP BY l_returnflag")
+_shared("window_share", "SELECT s_suppkey AS id, CAST(ntile(4) OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS BIGINT) AS quarter, round(cume_dist() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey), 6) AS share FROM supplier")
+_shared("join_right_outer", "SELECT s_suppkey, n_name FROM (SELECT s_suppkey, s_nationkey FROM supplier WHERE s_suppkey % 5 = 0) AS s RIGHT OUTER JOIN nation ON s_nationkey = n_nationkey")
