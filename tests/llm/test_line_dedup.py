@@ -139,3 +139,21 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, gone int")
     out = sorted(((r.doc_id or 9, r.text, r.gone) for r in line_dedup.remove_lines(docs).collect()), key=repr)
     assert out == sorted([(9, "", 1), (2, "a line that stands here too\n\n \n", 1), (2, "a line that stands here too\n\n \n", 1), (3, "ab\nabc", None), (4, None, 1), (5, "", 1), (6, "한국어 \U0001f600", 1)], key=repr)
+
+
+def test_bitmaps_rule_out_no_pair_that_reaches_the_similarity(spark):
+    rng = random.Random(5)
+    base = [LINE, "é" * 30, "ab" * 40, "x", "a short one", " ".join(rng.choice(["alpha", "beta", "gamma", "Ω", "𝔘"]) for _ in range(60))]
+    texts = set(base)
+    for own in base:
+        for _ in range(12):
+            at, n = rng.randrange(len(own)), rng.randrange(1, 4)
+            texts.add(own[:at] + rng.choice("qwertz") * n + own[at + n * rng.randrange(2) :])
+    rows = spark.createDataFrame(list(enumerate(sorted(texts))), "k long, own string")
+    maps = line_dedup.bitmaps(rows)
+    assert maps.count() == len(texts)
+    right = maps.select(*[maps[c].alias(f"{c}_b") for c in maps.columns])
+    passed = {(r.k, r.k_b) for r in maps.crossJoin(right).where("k < k_b").where(line_dedup.may_link("_b")).select("k", "k_b").collect()}
+    sets = {r.k: set(r.s) for r in rows.select("k", line_dedup.shingle_set("own").alias("s")).collect()}
+    alike = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert alike and alike <= passed and len(passed) < len(sets) * (len(sets) - 1) // 4
