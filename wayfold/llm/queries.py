@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import byte_bpe, collocations, fingerprints, license_scan, line_dedup, near_dedup, packing, pii, quality_classifier, quality_rules, source_audit, substring_dedup
+from wayfold.llm import byte_bpe, collocations, fingerprints, license_scan, line_dedup, lm_scoring, near_dedup, packing, pii, quality_classifier, quality_rules, source_audit, substring_dedup
 from wayfold.llm.common import materialize, read_documents
 
 
@@ -58,6 +58,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(read_documents(spark, sf_dir))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(read_documents(spark, sf_dir))
 
@@ -66,7 +70,7 @@ def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(read_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_line_dedup, op3_packing, op4_quality_rules, op5_near_dedup, op6_substring_dedup, op7_fingerprints, op8_pii, op9_license_scan, op10_quality_classifier, op12_collocations, op13_source_audit)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_line_dedup, op3_packing, op4_quality_rules, op5_near_dedup, op6_substring_dedup, op7_fingerprints, op8_pii, op9_license_scan, op10_quality_classifier, op11_lm_scoring, op12_collocations, op13_source_audit)}
 
 #: The results of the others aren't plain SQL: each rests on a tokenizer, a signature, an iteration or a trained model.
 #: tests/llm holds some against brute-force versions and has small cases of the others.
