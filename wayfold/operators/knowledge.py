@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,22 +53,35 @@ def verifiable(df: DataFrame, text: str, least: int = 50) -> DataFrame:
 # --- joins
 
 
-def near(a: DataFrame, b: DataFrame, km: float, lat_limit: float = 60.0) -> DataFrame:
-    """Pairs (a_id, b_id, km) within `km`; both sides have id, lat, lon. Cells of at least km (wider with
-    latitude, up to lat_limit) make an equi-join of each point of a with the nine cells around; longitudes wrap."""
-    import math
-
-    dlat = km / KM_PER_DEGREE
-    dlon = dlat / math.cos(math.radians(lat_limit))
-    columns = max(1, int(360 // dlon))
-    dlon = 360 / columns
-    cell = lambda df: (F.floor(F.col("lat") / dlat), F.pmod(F.floor((F.col("lon") + 180) / dlon), F.lit(columns)))
-    shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    y, x = cell(a)
-    left = a.select(F.col("id").alias("a_id"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), y.alias("y"), x.alias("x"), F.explode(shifts).alias("s"))
-    left = left.select("a_id", "lat1", "lon1", (F.col("y") + F.col("s.i")).alias("y"), F.pmod(F.col("x") + F.col("s.j"), F.lit(columns)).alias("x")).distinct()
-    y, x = cell(b)
-    right = b.select(F.col("id").alias("b_id"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), y.alias("y"), x.alias("x"))
+def _reach(lat: Column, km: float) -> Column:
+    """Degrees of longitude that a circle of km around a point of this latitude reaches to either side; 180 where the
+    circle has a pole in it."""
+    r = math.radians(km / KM_PER_DEGREE * (1 + 1e-9))
+    if r >= math.pi / 2:
+        return F.lit(180.0)
+    side = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(math.sin(r)) / F.cos(F.radians(lat)))))
+    return F.when(F.abs(lat) + math.degrees(r) >= 90, 180.0).otherwise(side * (1 + 1e-9))
+
+
+def near(a: DataFrame, b: DataFrame, km: float) -> DataFrame:
+    """Pairs (a_id, b_id, km) within `km`; both sides have id, lat, lon; points without coordinates are near nothing.
+
+    Points of b lie in cells: rows of latitude as high as km, each parted into as many columns as its width allows (one
+    around the poles). A point of a meets the cells that its circle touches in its row and the two beside it, three a
+    row in most places, so this is an equi-join at every latitude; longitudes wrap."""
+    high = km / KM_PER_DEGREE * (1 + 1e-9)
+    row = lambda lat: F.floor(lat / high)
+    edge = lambda y: F.greatest(F.abs(y * high), F.abs((y + 1) * high))
+    columns = lambda y: F.greatest(F.lit(1), F.floor(360 / _reach(F.least(edge(y), F.lit(90.0)), km)))
+    east = lambda lon: F.pmod(lon + 180, F.lit(360.0))
+    left = a.select(F.col("id").alias("a_id"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), _reach(F.col("lat"), km).alias("reach"), row(F.col("lat")).alias("own"))
+    left = left.where("lat1 is not null and lon1 is not null").withColumn("y", F.explode(F.array(*[F.col("own") + i for i in (-1, 0, 1)]))).withColumn("n", columns(F.col("y")))
+    at = lambda lon: F.floor(lon * F.col("n") / 360)
+    first, last = at(east(F.col("lon1")) - F.col("reach")), at(east(F.col("lon1")) + F.col("reach"))
+    cells = F.when(last - first + 1 >= F.col("n"), F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).otherwise(F.transform(F.sequence(first, last), lambda x: F.pmod(x, F.col("n"))))
+    left = left.select("a_id", "lat1", "lon1", "y", F.explode(cells).alias("x"))
+    y = row(F.col("lat"))
+    right = b.select(F.col("id").alias("b_id"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), y.alias("y"), F.least(F.floor(east(F.col("lon")) * columns(y) / 360), columns(y) - 1).alias("x"))
     pairs = left.join(right, ["y", "x"]).withColumn("km", haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")))
     return pairs.where(F.col("km") <= km).select("a_id", "b_id", "km")
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from wayfold.functions import text as tx
 from wayfold.functions.geo import haversine
 from wayfold.functions.vector import cosine
-from wayfold.operators import dedup, evaluate as ev, graph, knowledge as kn, vectors as vs
+from wayfold.operators import dedup, evaluate as ev, graph, knowledge as kn, mentions as mn, vectors as vs
 from wayfold.plans import kb
 from wayfold.session import TABLES, table
 from wayfold.streaming import events
@@ -170,27 +170,78 @@ def tokenize_df(spark, sf):
     return by_doc.groupBy("tok").agg(F.sum("n").cast("bigint").alias("n"), F.count(F.lit(1)).cast("bigint").alias("df"))
 
 
-_DICT = "(SELECT doc_id AS item, min(tok) AS tok FROM (SELECT item_id AS doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS tok FROM benchmark) b WHERE length(tok) >= 6 GROUP BY doc_id)"
-_MENTIONS = f"SELECT DISTINCT t.doc_id, d.item AS entity_id FROM {_TOK} t JOIN {_DICT} d ON t.tok = d.tok"
+#: Names of one to six words: so many of the first words of a benchmark item.
+_TOKENS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+_NAMES = f"(SELECT DISTINCT entity_id, array_to_string(w, ' ') AS phrase, len(w) AS words FROM (SELECT item_id AS entity_id, ({_TOKENS.format('text')})[1:1 + CAST(item_id % 6 AS INTEGER)] AS w FROM benchmark) b WHERE len(w) > 0)"
+
+
+def _found(texts: str, names: str, key: str = "doc_id") -> str:
+    """SQL of link(): (key, entity_id, start, words) of names in texts (key, text); each mention points to the next."""
+    return f"""WITH RECURSIVE w AS (SELECT {key}, {_TOKENS.format('text')} AS w FROM {texts} x), names AS {names},
+runs AS (SELECT {key}, i AS start, k AS words, array_to_string(w[i + 1:i + k], ' ') AS phrase FROM (SELECT {key}, w, k, unnest(range(0, len(w) - k + 1)) AS i FROM w, (SELECT DISTINCT words AS k FROM names) v WHERE len(w) >= k) y),
+l AS (SELECT {key}, start, max(words) AS words FROM runs WHERE phrase IN (SELECT phrase FROM names) GROUP BY {key}, start),
+after AS (SELECT *, first_value(start) OVER n AS next_start, first_value(words) OVER n AS next_words FROM l WINDOW n AS (PARTITION BY {key} ORDER BY start RANGE BETWEEN words FOLLOWING AND UNBOUNDED FOLLOWING)),
+s AS (SELECT {key}, min(start) AS start, arg_min(words, start) AS words FROM l GROUP BY {key} UNION ALL SELECT {', '.join(f's.{k.strip()}' for k in key.split(','))}, next_start, next_words FROM s JOIN after USING ({key}, start) WHERE next_start IS NOT NULL)
+SELECT {key}, entity_id, CAST(start AS INTEGER) AS start, CAST(words AS INTEGER) AS words FROM s JOIN runs USING ({key}, start, words) JOIN names USING (phrase, words)"""
+
+
+_MENTIONS = _found("documents", _NAMES)
+
+
+def _names(spark, sf):
+    items = table(spark, sf, "benchmark").select(F.col("item_id"), F.array_join(F.slice(tx.tokens(F.col("text")), F.lit(1), (1 + F.col("item_id") % 6).cast("int")), " ").alias("name"))
+    return mn.dictionary(items, "item_id", "name")
 
 
 def _mentions(spark, sf):
-    names = table(spark, sf, "benchmark").select(F.col("item_id").alias("entity_id"), F.explode(tx.tokens(F.col("text"))).alias("tok")).where("length(tok) >= 6").groupBy("entity_id").agg(F.min("tok").alias("tok"))
-    return _tokens(spark, sf).distinct().join(kn.maybe_broadcast(names), "tok").select("doc_id", "entity_id").distinct()
+    return mn.link(table(spark, sf, "documents"), ["doc_id"], "text", _names(spark, sf))
 
 
 @_add(_MENTIONS)
 def link_mentions(spark, sf):
+    """Every mention of a name of one to six words in whole texts."""
     return _mentions(spark, sf)
 
 
-@_add(f"WITH m AS ({_MENTIONS}) SELECT a.entity_id AS src_id, b.entity_id AS dst_id, CAST(count(*) AS BIGINT) AS weight FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.entity_id < b.entity_id GROUP BY 1, 2")
+@_add(f"WITH m AS (SELECT DISTINCT doc_id, entity_id FROM ({_MENTIONS}) x) SELECT a.entity_id AS src_id, b.entity_id AS dst_id, CAST(count(*) AS BIGINT) AS weight FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.entity_id < b.entity_id GROUP BY 1, 2")
 def co_mention_edges(spark, sf):
-    m = _mentions(spark, sf)
+    m = _mentions(spark, sf).select("doc_id", "entity_id").distinct()
     pairs = m.select("doc_id", F.col("entity_id").alias("src_id")).join(m.select("doc_id", F.col("entity_id").alias("dst_id")), "doc_id").where("src_id < dst_id")
     return pairs.groupBy("src_id", "dst_id").agg(F.count(F.lit(1)).cast("bigint").alias("weight"))
 
 
+#: Entities in texts: words 1-2 of an item name a hotel, 4-6 an activity, 9-10 an area; word 7 is a tag.
+_PLACES = (("hotel", 1, 2), ("activity", 4, 3), ("area", 9, 2))
+_ITEMS = f"(SELECT item_id, {_TOKENS.format('text')} AS w FROM benchmark)"
+_TYPED = "(SELECT DISTINCT entity_id, array_to_string(w, ' ') AS phrase, len(w) AS words FROM (" + " UNION ALL ".join([f"SELECT '{kind}:' || item_id AS entity_id, w[{at}:{at + n - 1}] AS w FROM {_ITEMS} b" for kind, at, n in _PLACES] + [f"SELECT 'tag:' || w[7], w[7:7] FROM {_ITEMS} b WHERE len(w) >= 7"]) + ") c WHERE len(w) > 0)"
+RULES = [("OFFERS", "hotel", "activity", 1, None), ("LOCATED_IN", "hotel", "area", 0, None), ("LOCATED_IN", "activity", "area", 0, None), ("HAS_TAG", "activity", "tag", 0, 8), ("HAS_TAG", "hotel", "tag", 0, 8)]
+_RULES = ", ".join(f"('{r}', '{a}', '{b}', {s}, {'NULL' if w is None else w})" for r, a, b, s, w in RULES)
+_PARTS = "(SELECT doc_id, sentence, p[sentence + 1] AS text FROM (SELECT doc_id, p, unnest(range(0, len(p))) AS sentence FROM (SELECT doc_id, regexp_split_to_array(text, '[.!?\n]+') AS p FROM documents) x) y)"
+_RELATIONS = f"""WITH m AS (SELECT doc_id, sentence, entity_id, string_split(entity_id, ':')[1] AS type, start, start + words AS stop FROM ({_found(_PARTS, _TYPED, 'doc_id, sentence')}) x),
+f AS (SELECT entity_id, count(*) AS f FROM (SELECT DISTINCT entity_id, doc_id, sentence FROM m) x GROUP BY 1),
+p AS (SELECT a.type AS src_type, a.entity_id AS src_id, rel, b.type AS dst_type, b.entity_id AS dst_id, a.doc_id, a.sentence AS s, b.sentence AS t FROM m a JOIN m b ON a.doc_id = b.doc_id AND abs(a.sentence - b.sentence) <= 1 AND a.entity_id <> b.entity_id JOIN (VALUES {_RULES}) r(rel, src, dst, within, most) ON a.type = src AND b.type = dst AND abs(a.sentence - b.sentence) <= within AND (most IS NULL OR (a.sentence = b.sentence AND greatest(b.start - a.stop, a.start - b.stop) <= most))),
+u AS (SELECT DISTINCT *, least(s, t) AS x, greatest(s, t) AS y FROM p),
+e AS (SELECT src_type, src_id, rel, dst_type, dst_id, CAST(count(*) AS BIGINT) AS n, min(struct_pack(d := doc_id, x := x, y := y)) AS place FROM u GROUP BY ALL),
+o AS (SELECT e.*, round(ln(CAST(n AS DOUBLE) * CAST((SELECT count(*) FROM {_PARTS} z) AS DOUBLE) / (CAST(a.f AS DOUBLE) * CAST(b.f AS DOUBLE))), 6) AS score FROM e JOIN f a ON a.entity_id = src_id JOIN f b ON b.entity_id = dst_id)
+SELECT src_type, src_id, rel, dst_type, dst_id, n, score, place.d AS doc_id, CAST(place.x AS INTEGER) AS from_sentence, CAST(place.y AS INTEGER) AS to_sentence FROM o
+UNION ALL SELECT 'hotel', CAST(a.id AS VARCHAR), 'NEAR', 'activity', CAST(b.id AS VARCHAR), 1, round(1 / (1 + {_NEAR} / 15), 6), NULL, NULL, NULL FROM {H} a JOIN {A} b ON {_NEAR} <= 15"""
+
+
+@_add(_RELATIONS)
+def relation_edges(spark, sf):
+    """Relations by rules: within a window of sentences, within a window of words, and by distance of coordinates."""
+    w = table(spark, sf, "benchmark").select("item_id", tx.tokens(F.col("text")).alias("w"))
+    places = [w.select(F.concat(F.lit(f"{kind}:"), F.col("item_id")).alias("id"), F.array_join(F.slice("w", at, n), " ").alias("name")) for kind, at, n in _PLACES]
+    tags = w.where("size(w) >= 7").select(F.concat(F.lit("tag:"), F.element_at("w", 7)).alias("id"), F.element_at("w", 7).alias("name"))
+    names = mn.dictionary(kn.union_entities(*places, tags), "id", "name")
+    parts = mn.sentences(table(spark, sf, "documents"), "doc_id", "text")
+    found = mn.link(parts, ["doc_id", "sentence"], "text", names)
+    typed = names.select("entity_id", F.substring_index("entity_id", ":", 1).alias("type")).distinct()
+    told = mn.text_relations(found, typed, spark.createDataFrame(RULES, mn.RULE), parts.count())
+    at = lambda df: df.select(F.col("id").cast("string").alias("id"), "type", "lat", "lon")
+    return told.unionByName(mn.distance_relations(at(kb.hotels(spark, sf)), at(kb.activities(spark, sf)), "NEAR", 15.0))
+
+
 # --- aggregates
 
 _shared("agg_price_range", "SELECT l_suppkey AS id, min(l_extendedprice) AS price_min, max(l_extendedprice) AS price_max FROM lineitem GROUP BY l_suppkey")
