@@ -60,9 +60,15 @@ def test_odd_rows(spark):
     assert lm_scoring.score(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def _sums(model, texts):
+    seen, expected = (tuple(np.zeros((n, maxent.CLASSES)) for n in maxent.ROWS) for _ in range(2))
+    maxent.sums(model, *lm_scoring._counted(maxent.positions(texts)[1]), seen, expected)
+    return seen, expected
+
+
 def _trained(rng):
     """A model with weights, and texts of leaves in which leaf i is mostly followed by 3 i + 1."""
-    texts = [np.array([0], np.uint16)]
+    texts = [np.array([0], np.uint16), np.array([], np.uint16)]
     for n in (1, 2, 50, 3000, 40_000):
         t = [int(rng.integers(maxent.LEAVES))]
         while len(t) < n:
@@ -70,21 +76,22 @@ def _trained(rng):
         texts.append(np.array(t, np.uint16))
     model = maxent.untrained(np.bincount(np.concatenate(texts), minlength=maxent.LEAVES) + 0.5)
     for rate in (1.0, 0.6):
-        seen, expected = (tuple(np.zeros((n, maxent.CLASSES)) for n in maxent.ROWS) for _ in range(2))
-        maxent.sums(model, texts, seen, expected)
-        model = maxent.step(model, seen, expected, rate, 10.0)
+        model = maxent.step(model, *_sums(model, texts), rate, 10.0)
     return model, texts
 
 
+def _rows(before, level, own):
+    """Rows of a context's features, for its class or for the place in class `own`."""
+    code = maxent.positions([np.array([*before, 0], np.uint16)])[1][-1:]
+    return [int(r[0]) for r in maxent._rows(maxent._context(code), np.array([own]) if level else None)]
+
+
 def _slow(model, before, leaf):
     """Natural log of the probability of a leaf after others, feature by feature."""
-    line = np.array([*[maxent.START] * maxent.BACK, *before, leaf], np.uint16)
-    *_, (_, targets, hashes) = maxent.batches([line[maxent.BACK :]])
-    last = [h[-1:] for h in hashes]
     own, place = divmod(int(leaf), maxent.CLASSES)
     total = 0.0
-    for level, (prior, target, rows) in enumerate(((model.prior[0], own, maxent._rows(last, None)), (model.prior[1][own], place, maxent._rows(last, np.array([own]))))):
-        x = [float(prior[k]) + sum(float(model.weights[level][r[0], k]) for r in rows) for k in range(maxent.CLASSES)]
+    for level, (prior, target) in enumerate(((model.prior[0], own), (model.prior[1][own], place))):
+        x = [float(prior[k]) + sum(float(model.weights[level][r, k]) for r in _rows(before, level, own)) for k in range(maxent.CLASSES)]
         total += x[target] - math.log(sum(map(math.exp, x)))
     return total
 
@@ -102,16 +109,34 @@ def test_model_is_a_distribution_and_learns():
     assert maxent.log_probabilities(model, []).shape == (0,)
 
 
-def test_sums_equal_a_loop():
+def test_sums_equal_a_loop(monkeypatch):
     rng = np.random.default_rng(2)
     model, _ = _trained(rng)
-    texts = [rng.integers(0, maxent.LEAVES, n).astype(np.uint16) for n in (0, 1, 7, 30)]
-    seen, expected = (tuple(np.zeros((n, maxent.CLASSES)) for n in maxent.ROWS) for _ in range(2))
-    maxent.sums(model, texts, seen, expected)
-    assert [x.sum() for x in seen] == [4 * 38, 3 * 38] and np.allclose([x.sum() for x in expected], [4 * 38, 3 * 38], rtol=1e-4)
-    want = np.zeros_like(seen[0])
-    for _, leaf, hashes in maxent.batches(texts):
-        for r in maxent._rows(hashes, None):
-            for i in range(len(leaf)):
-                want[r[i], leaf[i] // maxent.CLASSES] += 1
-    assert (want == seen[0]).all()
+    texts = [np.array(rng.integers(0, n, n), np.uint16) for n in (0, 1, 7, 30)] * 2
+    monkeypatch.setattr(maxent, "BATCH", 16)
+    seen, expected = _sums(model, texts)
+    want = [tuple(np.zeros((n, maxent.CLASSES)) for n in maxent.ROWS) for _ in range(2)]
+    for t in texts:
+        for i, leaf in enumerate(t):
+            own, place = divmod(int(leaf), maxent.CLASSES)
+            for level, (prior, target) in enumerate(((model.prior[0], own), (model.prior[1][own], place))):
+                rows = _rows(t[:i], level, own)
+                p = np.exp(prior.astype(np.float64) + sum(model.weights[level][r].astype(np.float64) for r in rows))
+                for r in rows:
+                    want[0][level][r, target] += 1
+                    want[1][level][r] += p / p.sum()
+    for level in range(2):
+        assert (want[0][level] == seen[level]).all() and np.allclose(want[1][level], expected[level], atol=1e-3)
+
+
+def test_context_counts(spark):
+    rng = np.random.default_rng(3)
+    texts = [np.array(rng.integers(0, 40, n), np.uint16) for n in (0, 1, 500, 3000, 3000)]
+    df = spark.createDataFrame([(k == 1, t.tobytes()) for k, t in enumerate(texts)] * 3, "held_out boolean, leaves binary").repartition(4)
+    got = {}
+    for r in lm_scoring.context_counts(df).collect():
+        for code, n in zip(lm_scoring._numbers(r.codes, "<u4").tolist(), lm_scoring._numbers(r.n, "<i8").tolist(), strict=True):
+            assert code >> (32 - lm_scoring.BLOCK_BITS) == r.block and code not in got
+            got[code] = n
+    want = Counter(maxent.positions([t for k, t in enumerate(texts) if k != 1] * 3)[1].tolist())
+    assert got == want

@@ -2,10 +2,11 @@
 
 The model (maxent.py) predicts leaves: the end of a text and the commonest words have one each, all other words share
 the leaves that their last bytes name. A word's probability is its leaf's given the words before, times its share of the
-leaf by counts; in a shared leaf, a word that no training text has keeps the share of half an occurrence. Training is
-a few passes of distributed gradient updates: tasks sum up what each weight has seen and what the model expects, Spark
-adds these up by blocks of weights, and the new weights go to all tasks. The model has a fixed size; counts have not:
-those of the HEAD commonest tokens go to all tasks, the others meet their words in a join (none of them is frequent).
+leaf by counts; in a shared leaf, a word that no training text has keeps the share of half an occurrence. Training
+texts are first counted by context and leaf, in one distributed pass. Gradient updates then run over these counts: tasks
+sum up what each weight has seen and what the model expects, Spark adds these up by blocks of weights, and the new
+weights go to all tasks. The model has a fixed size; counts of tokens have not: those of the HEAD commonest tokens go to
+all tasks, the others meet their words in a join (none of them is frequent).
 """
 
 from __future__ import annotations
@@ -27,11 +28,11 @@ FOLDS, HELD_OUT = 5, 1
 #: Tokens whose counts are sent to all tasks, at most; the commonest words that have a leaf for themselves.
 HEAD, OWN_LEAF = 1 << 18, maxent.LEAVES // 2
 #: Steps of the gradient updates, and how much weights of rare rows are held back.
-RATES, EASE = (1.0, 0.6), 10.0
-#: Tokens that a task counts at once, rare tokens whose leaf it remembers, leaves whose gradient it adds up at once.
-CHUNK, REMEMBERED, TOGETHER = 1_000_000, 200_000, 1_000_000
-#: Rows of weights in a block that is added up together.
-BLOCK = 1 << 8
+RATES, EASE = (1.2, 0.8, 0.6), 10.0
+#: Tokens that a task counts at once, rare tokens whose leaf it remembers, leaves that it counts or scores at once.
+CHUNK, REMEMBERED, TOGETHER = 1_000_000, 200_000, 4_000_000
+#: Rows of weights in a block that is added up together; bits of a code that name the block it is counted in.
+BLOCK, BLOCK_BITS = 1 << 8, 10
 
 #: The end of a text, which is a token; no word is empty.
 END = b""
@@ -153,19 +154,67 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield batch, [np.frombuffer(x, "<u2") for x in batch.column("leaves").to_pylist()]
 
 
+def _counted(codes: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes, and how often each occurs (n times where given)."""
+    if n is None:
+        codes = np.sort(codes)
+    else:
+        order = np.argsort(codes, kind="stable")
+        codes, n = codes[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
+    return codes[first], np.diff(np.append(first, len(codes))) if n is None else np.add.reduceat(n, first) if len(first) else n
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of numbers by significance, which Spark's codecs shorten well."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _numbers(raw: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind)[:, 0]
+
+
+def context_counts(rows: DataFrame) -> DataFrame:
+    """block, codes, n: how often every context and leaf occurs in rows that aren't held out, a row a block of codes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in _texts(batches):
+            codes, n = _counted(maxent.positions(texts)[1])
+            block, first = np.unique(codes >> np.uint32(32 - BLOCK_BITS), return_index=True)
+            ends = np.append(first[1:], len(codes))
+            parts = [[_planes(x[i:j]) for i, j in zip(first, ends, strict=True)] for x in (codes, n.astype("<u4"))] if len(codes) else [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), *(pa.array(x, pa.binary()) for x in parts)], names=["block", "codes", "n"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for block, codes, n in zip(*(batch.column(c).to_pylist() for c in ("block", "codes", "n")), strict=True):
+                own = held.setdefault(block, [])
+                own.append((_numbers(codes, "<u4"), _numbers(n, "<u4").astype(np.int64)))
+                if sum(len(c) for c, _ in own[1:]) > max(200_000, len(own[0][0])):  # doubles at least before it is merged
+                    held[block] = [_counted(*map(np.concatenate, zip(*own, strict=True)))]
+        for block, own in held.items():
+            codes, n = _counted(*map(np.concatenate, zip(*own, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([_planes(codes)], pa.binary()), pa.array([_planes(n)], pa.binary())], names=["block", "codes", "n"])
+
+    kind = "block int, codes binary, n binary"
+    return materialize(rows.where(~F.col("held_out")).select("leaves").mapInArrow(run, kind).repartition("block").mapInArrow(merge, kind))
+
+
 def train(rows: DataFrame, mass: np.ndarray) -> maxent.Model:
     """A model of the leaves of rows that aren't held out. A round sends each task's sums once, in blocks; what weights
     see is the same in all rounds and summed in the first. Blocks in which a task has nothing aren't sent."""
     model, seen, sizes = maxent.untrained(mass), None, maxent.ROWS
-    blocks = sum(sizes) // BLOCK
+    blocks, counts = sum(sizes) // BLOCK, context_counts(rows)
     for rate in RATES:
         held = rows.sparkSession.sparkContext.broadcast((model, seen is None))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             model, first = held.value
             kinds = [tuple(np.zeros((n, maxent.CLASSES)) for n in sizes) for _ in range(1 + first)]
-            for _, texts in _texts(batches):
-                maxent.sums(model, texts, kinds[1] if first else None, kinds[0])
+            for batch in batches:
+                for codes, n in zip(batch.column("codes").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                    maxent.sums(model, _numbers(codes, "<u4"), _numbers(n, "<i8"), kinds[1] if first else None, kinds[0])
             for kind, levels in enumerate(kinds):
                 for k, part in enumerate(np.concatenate(levels).reshape(blocks, -1)):
                     if part.any():
@@ -179,7 +228,7 @@ def train(rows: DataFrame, mass: np.ndarray) -> maxent.Model:
             for block, x in total.items():
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], names=["block", "sums"])
 
-        added = rows.where(~F.col("held_out")).select("leaves").mapInArrow(run, "block int, sums binary").repartition("block").mapInArrow(merge, "block int, sums binary").toArrow()
+        added = counts.select("codes", "n").mapInArrow(run, "block int, sums binary").repartition("block").mapInArrow(merge, "block int, sums binary").toArrow()
         whole = np.zeros((2 * blocks, BLOCK * maxent.CLASSES), np.float32)
         for block, raw in zip(added.column("block").to_pylist(), added.column("sums").to_pylist(), strict=True):
             whole[block] = np.frombuffer(raw, np.float32)
