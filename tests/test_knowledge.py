@@ -58,11 +58,11 @@ def test_vietnamese_text(spark):
     assert tuple(r) == (True, True, True)
 
 
-def test_ivf_with_all_lists_is_exact_and_lsh_recalls(spark, sf):
+def test_ivf_with_all_lists_is_exact_and_lsh_recalls(spark, sf, tmp_path):
     v, q = kb.vectors(spark, sf), kb.query_vectors(spark, sf)
     exact = {(r.q, r.node) for r in vs.knn_exact(q, v, 10).collect()}
-    index, centres = vs.ivf_build(v, 4)
-    assert {(r.q, r.node) for r in vs.ivf_search(q, index, centres, 10, 4).collect()} == exact
+    index = vs.ivf_write(v, f"{tmp_path}/ivf", 4)
+    assert {(r.q, r.node) for r in index.search(q, 10, 4).collect()} == exact
     for df in (QUERIES["knn_lsh"](spark, sf), QUERIES["knn_ivf"](spark, sf)):
         assert len({(r.q, r.node) for r in df.collect()} & exact) >= 0.9 * len(exact)
 

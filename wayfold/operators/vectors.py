@@ -1,85 +1,239 @@
-"""Vector search: exact by blocks, by partitioned index (IVF), by hashing; hashed stand-in embeddings."""
+"""Vector search by cosine: exact, by a written index of lists (IVF), by hashing; hashed stand-in embeddings.
+
+All searches rank with one plan: blocks of queries meet blocks of vectors as a matrix product, each block keeps its best
+k of a query, and a window picks the last ones. Queries that take little memory go to the vectors, which stay where they
+are; others meet the vectors in groups of bounded size. Equal vectors rank by id; a vector is not found by a query of its
+own id; a vector of zeros is like nothing (0).
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.functions.text import tokens
 from wayfold.functions.vector import cosine
 from wayfold.operators.knowledge import top_per
 
-#: A query block that meets all vectors; more queries are dealt into several blocks.
-QUERY_BLOCK = 2_000
-
-
-def knn_exact(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(q, node, sim, rank) in SQL functions: the stated queries are broadcast, the vectors stay where they are."""
-    pairs = vectors.select(F.col("id").alias("node"), F.col("vec").alias("v")).crossJoin(F.broadcast(queries.select(F.col("id").alias("q"), F.col("vec").alias("u"))))
-    pairs = pairs.where("q != node").select("q", "node", F.round(cosine(F.col("u"), F.col("v")), 6).alias("sim"))
-    return top_per(pairs, "q", [F.col("sim").desc(), F.col("node").asc()], k)
-
-
-def knn_blas(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """The same by matrix products: each batch of vectors keeps its best k a query, a window picks the final.
-    Queries come to the driver in blocks of QUERY_BLOCK rows, and a block at a time goes to the executors."""
-    total = queries.count()
-    out = None
-    blocks = max(1, -(-total // QUERY_BLOCK))
-    for b in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("id", "vec").toPandas()
-        ids, u = own["id"].to_numpy(), np.array(own["vec"].tolist(), dtype=np.float64).reshape(len(own), -1)
-        u = u / np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-300) if len(own) else u
-        held = queries.sparkSession.sparkContext.broadcast((ids, u))
-
-        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            ids, u = held.value
-            for pdf in batches:
-                if len(pdf) and len(ids):
-                    node, v = pdf["id"].to_numpy(), np.array(pdf["vec"].tolist(), dtype=np.float64)
-                    sim = np.round((u @ v.T) / np.linalg.norm(v, axis=1), 6)
-                    sim[ids[:, None] == node[None, :]] = -np.inf
-                    top = np.lexsort((np.broadcast_to(node, sim.shape), -sim), axis=1)[:, :k]
-                    best = np.take_along_axis(sim, top, axis=1)
-                    yield pd.DataFrame({"q": np.repeat(ids, top.shape[1]), "node": node[top].ravel(), "sim": best.ravel()}).query("sim > -inf")
-
-        part = vectors.select("id", "vec").mapInPandas(run, "q bigint, node bigint, sim double")
-        out = part if out is None else out.unionByName(part)
-    return top_per(out, "q", [F.col("sim").desc(), F.col("node").asc()], k)
-
-
-def ivf_build(vectors: DataFrame, nlist: int, sample: int = 100_000, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """Centroids fitted on at most `sample` vectors; all vectors with their centroid."""
-    df = vectors.withColumn("features", array_to_vector("vec"))
-    total = df.count()
-    fit = df if total <= sample else df.sample(sample / total, seed=seed)
-    model = KMeans(k=nlist, seed=seed, distanceMeasure="cosine", featuresCol="features", predictionCol="centroid").fit(fit)
-    centres = vectors.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "centroid int, centre array<double>")
-    return model.transform(df).drop("features"), centres
-
-
-def ivf_search(queries: DataFrame, index: DataFrame, centres: DataFrame, k: int, nprobe: int) -> DataFrame:
-    """Each query probes its nprobe nearest lists: an equi-join on the centroid."""
-    probes = queries.select(F.col("id").alias("q"), F.col("vec").alias("u")).crossJoin(F.broadcast(centres))
-    probes = top_per(probes.withColumn("sim", cosine(F.col("u"), F.col("centre"))), "q", [F.col("sim").desc(), F.col("centroid").asc()], nprobe).select("q", "u", "centroid")
-    pairs = index.select(F.col("id").alias("node"), F.col("vec").alias("v"), "centroid").join(F.broadcast(probes), "centroid").where("q != node")
-    return top_per(pairs.select("q", "node", F.round(cosine(F.col("u"), F.col("v")), 6).alias("sim")), "q", [F.col("sim").desc(), F.col("node").asc()], k)
-
-
-def knn_lsh(queries: DataFrame, vectors: DataFrame, k: int, radius: float = 1.6, bucket: float = 1.0, tables: int = 12) -> DataFrame:
-    """Bucketed random projections: candidates within a distance share a bucket, the best k are ranked."""
-    model = BucketedRandomProjectionLSH(inputCol="f", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=11).fit(vectors.withColumn("f", array_to_vector("vec")))
-    own = lambda df: model.transform(df.withColumn("f", array_to_vector("vec")))
-    pairs = model.approxSimilarityJoin(own(queries), own(vectors), radius, "dist")
-    pairs = pairs.select(F.col("datasetA.id").alias("q"), F.col("datasetB.id").alias("node"), F.round(cosine(F.col("datasetA.vec"), F.col("datasetB.vec")), 6).alias("sim")).where("q != node")
-    return top_per(pairs, "q", [F.col("sim").desc(), F.col("node").asc()], k)
+#: Bytes of queries that are sent to every executor at most; queries and vectors of a group beyond that.
+QUERY_BYTES, QUERY_BLOCK, VECTOR_BLOCK = 32 << 20, 2_000, 20_000
+#: Vectors that centroids are fitted on, and rows of a list that one file holds.
+SAMPLE, FILE_ROWS = 100_000, 1_000_000
+
+_FOUND = "q long, node long, sim double"
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows of unit length."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+
+
+def _best(ids: np.ndarray, u: np.ndarray, nodes: np.ndarray, v: np.ndarray, k: int) -> pa.RecordBatch:
+    """The best k of the vectors for each query."""
+    sim = np.round(u @ v.T, 6) + 0.0
+    sim[ids[:, None] == nodes[None, :]] = -np.inf
+    order = np.argsort(nodes, kind="stable")
+    top = order[np.argsort(-sim[:, order], axis=1, kind="stable")[:, :k]]
+    best = np.take_along_axis(sim, top, axis=1).ravel()
+    there = best > -np.inf
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, top.shape[1])[there]), pa.array(nodes[top].ravel()[there]), pa.array(best[there])], names=["q", "node", "sim"])
+
+
+def _rank(found: DataFrame, k: int) -> DataFrame:
+    return top_per(found, "q", [F.col("sim").desc(), F.col("node").asc()], k)
+
+
+def _usable(df: DataFrame, *more: str) -> DataFrame:
+    return df.where("id is not null and vec is not null").select("id", "vec", *more)
+
+
+def _small(queries: DataFrame) -> bool:
+    return (queries.agg(F.sum(F.size("vec") * 8 + 16)).first()[0] or 0) <= QUERY_BYTES
+
+
+def _columns(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def _grouped(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """Queries and vectors (id, vec, list) of one list meet in groups of at most some VECTOR_BLOCK by QUERY_BLOCK rows,
+    however large the list: both sides are dealt into parts, and every part meets every part of the other."""
+    # columns of both sides get new names, as they may come from one table
+    left = vectors.select(F.col("id").alias("node"), F.col("vec").alias("v"), F.col("list").alias("a"))
+    right = queries.select(F.col("id").alias("q"), F.col("vec").alias("u"), F.col("list").alias("b"))
+    sizes = lambda df, key, n, most: df.groupBy(F.col(key).alias("of")).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(n))
+    parts = sizes(right, "b", "blocks", QUERY_BLOCK).join(sizes(left, "a", "parts", VECTOR_BLOCK), "of")
+    deal = lambda x, n: F.pmod(F.xxhash64(x), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = left.join(parts, F.col("a") == F.col("of")).select("node", "v", "a", deal("node", "parts").alias("a1"), every("blocks").alias("a2"))
+    right = right.join(parts, F.col("b") == F.col("of")).select("q", "u", "b", every("parts").alias("b1"), deal("q", "blocks").alias("b2"))
+
+    def meet(v: pa.Table, u: pa.Table) -> pa.Table:
+        if not len(u) or not len(v):
+            return pa.table({"q": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
+        return pa.Table.from_batches([_best(u.column("q").to_numpy(), _matrix(u.column("u")), v.column("node").to_numpy(), _matrix(v.column("v")), k)])
+
+    return left.groupBy("a", "a1", "a2").cogroup(right.groupBy("b", "b1", "b2")).applyInArrow(meet, _FOUND)
+
+
+def search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(q, node, sim, rank): the k nearest vectors of each query, exactly; both sides have id and vec."""
+    q, v = _usable(queries), _usable(vectors)
+    if not _small(q):
+        one = F.lit(0).alias("list")
+        return _rank(_grouped(q.select("id", "vec", one), v.select("id", "vec", one), k), k)
+    own = q.toArrow()
+    held = q.sparkSession.sparkContext.broadcast((own.column("id").to_numpy(), _matrix(own.column("vec"))) if len(own) else None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held.value is None:
+            return
+        ids, u = held.value
+        for batch in batches:
+            if batch.num_rows:
+                nodes, v = batch.column("id").to_numpy(), _matrix(batch.column("vec"))
+                for i in range(0, len(ids), QUERY_BLOCK):
+                    yield _best(ids[i : i + QUERY_BLOCK], u[i : i + QUERY_BLOCK], nodes, v, k)
+
+    return _rank(v.mapInArrow(run, _FOUND), k)
+
+
+knn_exact = knn_blas = search
+
+
+# --- an index of lists in files
+
+
+@dataclass
+class Ivf:
+    """A written index: vectors (id, vec, further columns) in a folder for each list, centroids, a manifest."""
+
+    spark: SparkSession
+    path: str
+    centres: np.ndarray
+    schema: str
+
+    def vectors(self, lists: list[int] | None = None) -> DataFrame:
+        """All vectors with their list, or those of some lists only: other folders aren't read."""
+        df = self.spark.read.schema(self.schema).parquet(f"{self.path}/vectors")
+        return df if lists is None else df.where(F.col("list").isin(lists))
+
+    def assigned(self, df: DataFrame, n: int = 1) -> DataFrame:
+        """df with column list: for each row the n lists whose centroids are nearest, nearest first."""
+        held, kinds = self.spark.sparkContext.broadcast(self.centres), _columns(df)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            centres = held.value
+            for batch in batches:
+                if batch.num_rows:
+                    near = np.argsort(-np.round(_matrix(batch.column("vec")) @ centres.T, 9), axis=1, kind="stable")[:, :n]
+                    own = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1])))
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(near.ravel().astype(np.int32))], names=[*batch.schema.names, "list"])
+
+        return df.mapInArrow(run, f"{kinds}, list int")
+
+    def add(self, vectors: DataFrame, mode: str = "append") -> None:
+        """Further vectors go into the lists of the centroids as they are; nothing is fitted or rewritten."""
+        rows = self.assigned(vectors.where("id is not null and vec is not null").drop("list"))
+        counts = rows.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / FILE_ROWS).cast("int").alias("files"))
+        # a large list is written by several tasks
+        dealt = rows.join(F.broadcast(counts), "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("files")))
+        dealt.repartition("list", "part").drop("files", "part").write.mode(mode).partitionBy("list").parquet(f"{self.path}/vectors")
+
+    def search(self, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
+        """(q, node, sim, rank): the k nearest vectors of each query among those in its nprobe nearest lists."""
+        q = self.assigned(_usable(queries), nprobe)
+        if not _small(q):
+            return _rank(_grouped(q, _usable(self.vectors(), "list"), k), k)
+        own = q.toArrow()
+        lists = own.column("list").to_numpy()
+        probes = {int(x): (own.column("id").to_numpy()[lists == x], _matrix(own.column("vec").take(pa.array(np.flatnonzero(lists == x))))) for x in np.unique(lists)}
+        held = self.spark.sparkContext.broadcast(probes)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = batch.column("list").to_numpy()
+                for x in np.unique(own):
+                    part = batch.take(pa.array(np.flatnonzero(own == x)))
+                    yield _best(*held.value[int(x)], part.column("id").to_numpy(), _matrix(part.column("vec")), k)
+
+        return _rank(_usable(self.vectors(sorted(probes)), "list").mapInArrow(run, _FOUND), k)
+
+
+def ivf_write(vectors: DataFrame, path: str, nlist: int, sample: int = SAMPLE, seed: int = 7) -> Ivf:
+    """A new index of vectors (id, vec, further columns). Centroids are fitted on the vectors with the least hashes of
+    their ids, `sample` at most; all vectors are put into lists. An empty table has no index (ValueError)."""
+    spark, rows = vectors.sparkSession, vectors.where("id is not null and vec is not null")
+    total = rows.count()
+    if not total:
+        raise ValueError("no vectors to index")
+    part = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(int(min(1.0, sample / total) * (1 << 20)))
+    fit = (rows if total <= sample else rows.where(part)).select(array_to_vector("vec").alias("f"))
+    model = KMeans(k=min(nlist, total), seed=seed, distanceMeasure="cosine", featuresCol="f").fit(fit)
+    centres = np.array(model.clusterCenters())
+    own = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(centres)], "list int, centre array<double>")
+    own.coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+    schema = f"{_columns(rows.drop('list'))}, list int"
+    index = Ivf(spark, path, centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300), schema)
+    index.add(rows, "overwrite")
+    spark.createDataFrame([(len(centres), "cosine", schema)], "nlist int, metric string, schema string").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    return index
+
+
+def ivf_open(spark: SparkSession, path: str) -> Ivf:
+    """An index that ivf_write has written; without a manifest it is not complete, and reading fails."""
+    told = spark.read.json(f"{path}/manifest").first()
+    rows = spark.read.parquet(f"{path}/centroids").orderBy("list").collect()
+    if len(rows) != told.nlist:
+        raise ValueError(f"{path}: {len(rows)} centroids, {told.nlist} expected")
+    centres = np.array([r.centre for r in rows])
+    return Ivf(spark, path, centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300), told.schema)
+
+
+# --- hashing
+
+
+def _buckets(dim: int, bits: int, tables: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    planes = np.random.default_rng(seed).standard_normal((dim, bits * tables))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                signs = (_matrix(batch.column("vec")) @ planes > 0).reshape(-1, tables, bits)
+                own = signs @ (1 << np.arange(bits)) + (np.arange(tables) << bits)
+                row = pa.array(np.repeat(np.arange(batch.num_rows), tables))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(row), pa.array(own.ravel().astype(np.int64))], names=["id", "bucket"])
+
+    return run
+
+
+def lsh_pairs(queries: DataFrame, vectors: DataFrame, bits: int, tables: int, seed: int = 11) -> DataFrame:
+    """(q, node): vectors that share a bucket with a query in one of the tables; a bucket is the sides of `bits` random
+    planes. A pair at angle t shares one with probability 1 - (1 - (1 - t / pi) ^ bits) ^ tables."""
+    q, v = _usable(queries), _usable(vectors)
+    first = v.select(F.size("vec").alias("n")).first()
+    run = _buckets(first.n if first else 1, bits, tables, seed)
+    a = q.mapInArrow(run, "id long, bucket long").withColumnRenamed("id", "q")
+    b = v.mapInArrow(run, "id long, bucket long").withColumnRenamed("id", "node")
+    return a.join(b, "bucket").where("q != node").select("q", "node").distinct()
+
+
+def knn_lsh(queries: DataFrame, vectors: DataFrame, k: int, bits: int = 8, tables: int = 112) -> DataFrame:
+    """(q, node, sim, rank) among the vectors that share a bucket with the query. Fewer bits or more tables find more
+    and look at more; see the README for shares and recall."""
+    pairs = lsh_pairs(queries, vectors, bits, tables)
+    own = pairs.join(_usable(queries).select(F.col("id").alias("q"), F.col("vec").alias("u")), "q").join(_usable(vectors).select(F.col("id").alias("node"), F.col("vec").alias("v")), "node")
+    return _rank(own.select("q", "node", F.round(cosine(F.col("u"), F.col("v")), 6).alias("sim")), k)
 
 
 def hash_embedding(df: DataFrame, text: str, dim: int = 64) -> DataFrame:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +17,7 @@ from wayfold.operators import dedup, evaluate as ev, graph, knowledge as kn, men
 from wayfold.plans import kb
 from wayfold.session import TABLES, table
 from wayfold.streaming import events
+from wayfold.tables import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -402,8 +403,16 @@ def cosine_pairs(spark, sf):
 
 @_add()
 def knn_ivf(spark, sf):
-    index, centres = vs.ivf_build(kb.vectors(spark, sf), 16)
-    return vs.ivf_search(kb.query_vectors(spark, sf), index, centres, 10, 12)
+    """Searches a written index: it is opened where a call on the same files has written it, else written first."""
+    v = kb.vectors(spark, sf)
+    files = table(spark, sf, "embeddings").select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size").distinct()
+    at = files.agg(F.md5(F.to_json(F.array_sort(F.collect_list(F.struct("*")))))).first()[0]
+    path = f"{shared_dir(spark)}/ivf-{at}"
+    try:
+        index = vs.ivf_open(spark, path)
+    except AnalysisException:  # no such index
+        index = vs.ivf_write(v, path, 16)
+    return index.search(kb.query_vectors(spark, sf), 10, 12)
 
 
 @_add()
@@ -669,13 +678,8 @@ def _stream(spark, sf):
 
 
 def _out(spark):
-    """A new folder below spark.checkpoint.dir, which all executors share; only a local session may do without."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="wayfold-")
-    return f"{where.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir, which all executors share."""
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @_add("SELECT event_id, user_id, event_type FROM events")
