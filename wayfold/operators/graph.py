@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.operators.knowledge import top_per
+from wayfold.tables import dropped, stored
 
 EDGE = ["src_type", "src_id", "rel", "dst_type", "dst_id", "weight"]
 
@@ -27,13 +28,69 @@ def expand(seeds: DataFrame, edges: DataFrame, hops: int = 1, cap: int = 50) ->
     return out
 
 
-def closure(parents: DataFrame, depth: int = 8) -> DataFrame:
-    """(node, ancestor, hops) of a tree (node, parent), by unrolled joins up to `depth` levels."""
-    level = parents.where("parent is not null").select("node", F.col("parent").alias("ancestor"), F.lit(1).cast("bigint").alias("hops"))
-    out, up = level, parents.select(F.col("node").alias("ancestor"), "parent")
-    for _ in range(depth - 1):
-        level = level.join(up, "ancestor").where("parent is not null").select("node", F.col("parent").alias("ancestor"), (F.col("hops") + 1).alias("hops"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
+def closure(parents: DataFrame) -> DataFrame:
+    """(node, ancestor, hops): all that is reached from each node of (node, parent) by any number of steps up, with the
+    least number. Any graph will do: several parents, cycles (nothing is its own ancestor), any depth. Every round only
+    the pairs found in the round before take a step, and pairs already known are left out, until there are none."""
+    up = stored(parents.where("node is not null and parent is not null and node != parent").select("node", "parent").distinct())
+    step = up.select(F.col("node").alias("ancestor"), F.col("parent").alias("next"))
+    found = [stored(up.select("node", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("hops")))]
+    known = found[0]
+    while not found[-1].isEmpty():
+        ahead = found[-1].join(step, "ancestor").select("node", F.col("next").alias("ancestor")).where("node != ancestor").distinct()
+        new = ahead.join(known, ["node", "ancestor"], "left_anti")
+        found.append(stored(new.withColumn("hops", F.lit(len(found) + 1).cast("long"))))
+        known = known.unionByName(found[-1])
+    out = stored(known)
+    dropped(up, *found)
     return out
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): the nodes of the edges (src, dst), taken both ways, with the least node of their component.
+
+    Every node hangs on a smaller one by turns: its larger neighbours hang on its least neighbour (so stars grow), then
+    its smaller neighbours and itself do (so chains fold), until nothing moves. Rounds grow with the logarithm of the
+    longest path, and no component is ever gathered in one place."""
+    own = edges.where("src is not null and dst is not null and src != dst")
+    e = stored(own.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    state = None
+    while True:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.inline(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))))
+        after = stored(small.where("u != v").distinct())
+        now = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        dropped(e, large)
+        if now == state:
+            break
+        e, state = after, now
+    # nothing hangs on anything but roots now
+    roots = after.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return after.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-9, most: int = 200) -> DataFrame:
+    """(node, rank): the stationary share of a walk that follows a random edge (src, dst; repeated ones count once, an
+    edge of a node to itself counts) with probability `damping` and else, as from nodes without edges, goes to a random
+    node. Ranks are shares times the number of nodes, so that their mean is 1. Rounds end when the shares together move
+    by less than `tolerance`, or after `most`."""
+    e = edges.where("src is not null and dst is not null").select("src", "dst").distinct()
+    links = stored(e.join(e.groupBy(F.col("src").alias("s")).agg((1.0 / F.count(F.lit(1))).alias("share")), F.col("src") == F.col("s")).select("src", "dst", "share"))
+    nodes = links.select(F.col("src").alias("node"), F.lit(False).alias("ends")).unionByName(links.select(F.col("dst").alias("node"), F.lit(True).alias("ends")))
+    nodes = stored(nodes.groupBy("node").agg(F.min("ends").alias("ends")))  # ends: no edge leaves it
+    ranks = stored(nodes.select("node", "ends", F.lit(1.0).alias("rank")))
+    n, lost = nodes.agg(F.greatest(F.count(F.lit(1)), F.lit(1)), F.coalesce(F.sum(F.col("ends").cast("double")), F.lit(0.0))).first()
+    for _ in range(most):
+        came = links.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("share") * F.col("rank")).alias("came"))
+        walk = F.coalesce("came", F.lit(0.0)) + F.lit(lost / n)
+        new = stored(ranks.join(came, F.col("node") == F.col("to"), "left").select("node", "ends", (F.lit(1 - damping) + damping * walk).alias("rank"), F.abs(F.lit(1 - damping) + damping * walk - F.col("rank")).alias("moved")))
+        moved, lost = new.agg(F.coalesce(F.sum("moved"), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("ends"), F.col("rank"))), F.lit(0.0))).first()
+        dropped(ranks)
+        ranks = new
+        if moved / n < tolerance:
+            break
+    dropped(links, nodes)
+    return ranks.select("node", "rank")

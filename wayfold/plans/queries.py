@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from wayfold.functions import text as tx
 from wayfold.functions.geo import haversine
 from wayfold.functions.vector import cosine
-from wayfold.operators import dedup, evaluate as ev, graph, knowledge as kn, mentions as mn, vectors as vs
+from wayfold.operators import dedup, evaluate as ev, graph, knowledge as kn, mentions as mn, resolve as rs, vectors as vs
 from wayfold.plans import kb
 from wayfold.session import TABLES, table
 from wayfold.streaming import events
@@ -155,6 +155,32 @@ def entity_match(spark, sf):
     return kn.match_blocked(h, h, "area_id", "name", 1).select("a_id", "b_id", F.col("edits").cast("bigint").alias("edits"))
 
 
+@_add("WITH s AS (SELECT s_name, min(s_suppkey) AS id FROM supplier GROUP BY 1) SELECT least(a.id, b.id) AS a_id, greatest(a.id, b.id) AS b_id, CAST(levenshtein(a.s_name, b.s_name) AS BIGINT) AS edits FROM s a JOIN s b ON a.s_name < b.s_name WHERE levenshtein(a.s_name, b.s_name) <= 1")
+def entity_pairs(spark, sf):
+    """Like names among all hotels; equal names stand for each other (the least id)."""
+    own = kb.hotels(spark, sf).groupBy("name").agg(F.min("id").alias("id"))
+    of = lambda n: own.select(F.col("name").alias(n), F.col("id").alias(f"{n}_own"))
+    pairs = rs.like_names(own, "name", 1).join(of("a"), "a").join(of("b"), "b")
+    return pairs.select(F.least("a_own", "b_own").alias("a_id"), F.greatest("a_own", "b_own").alias("b_id"), F.col("edits").cast("long").alias("edits"))
+
+
+#: Activities whose names have a character too few or too many.
+_TYPED_NAME = "CASE p_partkey % 3 WHEN 1 THEN substr(p_name, 1, CAST(p_partkey % length(p_name) AS INTEGER)) || substr(p_name, CAST(p_partkey % length(p_name) AS INTEGER) + 2) WHEN 2 THEN substr(p_name, 1, CAST(p_partkey % length(p_name) AS INTEGER)) || 'q' || substr(p_name, CAST(p_partkey % length(p_name) AS INTEGER) + 1) ELSE p_name END"
+_CLUSTERS = f"""WITH RECURSIVE p AS (SELECT p_partkey, {_TYPED_NAME} AS name, p_brand, p_retailprice FROM part), c AS (SELECT name, min(p_partkey) AS id FROM p GROUP BY 1),
+e AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.name <> b.name AND abs(length(a.name) - length(b.name)) <= 1 WHERE levenshtein(a.name, b.name) <= 1),
+r AS (SELECT id AS node, id AS root FROM c UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
+k AS (SELECT p.*, cluster FROM p JOIN c USING (name) JOIN (SELECT node, min(root) AS cluster FROM r GROUP BY 1) m ON m.node = c.id)
+SELECT cluster, CAST(count(*) AS BIGINT) AS members, (SELECT x.name FROM (SELECT cluster, name, count(*) AS n FROM k GROUP BY 1, 2) x WHERE x.cluster = k.cluster ORDER BY x.n DESC, x.name LIMIT 1) AS name, max(p_retailprice) AS price, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS brands FROM k GROUP BY cluster"""
+
+
+@_add(_CLUSTERS)
+def entity_resolution(spark, sf):
+    """Activities under misspelt names, by clusters of like names, one golden record for each."""
+    own = table(spark, sf, "part").select("p_partkey", F.expr(_TYPED_NAME).alias("name"), F.col("p_retailprice").alias("price"), F.col("p_brand").alias("brands"))
+    members = rs.clusters(own, "p_partkey", "name")
+    return rs.golden(own, "p_partkey", "name", members, {"price": F.col("price")}, ["brands"]).withColumn("brands", F.array_join("brands", ","))
+
+
 _shared("fuzzy_name", "SELECT p_partkey AS id, CAST(levenshtein(lower(p_name), 'read wigdet') AS BIGINT) AS edits FROM part WHERE levenshtein(lower(p_name), 'read wigdet') <= 4")
 
 _TOK = "(SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS tok FROM documents)"
@@ -364,6 +390,29 @@ def area_closure(spark, sf):
     return graph.closure(tree)
 
 
+_LINKS = "(SELECT DISTINCT 'a' || l_partkey AS src, 'h' || l_suppkey AS dst FROM lineitem UNION SELECT 'h' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation)"
+
+
+@_add(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {_LINKS} x), o AS MATERIALIZED (SELECT src, 1 / CAST(count(*) AS DOUBLE) AS share FROM e GROUP BY 1), v AS MATERIALIZED (SELECT node, NOT bool_or(o) AS ends FROM (SELECT src AS node, TRUE AS o FROM e UNION ALL SELECT dst, FALSE FROM e) x GROUP BY 1),
+r AS (SELECT 0 AS i, node, CAST(1 AS DOUBLE) AS rank FROM v UNION ALL SELECT i, node, 0.15::DOUBLE + 0.85::DOUBLE * sum(x) AS rank FROM (
+SELECT r.i + 1 AS i, e.dst AS node, r.rank * o.share AS x FROM r JOIN o ON o.src = r.node JOIN e ON e.src = r.node WHERE r.i < 30
+UNION ALL SELECT l.i, v.node, l.lost / (SELECT count(*) FROM v) FROM v, (SELECT r.i + 1 AS i, sum(CASE WHEN ends THEN rank ELSE 0 END) AS lost FROM r JOIN v USING (node) WHERE r.i < 30 GROUP BY r.i) l) y GROUP BY i, node)
+SELECT node, round(rank, 6) AS rank FROM r WHERE i = 30""")
+def graph_pagerank(spark, sf):
+    """Ranks of activities, hotels, areas and regions by their links, after thirty rounds."""
+    to = lambda name, a, src, b, dst: table(spark, sf, name).select(F.concat(F.lit(a), F.col(src)).alias("src"), F.concat(F.lit(b), F.col(dst)).alias("dst"))
+    links = kn.union_entities(to("lineitem", "a", "l_partkey", "h", "l_suppkey"), to("supplier", "h", "s_suppkey", "n", "s_nationkey"), to("nation", "n", "n_nationkey", "r", "n_regionkey"), to("nation", "r", "n_regionkey", "n", "n_nationkey"))
+    return graph.pagerank(links, tolerance=0.0, most=30).select("node", F.round("rank", 6).alias("rank"))
+
+
+@_add(f"WITH RECURSIVE e AS (SELECT a.id AS a, b.id AS b FROM {H} a JOIN {H} b ON a.id <> b.id WHERE {_NEAR} <= 70), r AS (SELECT id AS node, id AS root FROM {H} h UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node) SELECT node, min(root) AS root FROM r GROUP BY 1")
+def graph_components(spark, sf):
+    """Hotels by groups in which each is within 70 km of another."""
+    h = kb.hotels(spark, sf)
+    found = graph.components(kn.near(h, h, 70.0).select(F.col("a_id").alias("src"), F.col("b_id").alias("dst")))
+    return h.join(found, F.col("id") == F.col("node"), "left").select(F.col("id").alias("node"), F.coalesce("root", "id").alias("root"))
+
+
 # --- vectors and retrieval
 
 _COS = "list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) / sqrt(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) * list_inner_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])))"
