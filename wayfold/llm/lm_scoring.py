@@ -14,6 +14,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ HEAD, OWN_LEAF = 1 << 18, maxent.LEAVES // 2
 RATES, EASE = (1.2, 0.8, 0.6), 10.0
 #: Tokens that a task counts at once, rare tokens whose leaf it remembers, leaves that it counts or scores at once.
 CHUNK, REMEMBERED, TOGETHER = 1_000_000, 200_000, 4_000_000
+#: Codes whose gradient a task adds up.
+TASK_CODES = 4_000_000
 #: Rows of weights in a block that is added up together; bits of a code that name the block it is counted in.
 BLOCK, BLOCK_BITS = 1 << 8, 10
 
@@ -132,16 +135,21 @@ def _leaves(docs: DataFrame, names: list[bytes], c: np.ndarray, leaf: np.ndarray
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, logs, known, leaf = held.value
         place = _Head(names)
+        if not len(leaf):  # so that there is a place to look at
+            logs, known, leaf = np.zeros(1), np.zeros(1, bool), np.zeros(1, np.int64)
         for whole in batches:
             for batch in slices(whole):
-                rows: list[list] = [[], [], [], [], []]
-                for text in batch.column("text").to_pylist():
-                    own = tokens(text)
-                    at = np.fromiter(map(place.__getitem__, own), np.int64, len(own))
-                    head = at[at >= 0]
-                    for column, x in zip(rows, (np.where(at >= 0, leaf[np.maximum(at, 0)] if len(leaf) else 0, -1 - at).astype("<u2").tobytes(), len(own), int(known[head].sum()), float(logs[head].sum()), [own[i] for i in np.flatnonzero(at < 0).tolist()]), strict=True):
-                        column.append(x)
-                made = [pa.array(x, t) for x, t in zip(rows, (pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.binary())), strict=True)]
+                parts = [tokens(x) for x in batch.column("text").to_pylist()]
+                ends = np.cumsum([0, *map(len, parts)])
+                at = np.fromiter(chain.from_iterable(map(place.__getitem__, own) for own in parts), np.int64, ends[-1])
+                head = at >= 0
+                own = np.where(head, leaf[np.maximum(at, 0)], -1 - at).astype("<u2")
+                leaves = pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer((2 * ends).astype(np.int32).tobytes()), pa.py_buffer(own.tobytes())])
+                of_text = lambda x: np.add.reduceat(np.where(head, x[np.maximum(at, 0)], 0), ends[:-1]) if len(parts) else x[:0]  # noqa: B023, E731
+                others = np.flatnonzero(~head)
+                every = list(chain.from_iterable(parts))
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(others, ends).astype(np.int32)), pa.array([every[i] for i in others.tolist()], pa.binary()))
+                made = [leaves, pa.array(np.diff(ends)), pa.array(of_text(known.astype(np.int64))), pa.array(of_text(logs)), lists]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *made], names=["doc_id", "held_out", "leaves", "n_tokens", "head_known", "head_log", "others"])
 
     out = docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, leaves binary, n_tokens long, head_known long, head_log double, others array<binary>")
@@ -206,6 +214,9 @@ def train(rows: DataFrame, mass: np.ndarray) -> maxent.Model:
     see is the same in all rounds and summed in the first. Blocks in which a task has nothing aren't sent."""
     model, seen, sizes = maxent.untrained(mass), None, maxent.ROWS
     blocks, counts = sum(sizes) // BLOCK, context_counts(rows)
+    # a task sends sums for the whole model, so it should have many codes; there are 2^32 of them at most
+    codes = counts.agg(F.sum(F.octet_length("codes"))).first()[0] or 0
+    counts = counts.coalesce(1 + codes // (4 * TASK_CODES))
     for rate in RATES:
         held = rows.sparkSession.sparkContext.broadcast((model, seen is None))
 
