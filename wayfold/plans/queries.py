@@ -10,10 +10,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayfold.functions import text as tx
+from wayfold.functions import grammar, text as tx
 from wayfold.functions.geo import haversine
 from wayfold.functions.vector import cosine
-from wayfold.operators import dedup, evaluate as ev, graph, knowledge as kn, mentions as mn, resolve as rs, vectors as vs
+from wayfold.operators import dedup, evaluate as ev, graph, knowledge as kn, mentions as mn, normalize as nz, resolve as rs, sketches as sk, vectors as vs
 from wayfold.plans import kb
 from wayfold.session import TABLES, table
 from wayfold.streaming import events
@@ -330,6 +330,73 @@ def parse_price(spark, sf):
     return table(spark, sf, "events").select("event_id", tx.price(F.col("props")).alias("price"))
 
 
+#: Opening hours of activities as text in three styles, and some that say nothing; what they mean, by arithmetic.
+_HOURS_TEXT = "CASE p_partkey % 4 WHEN 0 THEN concat('Mon-Fri ', lpad(cast(p_partkey % 12 AS string), 2, '0'), ':00-', p_partkey % 12 + 8, ':30; Sat ', p_partkey % 12, '-', p_partkey % 12 + 4) WHEN 1 THEN concat('daily ', p_partkey % 11 + 1, 'pm-2am; Tue closed') WHEN 2 THEN concat('T2-T6 ', p_partkey % 12, 'h-', p_partkey % 12 + 3, 'h30, ', p_partkey % 12 + 5, 'h-', p_partkey % 12 + 9, 'h') ELSE 'call us' END"
+_HOURS = """(SELECT p_partkey AS id, d AS dow, p_partkey % 12 * 60 AS open_min, p_partkey % 12 * 60 + 510 AS close_min FROM part, range(0, 5) r(d) WHERE p_partkey % 4 = 0
+UNION ALL SELECT p_partkey, 5, p_partkey % 12 * 60, p_partkey % 12 * 60 + 240 FROM part WHERE p_partkey % 4 = 0
+UNION ALL SELECT p_partkey, d, (p_partkey % 11 + 13) * 60, 1560 FROM part, range(0, 7) r(d) WHERE p_partkey % 4 = 1 AND d <> 1
+UNION ALL SELECT p_partkey, d, p_partkey % 12 * 60 + o, p_partkey % 12 * 60 + o + l FROM part, range(0, 5) r(d), (VALUES (0, 210), (300, 240)) s(o, l) WHERE p_partkey % 4 = 2)"""
+
+
+def _hours(spark, sf):
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), grammar.opening_hours(F.expr(_HOURS_TEXT)).alias("hours"))
+
+
+@_add(f"SELECT id, CAST(dow AS INTEGER) AS dow, CAST(open_min AS INTEGER) AS open_min, CAST(close_min AS INTEGER) AS close_min FROM {_HOURS} h")
+def parse_hours(spark, sf):
+    return _hours(spark, sf).select("id", F.inline("hours"))
+
+
+@_add(f"SELECT DISTINCT id FROM {_HOURS} h WHERE (dow = 2 AND open_min <= 75 AND close_min > 75) OR (dow = 1 AND close_min > 1515)")
+def open_by_text(spark, sf):
+    """Activities that are open on Wednesday at a quarter past one in the morning, by what their hours say."""
+    return _hours(spark, sf).where(kn.open_at(F.col("hours"), 2, 75)).select("id")
+
+
+_PRICE_TEXT = "CASE p_partkey % 5 WHEN 0 THEN concat('$', p_partkey % 90 + 10, '.50 - ', p_partkey % 90 + 15) WHEN 1 THEN concat('từ ', p_partkey % 90 + 10, 'k đến ', 2 * (p_partkey % 90 + 10), 'k đồng') WHEN 2 THEN concat('up to ', p_partkey % 90 + 10, ' eur') WHEN 3 THEN concat(p_partkey % 90 + 10, '.000₫') ELSE 'ask us' END"
+
+
+@_add("SELECT p_partkey AS id, CAST(CASE p_partkey % 5 WHEN 0 THEN n + 0.5 WHEN 1 THEN n * 1000 WHEN 3 THEN n * 1000 END AS DOUBLE) AS low, CAST(CASE p_partkey % 5 WHEN 0 THEN n + 5 WHEN 1 THEN n * 2000 WHEN 2 THEN n WHEN 3 THEN n * 1000 END AS DOUBLE) AS high, CASE p_partkey % 5 WHEN 0 THEN 'USD' WHEN 1 THEN 'VND' WHEN 2 THEN 'EUR' WHEN 3 THEN 'VND' END AS currency FROM (SELECT p_partkey, p_partkey % 90 + 10 AS n FROM part) p")
+def parse_price_range(spark, sf):
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), grammar.price_range(F.expr(_PRICE_TEXT)).alias("p"))
+    return p.select("id", F.col("p.min").cast("double").alias("low"), F.col("p.max").cast("double").alias("high"), F.col("p.currency").alias("currency"))
+
+
+#: Orders as records of text; every seventh has no date, and status is one of three.
+ORDER = {
+    "id": nz.Field("o_orderkey", "bigint", required=True),
+    "priority": nz.Field("substr(o_orderpriority, 1, 1)", "int", check=lambda c: c <= 4, told="over 4"),
+    "total": nz.Field("cast(o_totalprice AS string)", "decimal(12,2)", required=True, check=lambda c: c < 400_000, told="400000 or more"),
+    "placed": nz.Field("CASE WHEN o_orderkey % 7 = 3 THEN ' ' WHEN o_orderkey % 11 = 5 THEN 'soon' ELSE date_format(o_orderdate, 'yyyy-MM-dd') END", "date", required=True),
+    "status": nz.Field("o_orderstatus", "string"),
+}
+_ORDER = "(SELECT o_orderkey, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS priority, CAST(o_totalprice AS DECIMAL(12, 2)) AS total, o_orderdate, o_orderstatus, CASE WHEN CAST(substr(o_orderpriority, 1, 1) AS INTEGER) > 4 THEN 'priority: over 4' END AS r1, CASE WHEN CAST(o_totalprice AS DECIMAL(12, 2)) >= 400000 THEN 'total: 400000 or more' END AS r2, CASE WHEN o_orderkey % 7 = 3 THEN 'placed: missing' WHEN o_orderkey % 11 = 5 THEN 'placed: not date' END AS r3 FROM orders)"
+
+
+@_add(f"SELECT o_orderkey AS id, priority, CAST(total AS DOUBLE) AS total, strftime(o_orderdate, '%Y-%m-%d') AS placed, o_orderstatus AS status FROM {_ORDER} o WHERE r1 IS NULL AND r2 IS NULL AND r3 IS NULL")
+def normalize_orders(spark, sf):
+    return nz.normalize(table(spark, sf, "orders"), ORDER)[0].withColumns({"total": F.col("total").cast("double"), "placed": F.date_format("placed", "yyyy-MM-dd")})
+
+
+@_add(f"SELECT o_orderkey, concat_ws('; ', r1, r2, r3) AS reasons FROM {_ORDER} o WHERE r1 IS NOT NULL OR r2 IS NOT NULL OR r3 IS NOT NULL")
+def quarantine_orders(spark, sf):
+    return nz.normalize(table(spark, sf, "orders"), ORDER)[1].select("o_orderkey", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@_add("SELECT week, CAST(n AS BIGINT) AS n, users AS users, TRUE AS users_within, TRUE AS median_within FROM (SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, count(*) AS n, CAST(count(DISTINCT event_id) AS BIGINT) AS users FROM events GROUP BY 1) x")
+def sketch_weeks(spark, sf):
+    """Sketches of days merged into weeks: whether distinct events are within 5 % of the exact number and the median value
+    within 3 % of ranks of the exact one."""
+    e = table(spark, sf, "events")
+    days = sk.sketch(e, {"day": F.to_date("ts")}, "event_id", "value")
+    week = lambda c: F.date_format(F.date_trunc("week", c), "yyyy-MM-dd")
+    weeks = sk.merged(days, {"week": week("day")}, [0.5])
+    exact = e.groupBy(week("ts").alias("w")).agg(F.countDistinct("event_id").alias("users"), F.expr("percentile(value, array(0.47, 0.53))").alias("around"))
+    both = weeks.join(exact, F.col("week") == F.col("w"))
+    median = F.col("quantiles")[0].between(F.col("around")[0], F.col("around")[1])
+    return both.select("week", "n", "users", (F.abs(F.col("distinct_values") - F.col("users")) <= 0.05 * F.col("users")).alias("users_within"), median.alias("median_within"))
+
+
 @_add("SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events")
 def json_extract(spark, sf):
     return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
