@@ -35,7 +35,7 @@ CHUNK, REMEMBERED, TOGETHER = 1_000_000, 200_000, 1_000_000
 #: Codes whose gradient a task adds up.
 TASK_CODES = 4_000_000
 #: Rows of weights in a block that is added up together; bits of a code that name the block it is counted in.
-BLOCK, BLOCK_BITS = 1 << 8, 10
+BLOCK, BLOCK_BITS = 1 << 8, 12
 
 #: The end of a text, which is a token; no word is empty.
 END = b""
