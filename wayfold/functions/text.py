@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -42,6 +43,35 @@ def url_host(url: Column) -> Column:
     return F.regexp_extract(url, r"^[a-z]+://([^/:?#]+)", 1)
 
 
+def residual(json: Column, known: list[str]) -> Column:
+    """What a JSON record has besides the known attributes, as a map of text; values that aren't plain stay JSON. Null for
+    what isn't a record."""
+    return F.map_filter(F.from_json(json, "map<string,string>"), lambda k, v: ~k.isin(known))
+
+
+_SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?\n]+|$)\s*")
+
+
+@F.udtf(returnType="chunk int, start int, piece string", useArrow=True)
+class SentenceChunks:
+    """(text, size) -> chunk, start, piece: whole sentences together, up to `size` characters; a longer sentence is cut. The
+    pieces together are the text; a null or empty text has none. A text that goes to a language model in such pieces
+    doesn't break off within a sentence, which built-in functions can't do as a piece begins where the last one ended."""
+
+    def eval(self, text: str, size: int):
+        chunk, start, end = 0, 0, 0
+        for m in _SENTENCE.finditer(text or ""):
+            if m.end() - start > size and end > start:
+                yield chunk, start, text[start:end]
+                chunk, start = chunk + 1, end
+            while m.end() - start > size:
+                yield chunk, start, text[start : start + size]
+                chunk, start = chunk + 1, start + size
+            end = m.end()
+        if text and end > start:
+            yield chunk, start, text[start:end]
+
+
 @F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode NFC, which no built-in function makes."""

@@ -14,7 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -236,6 +237,14 @@ def knn_lsh(queries: DataFrame, vectors: DataFrame, k: int, bits: int = 8, table
     return _rank(own.select("q", "node", F.round(cosine(F.col("u"), F.col("v")), 6).alias("sim")), k)
 
 
+def mean_vectors(vectors: DataFrame, by: str) -> DataFrame:
+    """by, n, mean: the mean of the vectors (vec) of each group, by a built-in aggregate with partial sums; what a
+    centroid moves to. Null vectors don't count."""
+    rows = vectors.where("vec is not null").select(by, array_to_vector(F.col("vec").cast("array<double>")).alias("v"))
+    means = rows.groupBy(by).agg(Summarizer.metrics("count", "mean").summary(F.col("v")).alias("s"))
+    return means.select(by, F.col("s.count").alias("n"), vector_to_array("s.mean").alias("mean"))
+
+
 def hash_embedding(df: DataFrame, text: str, dim: int = 64) -> DataFrame:
     """A stand-in for a model: signed hashed bag of words, unit length (all zeros without words)."""
     h = F.transform(tokens(F.col(text)), lambda t: F.xxhash64(t))

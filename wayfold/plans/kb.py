@@ -31,6 +31,13 @@ def activities(spark: SparkSession, sf: str) -> DataFrame:
 ACTIVITIES = "(SELECT p_partkey AS id, p_name AS name, 'activity' AS type, p_type AS tag, p_retailprice AS price, CAST(8 AS DOUBLE) + CAST((p_partkey * 6101) % 1500 AS DOUBLE) / CAST(100 AS DOUBLE) AS lat, CAST(102 AS DOUBLE) + CAST((p_partkey * 3571) % 700 AS DOUBLE) / CAST(100 AS DOUBLE) AS lon FROM part)"
 
 
+def restaurants(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit("restaurant").alias("type"), F.col("c_nationkey").alias("area_id"), _grid("c_custkey", 7717, 1500, 8).alias("lat"), _grid("c_custkey", 9973, 700, 102).alias("lon"))
+
+
+RESTAURANTS = "(SELECT c_custkey AS id, c_name AS name, 'restaurant' AS type, c_nationkey AS area_id, CAST(8 AS DOUBLE) + CAST((c_custkey * 7717) % 1500 AS DOUBLE) / CAST(100 AS DOUBLE) AS lat, CAST(102 AS DOUBLE) + CAST((c_custkey * 9973) % 700 AS DOUBLE) / CAST(100 AS DOUBLE) AS lon FROM customer)"
+
+
 def hours(df: DataFrame, key: str) -> DataFrame:
     """Adds opening hours: two spans a row, one of which may run past midnight."""
     first = (F.col(key) * 37 % 24 * 60).cast("int")

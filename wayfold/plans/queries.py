@@ -770,7 +770,17 @@ def eval_scores(spark, sf):
     return ev.evaluate(vs.knn_exact(kb.query_vectors(spark, sf), v, 10), golden)
 
 
-_shared("eval_fact_accuracy", "SELECT source, round(avg(CASE WHEN n_chars = length(text) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS accuracy FROM documents GROUP BY source")
+#: Golden facts of hotels: name, area and type; what a few sources tell is wrong.
+_FACTS = "SELECT s_suppkey AS id, 'name' AS attribute, s_name AS value, s_name AS held FROM supplier UNION ALL SELECT s_suppkey, 'area_id', CAST((s_nationkey + CASE WHEN s_suppkey % 5 = 0 THEN 1 ELSE 0 END) AS VARCHAR), CAST(s_nationkey AS VARCHAR) FROM supplier UNION ALL SELECT s_suppkey, 'type', CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE 'hotel' END, 'hotel' FROM supplier UNION ALL SELECT s_suppkey + 1000000, 'type', 'hotel', NULL FROM supplier WHERE s_suppkey % 3 = 0"
+
+
+@_add(f"SELECT attribute, CAST(count(*) AS BIGINT) AS facts, round(avg(CASE WHEN value = held THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS accuracy FROM ({_FACTS}) f GROUP BY attribute")
+def eval_fact_accuracy(spark, sf):
+    """The hotels against golden facts, some of which differ or tell of hotels that aren't known."""
+    s = table(spark, sf, "supplier").withColumn("k", F.col("s_suppkey"))
+    fact = lambda df, name, value, key="s_suppkey": df.select(F.expr(key).alias("id"), F.lit(name).alias("attribute"), F.expr(value).alias("value"))
+    facts = [fact(s, "name", "s_name"), fact(s, "area_id", "CAST(s_nationkey + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS STRING)"), fact(s, "type", "CASE WHEN k % 7 = 0 THEN NULL ELSE 'hotel' END"), fact(s.where("k % 3 = 0"), "type", "'hotel'", "s_suppkey + 1000000")]
+    return ev.fact_accuracy(kb.hotels(spark, sf).select("id", "name", "type", "area_id"), kn.union_entities(*facts))
 
 
 _WORDS = "SELECT c, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM (SELECT min(doc_id) AS c, text FROM documents GROUP BY text) r"
@@ -817,10 +827,19 @@ def stream_sessions(spark, sf):
 
 @_add("SELECT user_id, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY user_id")
 def stream_state(spark, sf):
+    events.state_store(spark)
     done = events.run(events.running_totals(_stream(spark, sf)), _out(spark))
     return done.groupBy("user_id").agg(F.max("n").alias("n"))
 
 
+@_add("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1")
+def stream_upsert(spark, sf):
+    """The latest event of each user, merged batch by batch."""
+    out = _out(spark)
+    events.upsert(_stream(spark, sf).select("user_id", "event_id", "event_type", "ts"), out, "user_id", "ts")
+    return events.current(spark, out, "user_id", "ts").select("user_id", "event_id", "event_type")
+
+
 @_add("SELECT a.user_id, a.event_id AS first_id, b.event_id AS then_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR WHERE a.event_type = 'view' AND b.event_type = 'purchase'")
 def stream_join(spark, sf):
     first, then = (_stream(spark, sf).where(F.col("event_type") == kind) for kind in ("view", "purchase"))
@@ -829,7 +848,56 @@ def stream_join(spark, sf):
 
 # --- further joins, aggregates, windows and maps
 
-_shared("join_full_outer", "SELECT c_custkey, o_orderkey FROM (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) AS c FULL OUTER JOIN (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 2 = 0) AS o ON c_custkey = o_custkey")
+_shared("join_full_outer", "SELECT c_custkey, o_orderkey FROM customer FULL OUTER JOIN (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_custkey END AS buyer FROM orders) AS o ON c_custkey = buyer")
 _shared("agg_distinct", "SELECT l_returnflag, CAST(count(DISTINCT l_partkey) AS BIGINT) AS parts, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS hotels, min(l_quantity) AS least FROM lineitem GROUP BY l_returnflag")
 _shared("window_share", "SELECT s_suppkey AS id, CAST(ntile(4) OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS BIGINT) AS quarter, round(cume_dist() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey), 6) AS share FROM supplier")
-_shared("join_right_outer", "SELECT s_suppkey, n_name FROM (SELECT s_suppkey, s_nationkey FROM supplier WHERE s_suppkey % 5 = 0) AS s RIGHT OUTER JOIN nation ON s_nationkey = n_nationkey")
+_shared("join_right_outer", "SELECT l_orderkey, o_orderkey FROM (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AS l RIGHT OUTER JOIN orders ON l_orderkey = o_orderkey")
+_shared("window_range", f"SELECT event_id, CAST(count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW) AS BIGINT) AS week, round(percent_rank() OVER (PARTITION BY event_type ORDER BY value, event_id), 6) AS place FROM events")
+
+
+@_add("SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k, 'kind=' || event_type || ',user=' || user_id AS rest FROM events")
+def residual_attributes(spark, sf):
+    """Raw records of JSON: a mapped attribute, and all others that a record has as a map."""
+    raw = table(spark, sf, "events").select("event_id", F.concat(F.expr("substr(props, 1, length(props) - 1)"), F.lit(', "user": '), "user_id", F.lit(', "kind": "'), "event_type", F.lit('"}')).alias("raw"))
+    read = raw.select("event_id", F.from_json("raw", "k bigint").alias("own"), tx.residual(F.col("raw"), ["k"]).alias("rest"))
+    pairs = F.array_sort(F.transform(F.map_entries("rest"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return read.select("event_id", F.col("own.k").alias("k"), F.array_join(pairs, ",").alias("rest"))
+
+
+@_add(f"SELECT q, id, name, location, price_range, rating, evidence_text FROM ({_PACKAGE}) p QUALIFY row_number() OVER (PARTITION BY q ORDER BY confidence_score DESC, id) <= 5")
+def package_json(spark, sf):
+    """The evidence packages as JSON text, as a backend gets them, and read again."""
+    best = _package(spark, sf, 5)
+    text = best.select(F.to_json(F.struct(*best.columns)).alias("json"))
+    return text.select(F.from_json("json", best.schema).alias("p")).select(*[F.col(f"p.{c}").alias(c) for c in ("q", "id", "name", "location", "price_range", "rating", "evidence_text")])
+
+
+_CENTRES = f"(SELECT area_id AS id, avg(lat) AS lat, avg(lon) AS lon FROM {H} h GROUP BY 1)"
+
+
+@_add(f"SELECT a.id AS hotel, b.id AS area, round({_NEAR}, 4) AS km FROM {H} a JOIN {_CENTRES} b ON {_NEAR} <= 150")
+def near_areas(spark, sf):
+    """Hotels near an area, whether they lie in it or not; an area stands where its hotels lie on average."""
+    h = kb.hotels(spark, sf)
+    centres = h.groupBy(F.col("area_id").alias("id")).agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+    return kn.near(h, centres, 150.0).select(F.col("a_id").alias("hotel"), F.col("b_id").alias("area"), F.round("km", 4).alias("km"))
+
+
+@_add(f"SELECT a.id AS restaurant, b.id AS activity, round({_NEAR}, 4) AS km FROM {kb.RESTAURANTS} a JOIN {A} b ON abs(a.lat - b.lat) < 0.05 AND {_NEAR} <= 5")
+def near_restaurants(spark, sf):
+    return kn.near(kb.restaurants(spark, sf), kb.activities(spark, sf), 5.0).select(F.col("a_id").alias("restaurant"), F.col("b_id").alias("activity"), F.round("km", 4).alias("km"))
+
+
+@_add("SELECT label, CAST(i - 1 AS INTEGER) AS dim, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS mean FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) x GROUP BY 1, 2")
+def label_centroids(spark, sf):
+    """Mean vector of each label; partial sums on every task, so a label may have any number of vectors."""
+    means = vs.mean_vectors(kb.vectors(spark, sf), "label")
+    return means.select("label", F.posexplode("mean").alias("dim", "mean")).withColumn("mean", F.round("mean", 6))
+
+
+@_add()
+def chunk_sentences(spark, sf):
+    """Whole sentences of a document in chunks of up to 500 characters, by a table function."""
+    spark.udtf.register("sentence_chunks", tx.SentenceChunks)
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return spark.sql("SELECT doc_id, chunk, start, md5(piece) AS piece FROM {d}, LATERAL sentence_chunks(text, 500)", d=d)

@@ -11,7 +11,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from wayfold.operators.knowledge import latest
 
 
 def read_events(spark: SparkSession, path: str, late: str = "1 hour", files: int = 1000) -> DataFrame:
@@ -46,17 +48,65 @@ def first_of(events: DataFrame, *keys: str) -> DataFrame:
     return events.dropDuplicatesWithinWatermark(list(keys))
 
 
-def _count(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    n, total = state.get if state.exists else (0, 0.0)
-    for part in parts:
-        n, total = n + len(part), total + float(part["value"].sum())
-    state.update((n, total))
-    yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total]})
+class _Totals(StatefulProcessor):
+    """n and total of a user; the user's state ends when no event came for `idle` milliseconds of event time."""
+
+    def __init__(self, idle: int):
+        self.idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("totals", "n long, total double, last long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        n, total, last = self.state.get() if self.state.exists() else (0, 0.0, 0)
+        for part in rows:
+            n, total, last = n + len(part), total + float(part["value"].sum()), max(last, int(part["at"].max()))
+        self.state.update((n, total, last))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(last + self.idle)
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total], "ended": [False]})
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        n, total, _ = self.state.get()
+        self.state.clear()
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total], "ended": [True]})
+
+    def close(self) -> None:
+        pass
+
+
+def running_totals(events: DataFrame, idle_seconds: int = 90 * 86_400) -> DataFrame:
+    """user_id, n, total, ended: a user's totals after every batch in which the user has events, and once more with
+    ended true when the watermark has passed the user's last event by idle_seconds; the user's state is dropped then, and
+    a later event starts anew. So state is two numbers for each user of that time, not for each user ever. The session
+    needs RocksDB for state (see state_store())."""
+    own = events.select("user_id", "value", "ts", F.unix_millis("ts").alias("at"))
+    return own.groupBy("user_id").transformWithStateInPandas(_Totals(1000 * idle_seconds), "user_id long, n long, total double, ended boolean", "Append", "EventTime")
+
+
+def state_store(spark: SparkSession) -> None:
+    """Keeps the state of streams that start from now on in RocksDB, which keyed state with timers needs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def upsert(stream: DataFrame, out: str, key: str, order: str) -> None:
+    """All that the stream has now, as versions of rows by key: each batch writes the latest of its rows for each key (by
+    order; ties: any one, so order should tell rows apart) to a folder of its own number. A batch that runs again after
+    a failure writes the same folder again, so each event counts once over restarts. current() reads the table."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        latest(batch, key, [F.col(order).desc()]).write.mode("overwrite").parquet(f"{out}/data/batch={number}")
+
+    query = stream.writeStream.foreachBatch(write).trigger(availableNow=True).option("checkpointLocation", f"{out}/progress").start()
+    query.awaitTermination()
 
 
-def running_totals(events: DataFrame) -> DataFrame:
-    """user_id, n, total after every batch in which the user has events; the state is two numbers a user."""
-    return events.select("user_id", "value").groupBy("user_id").applyInPandasWithState(_count, "user_id long, n long, total double", "n long, total double", "append", GroupStateTimeout.NoTimeout)
+def current(spark: SparkSession, out: str, key: str, order: str) -> DataFrame:
+    """The latest row of each key over all batches of upsert(); of equal ones the later batch's."""
+    rows = spark.read.parquet(f"{out}/data")
+    return latest(rows, key, [F.col(order).desc(), F.col("batch").desc()]).drop("batch")
 
 
 def followed(first: DataFrame, then: DataFrame, within: str) -> DataFrame:
