@@ -98,6 +98,14 @@ def test_like_names_equal_all_pairs(spark, most):
     assert got(rs.like_names(df, "name", most)) == want
 
 
+def test_matches_in_blocks_equal_all_pairs(spark):
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choice("ab") for _ in range(rng.randrange(1, 5))) if i % 11 else None, rng.choice([1, 2, None])) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, name string, area int")
+    want = {(i, j, edits(a, b)) for i, a, x in rows for j, b, y in rows if i < j and x == y and None not in (a, b, x) and edits(a, b) <= 1}
+    assert got(rs.match_blocked(df, df, "area", "name", 1)) == want and any(w[2] == 0 for w in want)
+
+
 def test_clusters_and_golden_records(spark):
     rows = [(1, "blue house", 10.0, "x"), (2, "blue house", None, "y"), (3, "blu house", 30.0, "x"), (4, "blu hose", 20.0, None), (5, "red inn", 5.0, "z"), (6, None, 1.0, "z"), (7, None, 2.0, "z"), (None, "red inn", 9.0, "q"), (8, "", None, None)]
     df = spark.createDataFrame(rows, "id long, name string, price double, tag string")

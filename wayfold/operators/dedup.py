@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions.text import tokens
+from wayfold.tables import stored
 
 
 def shingles(own: Column, words: int = 5) -> Column:
-    """Distinct runs of `words` words of a column of word lists (a shorter list: all of it; an empty one: none)."""
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(own) - (words - 1), F.lit(1))), lambda i: F.array_join(F.slice(own, i, words), " "))
-    return F.when(F.size(own) > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    """Distinct 64-bit hashes of runs of `words` words of a column of word lists, in order (a shorter list: all of it; an
+    empty one: none)."""
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(own) - (words - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(own, i, words)))
+    return F.when(F.size(own) > 0, F.array_sort(F.array_distinct(runs))).otherwise(F.array().cast("array<bigint>"))
 
 
 def near_equal(df: DataFrame, key: str, text: str, percent: int = 80) -> DataFrame:
@@ -19,24 +21,26 @@ def near_equal(df: DataFrame, key: str, text: str, percent: int = 80) -> DataFra
     whose shingle sets have a Jaccard similarity of percent or more. Null texts are one class without links.
 
     Equal texts meet once, as one class. Two sets of this similarity share one of their rarest shingles, as many as
-    may differ and one more, so only these are joined; the similarity is then counted on the whole sets."""
+    may differ and one more, so only these are joined; sizes that can't be similar are left out there, and the similarity
+    is then counted on the whole sets. Sets are made once and written; what moves are hashes (two of 10^9 shingles are
+    taken for one with a probability of some 3 per cent, which moves a similarity by one shingle)."""
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.sha2(F.col(text), 256).alias("digest"))
-    classes = rows.groupBy("digest").agg(F.min("key").alias("class_id"), F.first("text").alias("text"))
-    # words are a column of their own, or each run would split the text again
-    split = classes.select(F.col("class_id").alias("c"), tokens(F.col("text")).alias("own"))
-    sets = split.select("c", shingles(F.col("own")).alias("s")).withColumn("n", F.size("s"))
-    each = sets.select("c", "n", F.explode("s").alias("g"))
+    # one of the texts with a digest, which are all alike
+    classes = rows.groupBy("digest").agg(F.min("key").alias("class_id"), F.min_by(tokens(F.col("text")), "key").alias("own"))
+    sets = stored(classes.select("digest", "class_id", shingles(F.col("own")).alias("s")).withColumn("n", F.size("s")))
+    linked = sets.where("n > 0").select(F.col("class_id").alias("c"), "s", "n")
+    each = linked.select("c", "n", F.explode("s").alias("g"))
     often = each.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # a shingle of one class alone joins nothing, but takes its place among the rarest
     ranked = each.join(often, "g", "left").withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy(F.coalesce("df", F.lit(1)), "g")))
-    own = ranked.where(F.col("df").isNotNull() & (F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).select("c", "n", "g")
+    own = stored(ranked.where(F.col("df").isNotNull() & (F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).select("c", "n", "g"))
     other = own.select(F.col("c").alias("d"), F.col("n").alias("m"), "g")
     alike = (F.col("c") < F.col("d")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
     pairs = own.join(other, "g").where(alike).select("c", "d").distinct()
-    whole = pairs.join(sets, "c").join(sets.select(F.col("c").alias("d"), F.col("s").alias("t"), F.col("n").alias("m")), "d")
+    whole = pairs.join(linked, "c").join(linked.select(F.col("c").alias("d"), F.col("s").alias("t"), F.col("n").alias("m")), "d")
     both = F.size(F.array_intersect("s", "t"))
     links = whole.withColumn("both", both).where(100 * F.col("both") >= percent * (F.col("n") + F.col("m") - F.col("both"))).select(F.explode(F.array("c", "d")).alias("class_id"))
-    counted = classes.select("digest", "class_id").join(links.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links")), "class_id", "left")
+    counted = sets.select("digest", "class_id").join(links.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links")), "class_id", "left")
     name = F.coalesce("digest", F.lit("")).alias("name")
     of_row = rows.select("key", name).join(counted.select(name, "class_id", "n_links"), "name")
     return of_row.select(F.col("key").alias(key), "class_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))

@@ -9,14 +9,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions.geo import KM_PER_DEGREE, haversine
+from wayfold.tables import small_enough
 
-#: Rows that a side of a join may have to be sent to all executors.
-BROADCAST_ROWS = 200_000
+#: Bytes that a side of a join may have to be sent to all executors.
+BROADCAST_BYTES = 16 << 20
 
 
-def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has few rows; else as it is, to be joined by shuffling."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def maybe_broadcast(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its rows are few bytes, by one aggregate over it; else as it is, to be joined by
+    shuffling."""
+    return F.broadcast(df) if small_enough(df, most_bytes, *df.columns) else df
 
 
 # --- filters
@@ -101,12 +103,6 @@ def as_of(items: DataFrame, log: DataFrame, key: str, at: str, ts: str, value: s
     return out.select(*[F.col(f"item.`{c}`").alias(c) for c in items.columns], F.col("last.v").alias(value))
 
 
-def match_blocked(a: DataFrame, b: DataFrame, block: str, name: str, most: int) -> DataFrame:
-    """Pairs of ids in one block whose names are within an edit distance."""
-    x, y = a.select(F.col("id").alias("a_id"), F.col(name).alias("an"), block), b.select(F.col("id").alias("b_id"), F.col(name).alias("bn"), block)
-    return x.join(y, block).where((F.col("a_id") < F.col("b_id")) & (F.levenshtein("an", "bn") <= most)).select("a_id", "b_id", F.levenshtein("an", "bn").alias("edits"))
-
-
 # --- aggregates and windows
 
 

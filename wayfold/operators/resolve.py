@@ -37,6 +37,17 @@ def like_names(names: DataFrame, name: str, edits: int = 1) -> DataFrame:
     return pairs.withColumn("edits", F.levenshtein("a", "b")).where(F.col("edits") <= edits)
 
 
+def match_blocked(a: DataFrame, b: DataFrame, block: str, name: str, edits: int = 1) -> DataFrame:
+    """(a_id, b_id, edits): rows of a and b (id, name, block) of one block, a_id before b_id, whose names are equal or like
+    each other. Names meet by what they have in common, then rows by block and name, so a block may be of any size."""
+    x, y = a.select(F.col("id").alias("a_id"), F.col(name).alias("an"), F.col(block).alias("block")), b.select(F.col("id").alias("b_id"), F.col(name).alias("bn"), F.col(block).alias("block"))
+    names = stored(x.select(F.col("an").alias("n")).unionByName(y.select(F.col("bn").alias("n"))).where("n is not null").distinct())
+    like = stored(like_names(names, "n", edits))
+    same = names.select(F.col("n").alias("an"), F.col("n").alias("bn"), F.lit(0).alias("edits"))
+    both = like.select(F.col("a").alias("an"), F.col("b").alias("bn"), "edits").unionByName(like.select(F.col("b").alias("an"), F.col("a").alias("bn"), "edits")).unionByName(same)
+    return x.join(both, "an").join(y, ["block", "bn"]).where("a_id < b_id").select("a_id", "b_id", "edits")
+
+
 def clusters(df: DataFrame, key: str, name: str, edits: int = 1, where: Column | None = None) -> DataFrame:
     """key, cluster: the rows of df by clusters of like names (joined by chains of like names); cluster is the least key
     of it. A row without a name is a cluster of its own, and rows without a key stay out. `where` looks at columns a and

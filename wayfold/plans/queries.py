@@ -152,7 +152,7 @@ _MATCH = "SELECT a.s_suppkey AS a_id, b.s_suppkey AS b_id, CAST(levenshtein(a.s_
 @_add(_MATCH)
 def entity_match(spark, sf):
     h = kb.hotels(spark, sf)
-    return kn.match_blocked(h, h, "area_id", "name", 1).select("a_id", "b_id", F.col("edits").cast("bigint").alias("edits"))
+    return rs.match_blocked(h, h, "area_id", "name", 1).select("a_id", "b_id", F.col("edits").cast("bigint").alias("edits"))
 
 
 @_add("WITH s AS (SELECT s_name, min(s_suppkey) AS id FROM supplier GROUP BY 1) SELECT least(a.id, b.id) AS a_id, greatest(a.id, b.id) AS b_id, CAST(levenshtein(a.s_name, b.s_name) AS BIGINT) AS edits FROM s a JOIN s b ON a.s_name < b.s_name WHERE levenshtein(a.s_name, b.s_name) <= 1")
@@ -734,7 +734,7 @@ _GOLD = "(SELECT q.vec_id AS q, CAST(count(*) AS DOUBLE) AS n FROM embeddings q
 def _gold(spark, sf):
     v = kb.vectors(spark, sf)
     sizes = v.groupBy("label").agg((F.count(F.lit(1)) - 1).cast("double").alias("n"))
-    return kb.query_vectors(spark, sf).join(F.broadcast(sizes), "label").select(F.col("id").alias("q"), "n").where("n > 0")
+    return kb.query_vectors(spark, sf).join(kn.maybe_broadcast(sizes), "label").select(F.col("id").alias("q"), "n").where("n > 0")
 
 
 @_add(f"SELECT r.q, round(sum(rel) / max(n), 6) AS recall_at_10 FROM ({_RUN}) r JOIN {_GOLD} g ON g.q = r.q GROUP BY r.q")

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: dict[str, SparkSession] = {}
 
@@ -49,9 +50,7 @@ def dropped(*tables: DataFrame | None) -> None:
 def small_enough(df: DataFrame, most_bytes: int, *columns: str) -> bool:
     """Whether the named columns of df take most_bytes at most, by the lengths of their text and 48 bytes a row. One
     aggregate; what is sent to every executor should be checked by it first."""
-    from pyspark.sql import functions as F
-
-    own = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in columns), F.lit(48))
+    own = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in columns), F.lit(48))
     return (df.agg(F.sum(own)).first()[0] or 0) <= most_bytes
 
 
