@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import materialize, slim
+from wayfold.llm.common import drop_tables, materialize, slim, tables_so_far
 from wayfold.llm.text_columns import BLANKS, words_of
 
 SYMBOLS = "#*$%&|<>"
@@ -124,36 +124,39 @@ def _start(rows: DataFrame, keys: list[str]) -> DataFrame:
     return near.select(*keys, "n", *[f"m{i}" for i in range(P)], *[(scale(i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in _PAIRS])
 
 
-def _concentrate(rows: DataFrame, keys: list[str], estimate: DataFrame) -> DataFrame:
-    """The estimate with the least determinant (its logarithm is twice `size`) that concentration steps from `estimate`
-    reach; each keeps the CORE share with the smallest distances (to a bucket of distances, which a histogram finds
-    exactly) and estimates again. A group whose determinant no longer falls takes no further step."""
+def _concentrate(rows: DataFrame, keys: list[str], starts: DataFrame) -> DataFrame:
+    """For each start (rows of starts have a number `start`) the estimate with the least determinant (its logarithm is
+    twice `size`) that concentration steps from it reach; each keeps the CORE share with the smallest distances (to a
+    bucket of distances, which a histogram finds exactly) and estimates again. A start of a group whose determinant no
+    longer falls takes no further step; the others of all groups take theirs together."""
     size = sum((F.log(F.col(f"l{i}{i}")) for i in range(P)), F.lit(0.0))
-    best, groups = None, estimate.count()
+    best, estimate, groups, own = None, starts, starts.count(), [*keys, "start"]
     while True:
         near = _distance(_with_estimate(rows, estimate, keys)).withColumn("bucket", F.floor(F.log1p("d2") * 64).cast("int"))
-        counts = near.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("k"))
-        order = Window.partitionBy(*keys).orderBy("bucket")
-        counts = counts.withColumn("upto", F.sum("k").over(order)).withColumn("all", F.sum("k").over(Window.partitionBy(*keys)))
-        limit = counts.where(F.col("upto") >= F.ceil(F.col("all") * CORE)).groupBy(*keys).agg(F.min("bucket").alias("most"))
-        core = _with_estimate(near, materialize(limit, groups), keys).where("bucket <= most")
-        made = _moments(core.select(*rows.columns), keys).withColumn("size", size)
+        counts = near.groupBy(*own, "bucket").agg(F.count(F.lit(1)).alias("k"))
+        order = Window.partitionBy(*own).orderBy("bucket")
+        counts = counts.withColumn("upto", F.sum("k").over(order)).withColumn("all", F.sum("k").over(Window.partitionBy(*own)))
+        limit = counts.where(F.col("upto") >= F.ceil(F.col("all") * CORE)).groupBy(*own).agg(F.min("bucket").alias("most"))
+        core = _with_estimate(near, materialize(limit, groups), own).where("bucket <= most")
+        # written before it is compared: a condition on size would be computed below, with the whole factor in it
+        made = materialize(_moments(core.select(*rows.columns, "start"), own).withColumn("size", size), groups)
         if best is None:
-            best = estimate = materialize(made, groups)
+            best = estimate = made
             continue
-        old = best.select(*keys, F.col("size").alias("was"))
-        estimate = materialize(made.join(old, keys).where(F.col("size") < F.col("was") - 1e-6).drop("was"), groups)
+        old = best.select(*own, F.col("size").alias("was"))
+        estimate = materialize(made.join(old, own).where(F.col("size") < F.col("was") - 1e-6).drop("was"), groups)
         if estimate.isEmpty():
             return best
-        best = materialize(best.join(estimate, keys, "left_anti").unionByName(estimate), groups)
+        best = materialize(best.join(estimate, own, "left_anti").unionByName(estimate), groups)
 
 
 def mcd(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Robust location and Cholesky factor per key, of rows with f0... The last covariance is not yet scaled up for the
     cut tail (TRIMMED)."""
-    one, two = (_concentrate(rows, keys, materialize(start(rows, keys))) for start in (_start, _moments))
-    better = two.join(one.select(*keys, F.col("size").alias("other")), keys).where(F.col("size") < F.col("other") - 1e-6).drop("other")
-    better = materialize(better)
+    starts = materialize(_start(rows, keys).withColumn("start", F.lit(0)).unionByName(_moments(rows, keys).withColumn("start", F.lit(1))))
+    best = _concentrate(rows, keys, starts)
+    one, two = (best.where(F.col("start") == k).drop("start") for k in (0, 1))
+    better = materialize(two.join(one.select(*keys, F.col("size").alias("other")), keys).where(F.col("size") < F.col("other") - 1e-6).drop("other"))
     return materialize(one.join(better, keys, "left_anti").unionByName(better)).drop("size")
 
 
@@ -168,6 +171,7 @@ def judge(docs: DataFrame) -> DataFrame:
     fewer than MIN_GROUP documents (that pass the base rules) take the estimate of their language, and where
     that has fewer too, of all. Null lang or source count as groups named by the empty string; null texts are
     empty and fail; repeated rows are judged each; an empty table gives no rows."""
+    start = tables_so_far()
     stats = slim(docs, "doc_id", "text", "lang", "source").withColumns({"lang": F.coalesce("lang", F.lit("")), "source": F.coalesce("source", F.lit(""))})
     rows = materialize(features(statistics(stats)))
     fit = rows.where(~F.col("base_failed")).select("lang", "source", *[f"f{i}" for i in range(P)])
@@ -178,5 +182,6 @@ def judge(docs: DataFrame) -> DataFrame:
         out = materialize(scored.withColumn("d", F.coalesce("d", "d2")).select(*out.columns))
         if out.where("d is null").isEmpty():
             break
+    drop_tables(start, (out,))
     shrunk = F.coalesce("d", F.lit(0.0)) * TRIMMED * F.col("n_words") / (F.col("n_words") + SHORT)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (shrunk <= CUTOFF)).alias("kept"), F.round(shrunk, 6).alias("distance2"))
