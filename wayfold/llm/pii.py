@@ -1,10 +1,13 @@
 """Personal data: fixed patterns, and identifiers that bootstrapped contexts discover.
 
-The fixed patterns' matches are the seeds. Every token of SHORTEST characters with DIGITS_LEAST digits or more is
-an instance; the words around it are its lexical patterns. Spark scores the bipartite graph: a pattern by its
-labelled instances, known ones against dates, times, amounts and failed card numbers (until they become known),
-an instance by its confident patterns, until nothing changes. Unlabelled instances count neither way. Tokens that
-confident patterns point at and that the fixed patterns don't cover become spans of kind `id`.
+The fixed patterns' matches are the seeds, and so are tokens that look drawn at random (SHAPES), as keys do. Every token
+of SHORTEST characters with DIGITS_LEAST digits or more is an instance; the words around it are its lexical patterns.
+Spark scores the bipartite graph: a pattern by its labelled instances, known ones against dates, times, amounts and
+failed card numbers (until they become known), an instance by its confident patterns, until nothing changes. Unlabelled
+instances count neither way, but where they are more than half as many as the tokens that are known by their shape or by
+patterns, or these are fewer than DERIVED, these don't count for the pattern: only fixed patterns' matches may vouch for
+many others. Tokens that confident patterns point at and that the fixed patterns don't cover become spans of
+kind `id`; a token of such a shape is none by its shape alone.
 """
 
 from __future__ import annotations
@@ -34,10 +37,15 @@ DIGITS = re.compile(r"[0-9]+")
 #: and such a share of known ones among its labelled ones on, with PRIOR more against it; an instance from such a score on.
 SHORTEST, LONGEST, DIGITS_LEAST = 6, 128, 4
 SUPPORT, CONFIDENT, PRIOR = 3, 0.9, 0.3
+#: Tokens known by their shape or by patterns back a pattern only together with so many.
+DERIVED = 5
 #: Evidence against a pattern: dates, times, decimals, grouped thousands, dotted numbers, and runs of 16 digits or more (no
 #: seeds, so that they failed the cards' test).
 QUANTITY = re.compile(r"[0-9]{1,4}([-/.])[0-9]{1,2}\1[0-9]{1,4}(?:T[0-9:.]+Z?)?|[0-9]{1,2}(?::[0-9]{2}){1,2}|[0-9]+[.,][0-9]+|[0-9]{1,3}(?:[.,'][0-9]{3})+(?:[.,][0-9]+)?|[0-9]+(?:\.[0-9]+){2,}|[0-9](?:-?[0-9]){15,}")
 
+#: Tokens that look drawn at random: long hexadecimal numbers, and long runs of small and large letters and digits.
+SHAPES = re.compile(r"(?=[0-9a-fA-F]*[0-9])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,}|(?=[^0-9]*[0-9])(?=[^a-z]*[a-z])(?=[^A-Z]*[A-Z])[A-Za-z0-9+/_-]{24,}={0,2}")
+
 
 def emails(text: str) -> list[tuple[int, int]]:
     out, end, at = [], 0, text.find("@")
@@ -76,6 +84,7 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 
 BLANK = frozenset(" \t\n\x0b\x0c\r")
+QUOTES = "\"'`“”„«»"
 CONTEXT = 48  # characters on either side in which the words around an instance are looked for
 
 
@@ -107,9 +116,10 @@ def instances(text: str, spans: dict[str, list[tuple[int, int]]]) -> list[tuple[
 
 
 def _contexts(text: str, a: int, b: int) -> list[str]:
-    """Lexical patterns: the word before, the two before, the word after, and the pair around."""
-    left = text[max(0, a - CONTEXT) : a].lower().split()[-2:]
-    right = text[b : b + CONTEXT].lower().split()[:1]
+    """Lexical patterns: the word before, the two before, the word after, and the pair around. Quotes are no part of a
+    word, and a pattern without any letter or digit says nothing."""
+    words = lambda part: [w for w in (x.strip(QUOTES) for x in part.lower().split()) if w]
+    left, right = words(text[max(0, a - CONTEXT) : a])[-2:], words(text[b : b + CONTEXT])[:1]
     out = []
     if left:
         out.append(f"{left[-1]} _")
@@ -119,10 +129,10 @@ def _contexts(text: str, a: int, b: int) -> list[str]:
         out.append(f"_ {right[0]}")
     if left and right:
         out.append(f"{left[-1]} _ {right[0]}")
-    return out
+    return [p for p in out if any(c.isalnum() for c in p)]
 
 
-FOUND = "row_key string, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, instances array<struct<token:binary,start:int,end:int,seed:boolean,amount:boolean,patterns:array<string>>>"
+FOUND = "row_key string, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, instances array<struct<token:binary,start:int,end:int,seed:boolean,shaped:boolean,amount:boolean,patterns:array<string>>>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -136,7 +146,7 @@ def scan(docs: DataFrame) -> DataFrame:
                     text = text or ""
                     spans = base_spans(text)
                     joined = ",".join(f"{k}:{a}:{b}" for k in KINDS for a, b in spans[k])
-                    found = [{"token": hashlib.blake2b(t.encode(), digest_size=12).digest(), "start": a, "end": b, "seed": s, "amount": not s and QUANTITY.fullmatch(t) is not None, "patterns": p} for t, a, b, s, p in instances(text, spans)]
+                    found = [{"token": hashlib.blake2b(t.encode(), digest_size=12).digest(), "start": a, "end": b, "seed": s, "shaped": not s and SHAPES.fullmatch(t) is not None, "amount": not s and QUANTITY.fullmatch(t) is not None, "patterns": p} for t, a, b, s, p in instances(text, spans)]
                     key = hashlib.blake2b(f"{doc_id}:{text}".encode(), digest_size=16).hexdigest() if found else None
                     rows.append({"row_key": key, "doc_id": doc_id, **{f"n_{k}": len(spans[k]) for k in KINDS}, "base": joined, "instances": found})
                 yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
@@ -144,30 +154,33 @@ def scan(docs: DataFrame) -> DataFrame:
     return slim(docs, "doc_id", "text").mapInArrow(run, FOUND)
 
 
-_ARROW = pa.schema([("row_key", pa.string()), ("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base", pa.string()), ("instances", pa.list_(pa.struct([("token", pa.binary()), ("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_()), ("amount", pa.bool_()), ("patterns", pa.list_(pa.string()))])))])
+_ARROW = pa.schema([("row_key", pa.string()), ("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base", pa.string()), ("instances", pa.list_(pa.struct([("token", pa.binary()), ("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_()), ("shaped", pa.bool_()), ("amount", pa.bool_()), ("patterns", pa.list_(pa.string()))])))])
 
 
 def bootstrap(found: DataFrame) -> DataFrame:
     """Tokens (digest, score) that confident patterns discover. Edges of the graph are distinct (pattern,
     token) pairs; a pattern's sums and a token's product are aggregates, so frequent words cost a row a task."""
-    own = found.select(F.explode("instances").alias("i")).select("i.token", "i.seed", "i.amount", F.explode("i.patterns").alias("pattern"))
-    edges = materialize(own.groupBy("pattern", "token").agg(F.max("seed").alias("seed"), F.max("amount").alias("amount")))
+    own = found.select(F.explode("instances").alias("i")).select("i.token", "i.seed", (F.col("i.seed") | F.col("i.shaped")).alias("told"), "i.amount", F.explode("i.patterns").alias("pattern"))
+    edges = materialize(own.groupBy("pattern", "token").agg(F.max("seed").alias("seed"), F.max("told").alias("told"), F.max("amount").alias("amount")))
     # patterns without enough seeds are never believed
-    backed = edges.where("seed").groupBy("pattern").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= SUPPORT).select(F.col("pattern").alias("p"))
+    backed = edges.where("told").groupBy("pattern").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= SUPPORT).select(F.col("pattern").alias("p"))
     edges = materialize(skew_join(edges, materialize(backed), "pattern", "p").drop("p"))
-    scores = materialize(edges.groupBy("token").agg(F.max(F.col("seed").cast("double")).alias("score")).select(F.col("token").alias("t"), "score"))
+    scores = materialize(edges.groupBy("token").agg(F.max(F.col("told").cast("double")).alias("score")).select(F.col("token").alias("t"), "score", F.lit(0.0).alias("reach")))
     before = -1
-    # a known token stays known, as patterns only gain; so the number of known ones tells when nothing changes
-    while (known := scores.where(F.col("score") >= CONFIDENT).count()) != before:
+    # a reached token stays reached, as patterns only gain; so the number of them tells when nothing changes
+    while (known := scores.where(F.col("reach") >= CONFIDENT).count()) != before:
         before = known
-        weighed = edges.join(scores, F.col("token") == F.col("t")).withColumn("known", (F.col("score") >= CONFIDENT).cast("int"))
-        patterns = weighed.groupBy("pattern").agg(F.sum("known").alias("known"), F.sum((F.col("amount") & (F.col("known") == 0)).cast("int")).alias("against"))
-        patterns = patterns.select(F.col("pattern").alias("p"), (F.col("known") / (F.col("known") + F.col("against") + PRIOR)).alias("confidence")).where(F.col("confidence") >= CONFIDENT)
+        weighed = edges.join(scores, F.col("token") == F.col("t")).withColumns({"known": F.col("score") >= CONFIDENT, "derived": (F.col("score") >= CONFIDENT) & ~F.col("seed")})
+        many = lambda c: F.sum(c.cast("int"))
+        patterns = weighed.groupBy(F.col("pattern").alias("p")).agg(many(F.col("known")).alias("known"), many(F.col("derived")).alias("derived"), many(~F.col("known") & ~F.col("amount")).alias("open"), many(~F.col("known") & F.col("amount")).alias("against"))
+        backing = F.col("known") - F.when((F.col("derived") < DERIVED) | (2 * F.col("open") > F.col("derived")), F.col("derived")).otherwise(0)
+        patterns = patterns.where(backing >= SUPPORT).select("p", (backing / (backing + F.col("against") + PRIOR)).alias("confidence")).where(F.col("confidence") >= CONFIDENT)
         believed = skew_join(edges, materialize(patterns), "pattern", "p")
-        reached = believed.groupBy("token").agg(F.max("confidence").alias("reach"))
-        scores = materialize(scores.join(reached, F.col("t") == F.col("token"), "left").select("t", F.greatest("score", F.coalesce("reach", F.lit(0.0))).alias("score")))
+        reached = believed.groupBy("token").agg(F.max("confidence").alias("now"))
+        now = F.coalesce("now", F.lit(0.0))
+        scores = materialize(scores.join(reached, F.col("t") == F.col("token"), "left").select("t", F.greatest("score", now).alias("score"), F.greatest("reach", now).alias("reach")))
     seeds = edges.where("seed").select(F.col("token").alias("t")).distinct()
-    return materialize(scores.where(F.col("score") >= CONFIDENT).join(seeds, "t", "left_anti"))
+    return materialize(scores.where(F.col("reach") >= CONFIDENT).join(seeds, "t", "left_anti"))
 
 
 def find(docs: DataFrame) -> DataFrame:
