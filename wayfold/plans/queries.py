@@ -464,12 +464,13 @@ _LINKS = "(SELECT DISTINCT 'a' || l_partkey AS src, 'h' || l_suppkey AS dst FROM
 r AS (SELECT 0 AS i, node, CAST(1 AS DOUBLE) AS rank FROM v UNION ALL SELECT i, node, 0.15::DOUBLE + 0.85::DOUBLE * sum(x) AS rank FROM (
 SELECT r.i + 1 AS i, e.dst AS node, r.rank * o.share AS x FROM r JOIN o ON o.src = r.node JOIN e ON e.src = r.node WHERE r.i < 30
 UNION ALL SELECT l.i, v.node, l.lost / (SELECT count(*) FROM v) FROM v, (SELECT r.i + 1 AS i, sum(CASE WHEN ends THEN rank ELSE 0 END) AS lost FROM r JOIN v USING (node) WHERE r.i < 30 GROUP BY r.i) l) y GROUP BY i, node)
-SELECT node, round(rank, 6) AS rank FROM r WHERE i = 30""")
+SELECT node, round(rank + 0.000000001::DOUBLE, 6) AS rank FROM r WHERE i = 30""")
 def graph_pagerank(spark, sf):
-    """Ranks of activities, hotels, areas and regions by their links, after thirty rounds."""
+    """Ranks of activities, hotels, areas and regions by their links, after thirty rounds. Some ranks lie halfway between
+    two numbers of six places; a billionth more lets both engines round them alike."""
     to = lambda name, a, src, b, dst: table(spark, sf, name).select(F.concat(F.lit(a), F.col(src)).alias("src"), F.concat(F.lit(b), F.col(dst)).alias("dst"))
     links = kn.union_entities(to("lineitem", "a", "l_partkey", "h", "l_suppkey"), to("supplier", "h", "s_suppkey", "n", "s_nationkey"), to("nation", "n", "n_nationkey", "r", "n_regionkey"), to("nation", "r", "n_regionkey", "n", "n_nationkey"))
-    return graph.pagerank(links, tolerance=0.0, most=30).select("node", F.round("rank", 6).alias("rank"))
+    return graph.pagerank(links, tolerance=0.0, most=30).select("node", F.round(F.col("rank") + 1e-9, 6).alias("rank"))
 
 
 @_add(f"WITH RECURSIVE e AS (SELECT a.id AS a, b.id AS b FROM {H} a JOIN {H} b ON a.id <> b.id WHERE {_NEAR} <= 70), r AS (SELECT id AS node, id AS root FROM {H} h UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node) SELECT node, min(root) AS root FROM r GROUP BY 1")
