@@ -48,3 +48,11 @@ def _connect(at):
 @pytest.mark.parametrize("name", ["graph_build", "graph_export"])
 def test_edges_of_repeated_rows_equal_sql(spark, copies, name):
     assert oracle.compare(QUERIES[name](spark, copies), _connect(copies), ORACLES[name]) == ""
+
+
+def test_components_go_by_places(spark, copies, sf, monkeypatch):
+    seen, own = [], graph.components
+    monkeypatch.setattr(graph, "components", lambda e: seen.append(e.count()) or own(e))
+    first = {r.node: r.root for r in QUERIES["graph_components"](spark, sf).collect()}
+    again = {(r.node, r.root) for r in QUERIES["graph_components"](spark, copies).collect()}
+    assert again == {(n + i, root) for n, root in first.items() for i in (0, 10500)} and seen[0] == seen[1]
