@@ -118,3 +118,54 @@ def test_hashing_finds_what_shares_a_bucket(spark):
     assert pairs == want and len(pairs) < 0.5 * 20 * 299
     exact = {r[:2] for r in plain(x[:20], range(20), x, range(300), 5)}
     assert len({r[:2] for r in got(vs.knn_lsh(q, v, 5, 6, 8))} & exact) >= 0.9 * len(exact)
+
+
+@pytest.mark.parametrize("cells", [64, 500, 1 << 20])
+def test_blocks_of_any_size_find_the_same(monkeypatch, cells):
+    monkeypatch.setattr(vs, "CELLS", cells)
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 2, (300, 4)).astype(float)  # many ties, and some zeros
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1)
+    best, order = vs._Best(np.arange(40), unit[:40], 7), rng.permutation(300)
+    for part in np.array_split(order, 4):
+        best.show(part, unit[part])
+    got = {(q, n, s) for q, n, s in zip(*(c.to_pylist() for c in best.found().columns), strict=True)}
+    assert got == {r[:3] for r in plain(x[:40], range(40), x, range(300), 7)}
+
+
+def test_blocks_take_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    u, v = rng.standard_normal((2000, 8)), rng.standard_normal((10_000, 8))
+    tracemalloc.start()
+    best = vs._Best(np.arange(2000), u, 10)
+    best.show(np.arange(10_000), v)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert best.found().num_rows == 20_000 and peak < 100 << 20
+
+
+def _hashed(spark):
+    x = clustered(300)
+    v, q = table(spark, x), table(spark, x[:20])
+    pairs = got(vs.lsh_pairs(q, v, 6, 8))
+    want = {}
+    for a, b, s, _ in plain(x[:20], range(20), x, range(300), 300):
+        if (a, b) in pairs:
+            want.setdefault(a, []).append((-s, b))
+    assert got(vs.knn_lsh(q, v, 5, 6, 8)) == {(a, b, -s, r) for a, own in want.items() for r, (s, b) in enumerate(sorted(own)[:5], 1)}
+
+
+def test_hashed_search_ranks_what_shares_a_bucket(spark):
+    _hashed(spark)
+
+
+def test_hashed_search_in_groups(spark, in_groups):
+    _hashed(spark)
+
+
+def test_hashed_search_shuffles_no_pairs(spark):
+    x = table(spark, clustered(50))
+    plan = vs.knn_lsh(x.limit(5), x, 5, 6, 8)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan

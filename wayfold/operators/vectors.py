@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.functions.text import tokens
-from wayfold.functions.vector import cosine
 from wayfold.operators.knowledge import top_per
 
 #: Bytes of queries that are sent to every executor at most; queries and vectors of a group beyond that.
 QUERY_BYTES, QUERY_BLOCK, VECTOR_BLOCK = 32 << 20, 2_000, 20_000
+#: Similarities that a task holds at once.
+CELLS = 1 << 20
 #: Vectors that centroids are fitted on, and rows of a list that one file holds.
 SAMPLE, FILE_ROWS = 100_000, 1_000_000
 
@@ -39,15 +40,48 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def _best(ids: np.ndarray, u: np.ndarray, nodes: np.ndarray, v: np.ndarray, k: int) -> pa.RecordBatch:
-    """The best k of the vectors for each query."""
-    sim = np.round(u @ v.T, 6) + 0.0
-    sim[ids[:, None] == nodes[None, :]] = -np.inf
-    order = np.argsort(nodes, kind="stable")
-    top = order[np.argsort(-sim[:, order], axis=1, kind="stable")[:, :k]]
-    best = np.take_along_axis(sim, top, axis=1).ravel()
-    there = best > -np.inf
-    return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, top.shape[1])[there]), pa.array(nodes[top].ravel()[there]), pa.array(best[there])], names=["q", "node", "sim"])
+class _Best:
+    """The best k of each query among all vectors that are shown, in blocks of some CELLS similarities. `marks` gives the
+    buckets of vectors in each of some tables, where only vectors that share one with the query count."""
+
+    def __init__(self, ids: np.ndarray, u: np.ndarray, k: int, marks: Callable[[np.ndarray], np.ndarray] | None = None):
+        self.ids, self.u, self.k, self.marks = ids, u, k, marks
+        self.own = None if marks is None else marks(u)
+        self.row, self.node, self.sim = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def _first(self, row: np.ndarray, node: np.ndarray, sim: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((node, -sim, row))
+        row = row[order]
+        start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else row
+        place = np.arange(len(row)) - np.repeat(start, np.diff(np.r_[start, len(row)]))
+        order = order[place < self.k]
+        return row[place < self.k], node[order], sim[order]
+
+    def show(self, nodes: np.ndarray, v: np.ndarray) -> None:
+        marks = None if self.marks is None else self.marks(v)
+        wide = max(1, min(len(nodes), CELLS // 64))
+        tall, found = max(1, CELLS // wide), []
+        for i in range(0, len(nodes), wide):
+            part = slice(i, i + wide)
+            found += [self._block(j, tall, nodes[part], v[part], None if marks is None else marks[part]) for j in range(0, len(self.ids), tall)]
+        row, node, sim = (np.concatenate(x) for x in zip(*found, (self.row, self.node, self.sim), strict=True))
+        self.row, self.node, self.sim = self._first(row, node, sim)
+
+    def _block(self, j: int, n: int, nodes: np.ndarray, v: np.ndarray, marks: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sim = np.round(self.u[j : j + n] @ v.T, 6) + 0.0
+        sim[(self.ids[j : j + n, None] == nodes[None, :]) | np.isnan(sim)] = -np.inf
+        if marks is not None:
+            share = np.zeros(sim.shape, bool)
+            for mine, theirs in zip(self.own[j : j + n].T, marks.T, strict=True):
+                share |= mine[:, None] == theirs[None, :]
+            sim[~share] = -np.inf
+        # all that are as near as the k-th one: which of these come first is told by their ids
+        least = np.partition(sim, -self.k, axis=1)[:, -self.k, None] if sim.shape[1] > self.k else -np.inf
+        row, at = np.nonzero((sim >= least) & (sim > -np.inf))
+        return self._first(row + j, nodes[at], sim[row, at])
+
+    def found(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[self.row], pa.int64()), pa.array(self.node, pa.int64()), pa.array(self.sim, pa.float64())], names=["q", "node", "sim"])
 
 
 def _rank(found: DataFrame, k: int) -> DataFrame:
@@ -66,7 +100,7 @@ def _columns(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
-def _grouped(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def _grouped(queries: DataFrame, vectors: DataFrame, k: int, marks: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """Queries and vectors (id, vec, list) of one list meet in groups of at most some VECTOR_BLOCK by QUERY_BLOCK rows,
     however large the list: both sides are dealt into parts, and every part meets every part of the other."""
     # columns of both sides get new names, as they may come from one table
@@ -82,29 +116,31 @@ def _grouped(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     def meet(v: pa.Table, u: pa.Table) -> pa.Table:
         if not len(u) or not len(v):
             return pa.table({"q": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
-        return pa.Table.from_batches([_best(u.column("q").to_numpy(), _matrix(u.column("u")), v.column("node").to_numpy(), _matrix(v.column("v")), k)])
+        best = _Best(u.column("q").to_numpy(), _matrix(u.column("u")), k, marks)
+        best.show(v.column("node").to_numpy(), _matrix(v.column("v")))
+        return pa.Table.from_batches([best.found()])
 
     return left.groupBy("a", "a1", "a2").cogroup(right.groupBy("b", "b1", "b2")).applyInArrow(meet, _FOUND)
 
 
-def search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(q, node, sim, rank): the k nearest vectors of each query, exactly; both sides have id and vec."""
+def search(queries: DataFrame, vectors: DataFrame, k: int, marks: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(q, node, sim, rank): the k nearest vectors of each query, exactly; both sides have id and vec. With `marks`: those
+    among the vectors that share a bucket with the query."""
     q, v = _usable(queries), _usable(vectors)
     if not _small(q):
         one = F.lit(0).alias("list")
-        return _rank(_grouped(q.select("id", "vec", one), v.select("id", "vec", one), k), k)
+        return _rank(_grouped(q.select("id", "vec", one), v.select("id", "vec", one), k, marks), k)
     own = q.toArrow()
     held = q.sparkSession.sparkContext.broadcast((own.column("id").to_numpy(), _matrix(own.column("vec"))) if len(own) else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held.value is None:
             return
-        ids, u = held.value
+        best = _Best(*held.value, k, marks)
         for batch in batches:
             if batch.num_rows:
-                nodes, v = batch.column("id").to_numpy(), _matrix(batch.column("vec"))
-                for i in range(0, len(ids), QUERY_BLOCK):
-                    yield _best(ids[i : i + QUERY_BLOCK], u[i : i + QUERY_BLOCK], nodes, v, k)
+                best.show(batch.column("id").to_numpy(), _matrix(batch.column("vec")))
+        yield best.found()
 
     return _rank(v.mapInArrow(run, _FOUND), k)
 
@@ -162,11 +198,14 @@ class Ivf:
         held = self.spark.sparkContext.broadcast(probes)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: dict[int, _Best] = {}
             for batch in batches:
                 own = batch.column("list").to_numpy()
-                for x in np.unique(own):
+                for x in map(int, np.unique(own)):
                     part = batch.take(pa.array(np.flatnonzero(own == x)))
-                    yield _best(*held.value[int(x)], part.column("id").to_numpy(), _matrix(part.column("vec")), k)
+                    best.setdefault(x, _Best(*held.value[x], k)).show(part.column("id").to_numpy(), _matrix(part.column("vec")))
+            for b in best.values():
+                yield b.found()
 
         return _rank(_usable(self.vectors(sorted(probes)), "list").mapInArrow(run, _FOUND), k)
 
@@ -204,37 +243,46 @@ def ivf_open(spark: SparkSession, path: str) -> Ivf:
 # --- hashing
 
 
-def _buckets(dim: int, bits: int, tables: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _marks(dim: int, bits: int, tables: int, seed: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Of vectors of unit length their bucket in each table, by the sides of `bits` random planes."""
     planes = np.random.default_rng(seed).standard_normal((dim, bits * tables))
+    kind = np.uint8 if bits <= 8 else np.int64
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                signs = (_matrix(batch.column("vec")) @ planes > 0).reshape(-1, tables, bits)
-                own = signs @ (1 << np.arange(bits)) + (np.arange(tables) << bits)
-                row = pa.array(np.repeat(np.arange(batch.num_rows), tables))
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(row), pa.array(own.ravel().astype(np.int64))], names=["id", "bucket"])
+    def run(x: np.ndarray) -> np.ndarray:
+        parts = [((x[i : i + 1000] @ planes > 0).reshape(-1, tables, bits) @ (1 << np.arange(bits))).astype(kind) for i in range(0, len(x), 1000)]
+        return np.concatenate(parts) if parts else np.zeros((0, tables), kind)
 
     return run
 
 
+def _dim(vectors: DataFrame) -> int:
+    first = vectors.select(F.size("vec").alias("n")).first()
+    return first.n if first else 1
+
+
 def lsh_pairs(queries: DataFrame, vectors: DataFrame, bits: int, tables: int, seed: int = 11) -> DataFrame:
     """(q, node): vectors that share a bucket with a query in one of the tables; a bucket is the sides of `bits` random
     planes. A pair at angle t shares one with probability 1 - (1 - (1 - t / pi) ^ bits) ^ tables."""
     q, v = _usable(queries), _usable(vectors)
-    first = v.select(F.size("vec").alias("n")).first()
-    run = _buckets(first.n if first else 1, bits, tables, seed)
+    marks = _marks(_dim(v), bits, tables, seed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own = marks(_matrix(batch.column("vec"))) + (np.arange(tables, dtype=np.int64) << bits)
+                row = pa.array(np.repeat(np.arange(batch.num_rows), tables))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(row), pa.array(own.ravel())], names=["id", "bucket"])
+
     a = q.mapInArrow(run, "id long, bucket long").withColumnRenamed("id", "q")
     b = v.mapInArrow(run, "id long, bucket long").withColumnRenamed("id", "node")
     return a.join(b, "bucket").where("q != node").select("q", "node").distinct()
 
 
-def knn_lsh(queries: DataFrame, vectors: DataFrame, k: int, bits: int = 8, tables: int = 112) -> DataFrame:
-    """(q, node, sim, rank) among the vectors that share a bucket with the query. Fewer bits or more tables find more
-    and look at more; see the README for shares and recall."""
-    pairs = lsh_pairs(queries, vectors, bits, tables)
-    own = pairs.join(_usable(queries).select(F.col("id").alias("q"), F.col("vec").alias("u")), "q").join(_usable(vectors).select(F.col("id").alias("node"), F.col("vec").alias("v")), "node")
-    return _rank(own.select("q", "node", F.round(cosine(F.col("u"), F.col("v")), 6).alias("sim")), k)
+def knn_lsh(queries: DataFrame, vectors: DataFrame, k: int, bits: int = 8, tables: int = 112, seed: int = 11) -> DataFrame:
+    """(q, node, sim, rank) among the vectors that share a bucket with the query, the pairs of lsh_pairs(). Fewer bits or
+    more tables find more and look at more; see the README for shares and recall. Vectors stay where they are and queries
+    come to them; buckets are compared block by block, so that neither pairs nor buckets are shuffled."""
+    return search(queries, vectors, k, _marks(_dim(_usable(vectors)), bits, tables, seed))
 
 
 def mean_vectors(vectors: DataFrame, by: str) -> DataFrame:
