@@ -169,3 +169,17 @@ def test_hashed_search_shuffles_no_pairs(spark):
     x = table(spark, clustered(50))
     plan = vs.knn_lsh(x.limit(5), x, 5, 6, 8)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_scores_make_no_golden_pairs(spark, sf):
+    from wayfold.plans import kb
+    from wayfold.plans.queries import QUERIES
+    from wayfold.operators import evaluate as ev
+
+    df = QUERIES["eval_scores"](spark, sf)
+    v, q = kb.vectors(spark, sf), kb.query_vectors(spark, sf)
+    golden = q.select(vs.F.col("id").alias("q"), "label").join(v.select(vs.F.col("id").alias("node"), "label"), "label").where("q != node")
+    assert got(df) == got(ev.evaluate(vs.search(q, v, 10), golden))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # the one join by label is with the labels' sizes
+    assert "NOT (q#" not in plan and "Aggregate [label" in plan

@@ -12,7 +12,13 @@ def evaluate(run: DataFrame, golden: DataFrame, k: int = 10) -> DataFrame:
     best = run.where(F.col("rank") <= k).groupBy("q", "node").agg(F.min("rank").alias("rank"))
     gold = golden.select("q", "node").distinct()
     size = gold.groupBy("q").agg(F.count(F.lit(1)).cast("double").alias("size"))
-    found = best.join(gold, ["q", "node"]).groupBy("q").agg(F.count(F.lit(1)).alias("found"), F.min("rank").alias("first"), F.sum(1 / F.log2(F.col("rank") + 1.0)).alias("gain"))
+    return scored(best.join(gold, ["q", "node"]).select("q", "rank"), size, k)
+
+
+def scored(found: DataFrame, size: DataFrame, k: int = 10) -> DataFrame:
+    """The measures of evaluate() from the ranks (q, rank; k at most) of relevant nodes in a run and the number of all
+    relevant ones (q, size), where these are known without a list of them."""
+    found = found.groupBy("q").agg(F.count(F.lit(1)).alias("found"), F.min("rank").alias("first"), F.sum(1 / F.log2(F.col("rank") + 1.0)).alias("gain"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("size"), F.lit(float(k))).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
     score = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
     return size.join(found, "q", "left").select("q", score(F.col("found") / k).alias("precision"), score(F.col("found") / F.col("size")).alias("recall"), score(1 / F.col("first")).alias("rr"), score(F.col("gain") / ideal).alias("ndcg"))
