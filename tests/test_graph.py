@@ -79,6 +79,19 @@ def test_pagerank_converges(spark):
     assert graph.pagerank(df.limit(0)).count() == 0
 
 
+def test_edges_from_where_nothing_leads_count_once(spark, monkeypatch):
+    edges = [(i, 100 + i % 7) for i in range(60)] + [(i, 100 + i % 3) for i in range(60)] + [(100, 200), (101, 200), (200, 100), (102, 300)]
+    rank = {x: 1.0 for e in edges for x in e}
+    out = {x: [b for a, b in set(edges) if a == x] for x in rank}
+    for _ in range(4):
+        lost = sum(rank[x] for x in rank if not out[x]) / len(rank)
+        rank = {x: 0.15 + 0.85 * (lost + sum(rank[a] / len(out[a]) for a, b in set(edges) if b == x)) for x in rank}
+    walked, own = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df: walked.append(df.count()) or own(df) if df.columns == ["src", "dst", "share"] else own(df))
+    got_ranks = dict(graph.pagerank(spark.createDataFrame(edges, "src long, dst long"), tolerance=0.0, most=4).collect())
+    assert got_ranks == pytest.approx(rank) and walked == [4]
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
