@@ -130,3 +130,12 @@ def test_streams_go_on_where_they_ended_and_drop_what_is_late(spark, tmp_path):
     assert go() == [(0, 2), (2, 1)]
     once = streams.run(streams.first_of(streams.read_events(spark, f"{tmp_path}/in", "1 day"), "user_id"), f"{tmp_path}/once")
     assert once.count() == 1
+
+
+def test_shingles_of_one_class_are_not_moved(spark, monkeypatch):
+    plans, own = [], dedup.stored
+    monkeypatch.setattr(dedup, "stored", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or own(df))
+    words = [f"w{i}" for i in range(60)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:-1], "x"])), (3, " ".join(words[30:])), (4, "alone")], "id long, text string")
+    assert {tuple(r) for r in dedup.near_equal(df, "id", "text").collect()} == {(1, 1, 1), (2, 2, 1), (3, 3, 0), (4, 4, 0)}
+    assert "Window" in plans[1] and "LeftOuter" not in plans[1]

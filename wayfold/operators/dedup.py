@@ -31,9 +31,10 @@ def near_equal(df: DataFrame, key: str, text: str, percent: int = 80) -> DataFra
     linked = sets.where("n > 0").select(F.col("class_id").alias("c"), "s", "n")
     each = linked.select("c", "n", F.explode("s").alias("g"))
     often = each.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    # a shingle of one class alone joins nothing, but takes its place among the rarest
-    ranked = each.join(often, "g", "left").withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy(F.coalesce("df", F.lit(1)), "g")))
-    own = stored(ranked.where(F.col("df").isNotNull() & (F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).select("c", "n", "g"))
+    # a shingle of one class alone joins nothing, but takes its place among the rarest: it is counted and not moved
+    shared, own = each.join(often, "g"), Window.partitionBy("c")
+    ranked = shared.withColumn("r", F.row_number().over(own.orderBy("df", "g")) + F.col("n") - F.count(F.lit(1)).over(own))
+    own = stored(ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("c", "n", "g"))
     other = own.select(F.col("c").alias("d"), F.col("n").alias("m"), "g")
     alike = (F.col("c") < F.col("d")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
     pairs = own.join(other, "g").where(alike).select("c", "d").distinct()
