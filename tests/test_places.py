@@ -13,6 +13,7 @@ from wayfold.session import TABLES
 
 def test_many_at_one_place_equal_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(kn, "GROUP", 3)
+    monkeypatch.setattr(kn, "TASK_PAIRS", 2)
     rows = [(i, 10.0 + i % 4 * 0.1, 20.0) for i in range(40)] + [(None, 10.0, 20.0), (99, None, 20.0), (98, 10.0, None)]
     a = spark.createDataFrame(rows, "id long, lat double, lon double")
     b = spark.createDataFrame([(i + 1000, 10.05, 20.0 + i % 2 * 0.3) for i in range(25)], "id long, lat double, lon double")
@@ -20,6 +21,8 @@ def test_many_at_one_place_equal_all_pairs(spark, monkeypatch):
     x, y = a.toDF("a", "lat1", "lon1"), b.toDF("b", "lat2", "lon2")
     every = x.crossJoin(y).select("a", "b", haversine(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")).alias("km")).where("km <= 12")
     assert got == sorted((tuple(r) for r in every.collect()), key=repr) and len(got) == 21 * 13
+    # tasks grow with the pairs
+    assert kn.near(a, b, 12.0).rdd.getNumPartitions() == -(-len(got) // 2)
     places = kn.near_places(a, b, 12.0)
     assert places.count() == 2 and places.agg(F.sum(F.col("n1") * F.col("n2"))).first()[0] == len(got)
 
