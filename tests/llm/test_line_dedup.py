@@ -157,3 +157,19 @@ def test_bitmaps_rule_out_no_pair_that_reaches_the_similarity(spark):
     sets = {r.k: set(r.s) for r in rows.select("k", line_dedup.shingle_set("own").alias("s")).collect()}
     alike = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
     assert alike and alike <= passed and len(passed) < len(sets) * (len(sets) - 1) // 4
+
+
+def test_bitmaps_part_long_lines(spark):
+    """Lines of over a thousand shingles that are 0.5 to 0.7 alike are ruled out, copies are not, nor is a doubled line."""
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    base = letters(1300)
+    texts = [base[: 100 * i] + letters(330) + base[100 * i + 330 :] for i in range(9)] + [base, base + "x" * 40, base[:700], base[:700] * 2]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, own string")
+    maps = line_dedup.bitmaps(rows)
+    right = maps.select(*[maps[c].alias(f"{c}_b") for c in maps.columns])
+    passed = {(r.k, r.k_b) for r in maps.crossJoin(right).where("k < k_b").where(line_dedup.may_link("_b")).select("k", "k_b").collect()}
+    sets = [{x[i : i + 8] for i in range(len(x) - 7)} for x in texts]
+    like = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(len(texts)) for b in range(a + 1, len(texts))}
+    assert {p for p, j in like.items() if j >= 0.8} <= passed and {(9, 10), (11, 12)} <= passed
+    assert sum(0.5 <= j < 0.7 for j in like.values()) > 10 and all(like[p] >= 0.7 for p in passed)

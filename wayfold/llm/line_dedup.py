@@ -5,10 +5,12 @@ A line's shingles are its runs of WIDTH characters (a shorter line: itself); a c
 code points counts as two. Equal lines are one class. Signatures are taken over all runs of WIDTH bytes of a line,
 which are its shingles but for letters of several bytes. Bands post a class under BANDS keys of ROWS minima each:
 at similarity 0.8 some key is shared with probability 1 - (1 - 0.8^3)^7 = 0.993, at 0.9 with 0.9999. In each list
-the members are compared with its centre, and then every member outside a list's largest component with all
-members of other components, as far as AGREE minima agree. So a pair on one list is missed only where fewer do.
-The likeliest pair of every two components comes first, so that the pairs within a grown component need no look.
-A pair whose bitmaps of shingles differ in more places than its sets may is never looked at: that loses nothing.
+the members are compared with its centre and with one member of each group that shares further minima, and then every
+member outside a list's largest component with all members of other components, as far as AGREE minima agree. So a
+pair on one list is missed only where fewer do. The likeliest pair of every two components comes first, so that the
+pairs within a grown component need no look. A pair whose bitmaps of shingles differ in more places than its sets may
+is never looked at: that loses nothing. A bit tells whether an odd number of the line's shingles fall on it, so that
+shingles of both lines cancel out, and bitmaps of long lines part pairs as well.
 
 The functions run Spark jobs as they build their result: intermediate tables are written in the shared folder.
 """
@@ -17,7 +19,6 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,15 +32,18 @@ MINIMA = BANDS * ROWS
 POINTS = [random.Random(f"minimum {i}").getrandbits(32) - (1 << 31) for i in range(MINIMA)]
 #: Of 21 minima, three bits of each, so many have to agree; at similarity 0.8 fewer do with probability 2e-4.
 AGREE = 10
-#: Words of 64 bits in a class's bitmap; a shingle's hash sets one bit.
-WORDS = 8
+#: Words of 64 bits in a class's bitmap (a power of two); a shingle's hash turns one bit over.
+WORDS = 16
 BITMAP = ("runs", *[f"w{w}" for w in range(WORDS)])
 #: Neighbouring runs that the signature takes in one row.
 STEP = 16
 #: So many keys are sent to all executors to pick their lines or lists; more are joined by shuffling.
 BROADCAST_KEYS = 1_000_000
+#: In each of GROUPINGS ways, members of a list that share SHARED more minima are a group.
+GROUPINGS, SHARED = 8, 6
+SHARES = [sum(7 << 3 * i for i in random.Random(f"grouping {g}").sample(range(MINIMA), SHARED)) for g in range(GROUPINGS)]
 #: Rounds in which of any two components one pair is compared; what lies between components then is compared in full.
-ROUNDS = 3
+ROUNDS = 1
 #: Members of a list that the full comparison holds against each other in one place.
 BLOCK = 500
 
@@ -84,19 +88,17 @@ def agreeing(a: str, b: str) -> Column:
 
 
 def bitmaps(texts: DataFrame) -> DataFrame:
-    """k, runs, w0 to w7 of (k, own): the number of the line's runs, equal ones counted again, and the bits that the
-    hashes of its shingles set."""
-    units = texts.select("k", F.encode("own", "UTF-16BE").alias("u")).withColumn("runs", F.greatest(F.lit(1), (F.octet_length("u") / 2).cast("int") - (WIDTH - 1)))
-    starts = units.select("k", "u", "runs", F.explode(F.sequence(F.lit(1), F.col("runs"), F.lit(STEP))).alias("i"))
-    # beyond the end the last run is taken again, which sets no further bit
-    hashes = starts.select("k", "runs", *[F.xxhash64(F.substring(F.col("u"), 2 * F.least(F.col("i") + j, F.col("runs")) - 1, F.lit(2 * WIDTH))).alias(f"h{j}") for j in range(STEP)])
-    # the upper three bits name the word, the lower six the bit
-    bits = [[F.when(F.shiftrightunsigned(f"h{j}", 61) == w, F.expr(f"shiftleft(1L, cast(h{j} & 63 as int))")).otherwise(F.lit(0).cast("long")) for j in range(STEP)] for w in range(WORDS)]
-    return hashes.groupBy("k").agg(F.first("runs").alias("runs"), *[F.bit_or(reduce(Column.bitwiseOR, of_word)).alias(f"w{w}") for w, of_word in enumerate(bits)])
+    """k, runs, w0 to w15 of (k, own): the number of the line's shingles, and the bits on which an odd number of their
+    hashes fall."""
+    # dealt by k, so that counting needs no exchange of the shingles
+    hashes = texts.repartition("k").select("k", F.explode(shingle_set("own")).alias("h"))
+    # the upper four bits name the word, the lower six the bit
+    placed = hashes.select("k", F.shiftrightunsigned("h", 65 - WORDS.bit_length()).alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+    return placed.groupBy("k").agg(F.count(F.lit(1)).alias("runs"), *[F.bit_xor(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)])
 
 
 def may_link(other: str) -> Column:
-    """False only for pairs that are surely below PERCENT: every place where the bitmaps differ is a shingle of one
+    """False only for pairs that are surely below PERCENT: on every place where the bitmaps differ falls a shingle of one
     line alone, and of two sets with n and m members at most (n + m) * (100 - PERCENT) / (100 + PERCENT) are. The
     second line's columns end with `other`."""
     apart = sum((F.bit_count(F.col(f"w{w}").bitwiseXOR(F.col(f"w{w}{other}"))) for w in range(1, WORDS)), F.bit_count(F.col("w0").bitwiseXOR(F.col(f"w0{other}"))))
@@ -109,17 +111,18 @@ def _few(df: DataFrame) -> DataFrame:
 
 
 def _lists(classes: DataFrame) -> DataFrame:
-    """(band, centre, key, sketch): the lists of several classes. centre is the list's least key."""
-    posted = classes.select("key", "sketch", F.explode("bands").alias("band"))
+    """(key, sketch, bands, place, band, n, centre): the lists of several (n) classes. place is that of band among the
+    class's bands, centre the list's least key."""
+    posted = classes.select("key", "sketch", "bands", F.posexplode("bands").alias("place", "band"))
     many = posted.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("centre")).where("n > 1")
     many = materialize(many.select(F.col("band").alias("l"), "n", "centre"))
     if many.count() <= BROADCAST_KEYS:
-        return materialize(posted.join(F.broadcast(many), F.col("band") == F.col("l")).drop("l", "n"))
+        return materialize(posted.join(F.broadcast(many), F.col("band") == F.col("l")).drop("l"))
     # the largest lists (so few that all executors can hold their names) are kept out of the exchange
     largest = many.agg(F.sum("n")).first()[0] // BROADCAST_KEYS + BLOCK
     hot = F.broadcast(many.where(F.col("n") > largest))
     cold = posted.join(hot, F.col("band") == F.col("l"), "left_anti").join(many.where(F.col("n") <= largest), F.col("band") == F.col("l"))
-    return materialize(cold.unionByName(posted.join(hot, F.col("band") == F.col("l"))).drop("l", "n"))
+    return materialize(cold.unionByName(posted.join(hot, F.col("band") == F.col("l"))).drop("l"))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -127,44 +130,65 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def shingle_set(own: str) -> Column:
+def _runs(own: str) -> Column:
     """Hashes of all runs of WIDTH characters (a shorter line: itself), found in two-byte units."""
     units = F.encode(F.col(own), "UTF-16BE")
     last = F.octet_length(units).cast("int") / 2 - WIDTH
-    runs = _let(units, lambda u: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), last.cast("int"))), lambda i: F.xxhash64(F.substring(u, 2 * i + 1, F.lit(2 * WIDTH)))))
-    return F.array_distinct(runs)
+    return _let(units, lambda u: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), last.cast("int"))), lambda i: F.xxhash64(F.substring(u, 2 * i + 1, F.lit(2 * WIDTH)))))
+
+
+def shingle_set(own: str) -> Column:
+    """Hashes of the shingles of a line."""
+    return F.array_distinct(_runs(own))
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links: pairs (a, b) whose shingle sets have Jaccard similarity of PERCENT or more. The lines move, being
-    far smaller than their sets."""
-    one = materialize(skew_join(pairs, texts, "b", "k").select("a", "b", F.col("own").alias("ob")))
-    sets = skew_join(one, texts, "a", "k").select("a", "b", shingle_set("own").alias("s"), shingle_set("ob").alias("t"))
-    # a written table, so that the sets are not made anew for every use of them
-    sizes = materialize(sets.select("a", "b", F.size("s").alias("n"), F.size("t").alias("m"), F.size(F.array_intersect("s", "t")).alias("both")))
-    return sizes.where(100 * F.col("both") >= PERCENT * (F.col("n") + F.col("m") - F.col("both"))).select("a", "b")
+    """Links: pairs (a, b, size; size is that of both shingle sets together) that have Jaccard similarity of PERCENT or
+    more. The lines move, being far smaller than their sets."""
+    one = materialize(skew_join(pairs, texts, "b", "k").select("a", "b", "size", F.col("own").alias("ob")))
+    met = skew_join(one, texts, "a", "k").select("a", "b", "size", F.size(F.array_intersect(_runs("own"), _runs("ob"))).alias("both"))
+    return materialize(met.where(100 * F.col("both") >= PERCENT * (F.col("size") - F.col("both"))).select("a", "b"))
+
+
+def _first_pairs(lists: DataFrame, maps: DataFrame) -> DataFrame:
+    """Pairs (a, b, size) that may link, of each member with its list's centre and with one member of each of its groups:
+    their number grows with that of the members."""
+    # a group of a list of two is the list
+    dealt = lists.where("n > 2").select("key", "sketch", F.explode(F.array(*[F.xxhash64("band", F.lit(g), F.col("sketch").bitwiseAND(F.lit(m))) for g, m in enumerate(SHARES)])).alias("group"))
+    dealt = materialize(dealt.distinct())
+    one = dealt.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("key", "sketch"), F.xxhash64("key", "group")).alias("one")).where("n > 1")
+    one = materialize(one.select(F.col("group").alias("g"), F.col("one.key").alias("centre"), F.col("one.sketch").alias("sb")))
+    in_groups = skew_join(dealt, one, "group", "g").select("key", "sketch", "centre", "sb")
+    centres = materialize(lists.where("key = centre").select(F.col("band").alias("l"), F.col("sketch").alias("sb")))
+    in_lists = skew_join(materialize(lists.where("key != centre").select("key", "sketch", "centre", "band")), centres, "band", "l").select("key", "sketch", "centre", "sb")
+    alike = in_lists.unionByName(in_groups).where((F.col("key") != F.col("centre")) & (agreeing("sketch", "sb") >= AGREE))
+    pairs = materialize(alike.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct())
+    one = materialize(skew_join(pairs, maps, "a", "k").drop("k"))
+    other = maps.select("k", *[F.col(c).alias(f"{c}_b") for c in BITMAP])
+    return materialize(skew_join(one, other, "b", "k").where(may_link("_b")).select("a", "b", (F.col("runs") + F.col("runs_b")).alias("size")))
 
 
 def _spanning(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) on one list that lie in different components, agree on AGREE minima and may link. A list is dealt over
-    blocks of some BLOCK members by their keys; members outside its largest component go to all of them."""
+    """Pairs (a, b, agree, size) on one list that lie in different components, agree on AGREE minima and may link, each
+    from the first list that both are on. A list is dealt over blocks of some BLOCK members by their keys; members outside
+    its largest component go to all of them."""
     named = labels.withColumnsRenamed({"node": "x"})
-    held = materialize(lists.join(_few(named), F.col("key") == F.col("x"), "left").select("band", "key", "sketch", *BITMAP, F.coalesce("root", "key").alias("root")))
+    held = materialize(lists.join(_few(named), F.col("key") == F.col("x"), "left").select("band", "place", "bands", "key", "sketch", *BITMAP, F.coalesce("root", "key").alias("root")))
     sizes = held.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
     several = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("root", "n").alias("main")).where("parts > 1")
     # of a list of two the pair is already compared
     several = materialize(several.where("all > 2").select(F.col("band").alias("l"), "main", F.ceil(F.col("all") / BLOCK).alias("blocks")))
     held = materialize(skew_join(held, several, "band", "l").drop("l"))
-    members = held.select(F.col("band").alias("l"), F.pmod("key", "blocks").alias("block"), F.col("key").alias("other"), F.col("root").alias("its"), F.col("sketch").alias("sb"), *[F.col(c).alias(f"{c}_b") for c in BITMAP])
+    members = held.select(F.col("band").alias("l"), F.pmod("key", "blocks").alias("block"), F.col("key").alias("other"), F.col("root").alias("its"), F.col("sketch").alias("sb"), F.col("bands").alias("bb"), *[F.col(c).alias(f"{c}_b") for c in BITMAP])
     strays = held.where("root != main").withColumn("own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     sure = agreeing("sketch", "sb")
-    met = strays.join(members, (F.col("band") == F.col("l")) & (F.col("own") == F.col("block")) & (F.col("root") != F.col("its")) & ((F.col("its") == F.col("main")) | (F.col("key") < F.col("other"))) & (sure >= AGREE) & may_link("_b"))
-    met = met.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"), sure.alias("agree"))
-    return met.groupBy("a", "b").agg(F.first("agree").alias("agree"))
+    before = F.arrays_overlap(F.slice("bands", F.lit(1), F.col("place")), F.slice("bb", F.lit(1), F.col("place")))
+    met = strays.join(members, (F.col("band") == F.col("l")) & (F.col("own") == F.col("block")) & (F.col("root") != F.col("its")) & ((F.col("its") == F.col("main")) | (F.col("key") < F.col("other"))) & (sure >= AGREE) & may_link("_b") & ~before)
+    return met.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"), sure.alias("agree"), (F.col("runs") + F.col("runs_b")).alias("size"))
 
 
 def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """a, b, agree, ra, rb: the pairs whose ends lie in different components, and these."""
+    """a, b, agree, size, ra, rb: the pairs whose ends lie in different components, and these."""
     named = _few(labels)
     for end, root in (("a", "ra"), ("b", "rb")):
         pairs = pairs.drop(root).join(named.select(F.col("node").alias("x"), F.col("root").alias(root)), F.col(end) == F.col("x"), "left").withColumn(root, F.coalesce(root, end)).drop("x")
@@ -180,10 +204,10 @@ def _join_components(pairs: DataFrame, labels: DataFrame, texts: DataFrame) -> D
         if k < ROUNDS:
             order = F.col("agree") * (1 << 48) + F.shiftrightunsigned(F.xxhash64("a", "b"), 16)
             of_two = pairs.groupBy(F.least("ra", "rb").alias("p"), F.greatest("ra", "rb").alias("q"))
-            tried = materialize(of_two.agg(F.max_by("a", order).alias("a"), F.max_by("b", order).alias("b")).select("a", "b"))
+            tried = materialize(of_two.agg(F.max_by(F.struct("a", "b", "size"), order).alias("x")).select("x.*"))
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         else:
-            tried = pairs.select("a", "b")
+            tried = pairs.select("a", "b", "size")
         found = _confirm(tried, texts)
         labels = materialize(components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)))
     return labels
@@ -200,13 +224,11 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = lines.withColumn("rank", _rank()).join(_few(wanted), F.col("key") == F.col("k"), "left")
     rows = materialize(rows.select("doc_id", "line", "rank", "key", F.when(F.col("rank") == F.col("first_doc"), F.col("own")).alias("own")))
     texts = materialize(rows.where("own is not null").select(F.col("key").alias("k"), "own").dropDuplicates(["k"]))
-    lists = materialize(lists.join(bitmaps(texts), F.col("key") == F.col("k")).drop("k"))
-    centres = lists.where("key = centre").select(F.col("band").alias("l"), F.col("sketch").alias("sb"), *[F.col(c).alias(f"{c}_b") for c in BITMAP])
-    pairs = skew_join(lists.where("key != centre"), centres, "band", "l").where((agreeing("sketch", "sb") >= AGREE) & may_link("_b"))
-    pairs = materialize(pairs.select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct())
+    maps = materialize(bitmaps(texts))
+    pairs = _first_pairs(lists, maps)
     links = _confirm(pairs, texts)
     labels = materialize(components(links))
-    labels = _join_components(materialize(_spanning(lists, labels).join(pairs, ["a", "b"], "left_anti")), labels, texts)
+    labels = _join_components(materialize(_spanning(lists.join(maps, F.col("key") == F.col("k")).drop("k"), labels).join(pairs, ["a", "b"], "left_anti")), labels, texts)
     return rows.select("doc_id", "line", "rank", "key"), classes, labels
 
 
