@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 from wayfold.llm import line_dedup
+from wayfold.llm.common import tables_so_far
 
 LINE = "see https://example.org/archive/northern-water-board/annual-report for details of it"
 
@@ -173,3 +174,33 @@ def test_bitmaps_part_long_lines(spark):
     like = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(len(texts)) for b in range(a + 1, len(texts))}
     assert {p for p, j in like.items() if j >= 0.8} <= passed and {(9, 10), (11, 12)} <= passed
     assert sum(0.5 <= j < 0.7 for j in like.values()) > 10 and all(like[p] >= 0.7 for p in passed)
+
+
+def test_bitmaps_of_all_lengths(spark):
+    """Bits of odd counts and set sizes, whether or not the shingles fill the rows that they are placed by."""
+    texts = [("ab" * 40 + LINE)[70 : 70 + n] for n in range(1, 45)] + ["ab" * 40, "é\U0001f600" * 9]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, own string")
+    sets = {r.k: r.s for r in rows.select("k", line_dedup.shingle_set("own").alias("s")).collect()}
+    maps = {r.k: r for r in line_dedup.bitmaps(rows).collect()}
+    assert maps.keys() == sets.keys() and len(sets[44]) == 2 and [len(sets[n - 1]) for n in (1, 8, 9, 40)] == [1, 1, 2, 32]
+    for k, own in sets.items():
+        want = [0] * line_dedup.WORDS
+        for h in own:
+            want[(h % (1 << 64)) >> 60] ^= 1 << (h & 63)
+        assert maps[k].runs == len(own) and [maps[k][f"w{w}"] % (1 << 64) for w in range(line_dedup.WORDS)] == want
+
+
+def test_tables_of_the_steps_go_at_once(spark):
+    rng = random.Random(2)
+    own = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(200)).strip() for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(own + [x + "q" for x in own] + [x[:150] for x in own])), "doc_id long, text string")
+    before = tables_so_far()
+    linked = line_dedup._linked(docs)
+    assert tables_so_far() - before <= 3 and linked[2].count() == 60
+
+
+def test_lines_on_no_pair_are_not_compared(spark):
+    """Of lists of two only agreeing pairs are, of others all members."""
+    lists = spark.createDataFrame([(1, 2), (2, 2), (3, 2), (4, 2), (5, 3), (6, 3), (7, 3)], "key long, n long")
+    pairs = spark.createDataFrame([(3, 4)], "a long, b long")
+    assert sorted(r.end for r in line_dedup._compared(lists, pairs).collect()) == [3, 4, 5, 6, 7]

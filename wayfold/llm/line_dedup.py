@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +36,8 @@ AGREE = 10
 #: Words of 64 bits in a class's bitmap (a power of two); a shingle's hash turns one bit over.
 WORDS = 16
 BITMAP = ("runs", *[f"w{w}" for w in range(WORDS)])
-#: Neighbouring runs that the signature takes in one row.
-STEP = 16
+#: Neighbouring runs that the signature takes in one row, and shingles that the bitmap does.
+STEP, PLACED = 16, 8
 #: So many keys are sent to all executors to pick their lines or lists; more are joined by shuffling.
 BROADCAST_KEYS = 1_000_000
 #: In each of GROUPINGS ways, members of a list that share SHARED more minima are a group.
@@ -91,10 +92,15 @@ def bitmaps(texts: DataFrame) -> DataFrame:
     """k, runs, w0 to w15 of (k, own): the number of the line's shingles, and the bits on which an odd number of their
     hashes fall."""
     # dealt by k, so that counting needs no exchange of the shingles
-    hashes = texts.repartition("k").select("k", F.explode(shingle_set("own")).alias("h"))
-    # the upper four bits name the word, the lower six the bit
-    placed = hashes.select("k", F.shiftrightunsigned("h", 65 - WORDS.bit_length()).alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
-    return placed.groupBy("k").agg(F.count(F.lit(1)).alias("runs"), *[F.bit_xor(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)])
+    sets = texts.repartition("k").select("k", shingle_set("own").alias("s"))
+    starts = sets.select("k", "s", F.explode(F.sequence(F.lit(0), F.size("s") - 1, F.lit(PLACED))).alias("i"))
+    hashes = starts.select("k", F.size("s").cast("long").alias("n"), *[F.get("s", F.col("i") + j).alias(f"h{j}") for j in range(PLACED)])
+    # the upper four bits name the word, the lower six the bit; beyond the end there are nulls, which are on no word
+    placed = [(F.col(f"word{j}"), F.col(f"bit{j}")) for j in range(PLACED)]
+    words = [F.shiftrightunsigned(f"h{j}", 65 - WORDS.bit_length()).alias(f"word{j}") for j in range(PLACED)]
+    hashes = hashes.select("k", "n", *words, *[F.expr(f"shiftleft(1L, cast(h{j} & 63 as int))").alias(f"bit{j}") for j in range(PLACED)])
+    odd = lambda w: reduce(Column.bitwiseXOR, [F.when(word == w, bit).otherwise(F.lit(0).cast("long")) for word, bit in placed])
+    return hashes.groupBy("k").agg(F.max("n").alias("runs"), *[F.bit_xor(odd(w)).alias(f"w{w}") for w in range(WORDS)])
 
 
 def may_link(other: str) -> Column:
@@ -133,8 +139,8 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 def _runs(own: str) -> Column:
     """Hashes of all runs of WIDTH characters (a shorter line: itself), found in two-byte units."""
     units = F.encode(F.col(own), "UTF-16BE")
-    last = F.octet_length(units).cast("int") / 2 - WIDTH
-    return _let(units, lambda u: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), last.cast("int"))), lambda i: F.xxhash64(F.substring(u, 2 * i + 1, F.lit(2 * WIDTH)))))
+    starts = lambda u: F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(u) - (2 * WIDTH - 1)), F.lit(2))
+    return _let(units, lambda u: F.transform(starts(u), lambda i: F.xxhash64(F.substring(u, i, F.lit(2 * WIDTH)))))
 
 
 def shingle_set(own: str) -> Column:
@@ -142,49 +148,83 @@ def shingle_set(own: str) -> Column:
     return F.array_distinct(_runs(own))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """end: the classes of pairs (a, b), each once."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct()
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Links: pairs (a, b, size; size is that of both shingle sets together) that have Jaccard similarity of PERCENT or
-    more. The lines move, being far smaller than their sets."""
+    more. The lines move, being far smaller than their sets, and only those of the pairs where these are few."""
+    start = tables_so_far()
+    ends = materialize(_ends(pairs))
+    if ends.count() <= BROADCAST_KEYS:
+        texts = texts.join(F.broadcast(ends), F.col("k") == F.col("end"), "left_semi")
     one = materialize(skew_join(pairs, texts, "b", "k").select("a", "b", "size", F.col("own").alias("ob")))
     met = skew_join(one, texts, "a", "k").select("a", "b", "size", F.size(F.array_intersect(_runs("own"), _runs("ob"))).alias("both"))
-    return materialize(met.where(100 * F.col("both") >= PERCENT * (F.col("size") - F.col("both"))).select("a", "b"))
+    links = materialize(met.where(100 * F.col("both") >= PERCENT * (F.col("size") - F.col("both"))).select("a", "b"))
+    drop_tables(start, (links,))
+    return links
 
 
-def _first_pairs(lists: DataFrame, maps: DataFrame) -> DataFrame:
-    """Pairs (a, b, size) that may link, of each member with its list's centre and with one member of each of its groups:
-    their number grows with that of the members."""
-    # a group of a list of two is the list
+def _first_pairs(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) that agree on AGREE minima, of each member with its list's centre and with one member of each of its
+    groups: their number grows with that of the members."""
+    start = tables_so_far()
+    # a group of a list of two is the list; a class is on a list, and so in a group, once
     dealt = lists.where("n > 2").select("key", "sketch", F.explode(F.array(*[F.xxhash64("band", F.lit(g), F.col("sketch").bitwiseAND(F.lit(m))) for g, m in enumerate(SHARES)])).alias("group"))
-    dealt = materialize(dealt.distinct())
-    one = dealt.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("key", "sketch"), F.xxhash64("key", "group")).alias("one")).where("n > 1")
-    one = materialize(one.select(F.col("group").alias("g"), F.col("one.key").alias("centre"), F.col("one.sketch").alias("sb")))
+    dealt = materialize(dealt)
+    # numbers are picked one by one, as a struct would be sorted for
+    order = F.xxhash64("key", "group")
+    one = dealt.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min_by("key", order).alias("centre"), F.min_by("sketch", order).alias("sb")).where("n > 1")
+    one = materialize(one.select(F.col("group").alias("g"), "centre", "sb"))
     in_groups = skew_join(dealt, one, "group", "g").select("key", "sketch", "centre", "sb")
     centres = materialize(lists.where("key = centre").select(F.col("band").alias("l"), F.col("sketch").alias("sb")))
     in_lists = skew_join(materialize(lists.where("key != centre").select("key", "sketch", "centre", "band")), centres, "band", "l").select("key", "sketch", "centre", "sb")
     alike = in_lists.unionByName(in_groups).where((F.col("key") != F.col("centre")) & (agreeing("sketch", "sb") >= AGREE))
     pairs = materialize(alike.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct())
+    drop_tables(start, (pairs,))
+    return pairs
+
+
+def _linkable(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """(a, b, size) of the pairs that may link."""
+    start = tables_so_far()
     one = materialize(skew_join(pairs, maps, "a", "k").drop("k"))
     other = maps.select("k", *[F.col(c).alias(f"{c}_b") for c in BITMAP])
-    return materialize(skew_join(one, other, "b", "k").where(may_link("_b")).select("a", "b", (F.col("runs") + F.col("runs_b")).alias("size")))
+    out = materialize(skew_join(one, other, "b", "k").where(may_link("_b")).select("a", "b", (F.col("runs") + F.col("runs_b")).alias("size")))
+    drop_tables(start, (out,))
+    return out
 
 
-def _spanning(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b, agree, size) on one list that lie in different components, agree on AGREE minima and may link, each
-    from the first list that both are on. A list is dealt over blocks of some BLOCK members by their keys; members outside
+def _compared(lists: DataFrame, pairs: DataFrame) -> DataFrame:
+    """end: the classes whose lines may still be compared. On a list of two only its pair is, if it agrees."""
+    return lists.where("n > 2").select(F.col("key").alias("end")).unionByName(_ends(pairs)).distinct()
+
+
+def _spanning(lists: DataFrame, maps: DataFrame, labels: DataFrame, done: DataFrame) -> DataFrame:
+    """Pairs (a, b, agree, size) on one list that lie in different components, agree on AGREE minima and may link, but for
+    those of done, each from the first list that both are on. A list is dealt over blocks of some BLOCK members by their keys; members outside
     its largest component go to all of them."""
+    start = tables_so_far()
     named = labels.withColumnsRenamed({"node": "x"})
-    held = materialize(lists.join(_few(named), F.col("key") == F.col("x"), "left").select("band", "place", "bands", "key", "sketch", *BITMAP, F.coalesce("root", "key").alias("root")))
+    # of a list of two the pair is already compared
+    held = materialize(lists.where("n > 2").join(_few(named), F.col("key") == F.col("x"), "left").select("band", "place", "bands", "key", "sketch", F.coalesce("root", "key").alias("root")))
     sizes = held.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
     several = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all"), F.max("n").alias("most"), F.max_by("root", "n").alias("main")).where("parts > 1")
-    # of a list of two the pair is already compared
-    several = materialize(several.where("all > 2").select(F.col("band").alias("l"), "main", F.ceil(F.col("all") / BLOCK).alias("blocks")))
-    held = materialize(skew_join(held, several, "band", "l").drop("l"))
+    several = materialize(several.select(F.col("band").alias("l"), "main", F.ceil(F.col("all") / BLOCK).alias("blocks")))
+    # the bitmaps come last, to members of the lists that are left
+    left = held.join(F.broadcast(several), F.col("band") == F.col("l")) if several.count() <= BROADCAST_KEYS else skew_join(held, several, "band", "l")
+    held = materialize(materialize(left.drop("l")).join(maps, F.col("key") == F.col("k")).drop("k"))
     members = held.select(F.col("band").alias("l"), F.pmod("key", "blocks").alias("block"), F.col("key").alias("other"), F.col("root").alias("its"), F.col("sketch").alias("sb"), F.col("bands").alias("bb"), *[F.col(c).alias(f"{c}_b") for c in BITMAP])
     strays = held.where("root != main").withColumn("own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     sure = agreeing("sketch", "sb")
     before = F.arrays_overlap(F.slice("bands", F.lit(1), F.col("place")), F.slice("bb", F.lit(1), F.col("place")))
     met = strays.join(members, (F.col("band") == F.col("l")) & (F.col("own") == F.col("block")) & (F.col("root") != F.col("its")) & ((F.col("its") == F.col("main")) | (F.col("key") < F.col("other"))) & (sure >= AGREE) & may_link("_b") & ~before)
-    return met.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"), sure.alias("agree"), (F.col("runs") + F.col("runs_b")).alias("size"))
+    met = met.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"), sure.alias("agree"), (F.col("runs") + F.col("runs_b")).alias("size"))
+    out = materialize(met.join(done, ["a", "b"], "left_anti"))
+    drop_tables(start, (out,))
+    return out
 
 
 def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -204,7 +244,7 @@ def _join_components(pairs: DataFrame, labels: DataFrame, texts: DataFrame) -> D
         if k < ROUNDS:
             order = F.col("agree") * (1 << 48) + F.shiftrightunsigned(F.xxhash64("a", "b"), 16)
             of_two = pairs.groupBy(F.least("ra", "rb").alias("p"), F.greatest("ra", "rb").alias("q"))
-            tried = materialize(of_two.agg(F.max_by(F.struct("a", "b", "size"), order).alias("x")).select("x.*"))
+            tried = materialize(of_two.agg(*[F.max_by(c, order).alias(c) for c in ("a", "b", "size")]).select("a", "b", "size"))
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         else:
             tried = pairs.select("a", "b", "size")
@@ -216,19 +256,25 @@ def _join_components(pairs: DataFrame, labels: DataFrame, texts: DataFrame) -> D
 def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, labels): doc_id, line, rank and key of all lines; a row per class; and (node, root) of the
     classes that are linked with others."""
+    start = tables_so_far()
     lines = lines_of(docs)
     classes = materialize(signatures(lines))
     lists = _lists(classes)
-    # the second and last pass over the texts: places of all lines, and the text of a class on some list
-    wanted = materialize(classes.join(_few(materialize(lists.select("key").distinct())), "key", "left_semi").select(F.col("key").alias("k"), "first_doc"))
+    pairs = _first_pairs(lists)
+    # the second and last pass over the texts: places of all lines, and the text of a class that may be compared
+    wanted = materialize(_compared(lists, pairs))
+    wanted = materialize(classes.join(_few(wanted), F.col("key") == F.col("end"), "left_semi").select(F.col("key").alias("k"), "first_doc"))
     rows = lines.withColumn("rank", _rank()).join(_few(wanted), F.col("key") == F.col("k"), "left")
     rows = materialize(rows.select("doc_id", "line", "rank", "key", F.when(F.col("rank") == F.col("first_doc"), F.col("own")).alias("own")))
     texts = materialize(rows.where("own is not null").select(F.col("key").alias("k"), "own").dropDuplicates(["k"]))
     maps = materialize(bitmaps(texts))
-    pairs = _first_pairs(lists, maps)
-    links = _confirm(pairs, texts)
-    labels = materialize(components(links))
-    labels = _join_components(materialize(_spanning(lists.join(maps, F.col("key") == F.col("k")).drop("k"), labels).join(pairs, ["a", "b"], "left_anti")), labels, texts)
+    pairs = _linkable(pairs, maps)
+    drop_tables(start, (classes, lists, rows, texts, maps, pairs))
+    labels = materialize(components(_confirm(pairs, texts)))
+    pairs = _spanning(lists, maps, labels, pairs)
+    drop_tables(start, (classes, rows, texts, labels, pairs))
+    labels = _join_components(pairs, labels, texts)
+    drop_tables(start, (classes, rows, labels))
     return rows.select("doc_id", "line", "rank", "key"), classes, labels
 
 
