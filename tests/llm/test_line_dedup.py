@@ -204,3 +204,16 @@ def test_lines_on_no_pair_are_not_compared(spark):
     lists = spark.createDataFrame([(1, 2), (2, 2), (3, 2), (4, 2), (5, 3), (6, 3), (7, 3)], "key long, n long")
     pairs = spark.createDataFrame([(3, 4)], "a long, b long")
     assert sorted(r.end for r in line_dedup._compared(lists, pairs).collect()) == [3, 4, 5, 6, 7]
+
+
+def test_texts_stay_where_they_are_for_few_numbers(spark):
+    docs = spark.createDataFrame([(i, f"{LINE}\nthe line of number {i} " + "xyz" * i) for i in range(5)], "doc_id long, text string")
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = line_dedup.remove_lines(docs)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sum(LINE in r.text for r in out.collect()) == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)

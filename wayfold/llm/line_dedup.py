@@ -321,6 +321,9 @@ def remove_lines(docs: DataFrame) -> DataFrame:
     """docs without the repeated lines, n_chars made anew where the table has it. All rows and columns stay, whatever
     their names; a text that loses all its lines becomes empty; null texts stay null."""
     gone = materialize(removed(docs))
+    # few numbers go to the texts, so that these stay where they are
+    numbers = gone.agg(F.sum(F.size("gone"))).first()[0] or 0
+    gone = F.broadcast(gone) if numbers <= BROADCAST_KEYS else gone
     # the table's columns travel as one, so that none of them clashes with the join's own
     out = docs.select(F.struct("*").alias("row")).join(gone, F.col("row.doc_id").eqNullSafe(F.col("doc_id")), "left")
     left = F.array_join(F.filter(F.transform(F.split("row.text", "\n"), lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull()), "\n")
