@@ -217,3 +217,14 @@ def test_texts_stay_where_they_are_for_few_numbers(spark):
         assert sum(LINE in r.text for r in out.collect()) == 1
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+
+
+def test_signatures_take_each_run_in_few_rows(spark):
+    """Lines of all lengths about the ends of rows: just their own runs, in as few rows of 32 as hold them."""
+    rows = [(n, n, bytearray((i * 37 + n * 11) % 251 for i in range(n)), max(1, n - 7)) for n in (1, 7, 8, 9, 38, 39, 40, 41, 70, 71, 72, 103, 400)]
+    made = line_dedup.hashed(spark.createDataFrame(rows, "key long, rank long, u binary, last int")).collect()
+    own = spark.createDataFrame([(n, u[i : i + 8]) for n, _, u, last in rows for i in range(last)], "key long, run binary").selectExpr("key", "hash(run) as h").collect()
+    for n, _, _, last in rows:
+        mine = [r for r in made if r.key == n]
+        assert len(mine) == -(-last // 32) and sorted(r.i for r in mine) == list(range(1, last + 1, 32))
+        assert {r[f"h{k}"] for r in mine for k in range(line_dedup.STEP)} == {r.h for r in own if r.key == n}

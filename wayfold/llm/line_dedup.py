@@ -37,7 +37,7 @@ AGREE = 10
 WORDS = 16
 BITMAP = ("runs", *[f"w{w}" for w in range(WORDS)])
 #: Neighbouring runs that the signature takes in one row, and shingles that the bitmap does.
-STEP, PLACED = 16, 8
+STEP, PLACED = 32, 8
 #: So many keys are sent to all executors to pick their lines or lists; more are joined by shuffling.
 BROADCAST_KEYS = 1_000_000
 #: In each of GROUPINGS ways, members of a list that share SHARED more minima are a group.
@@ -64,13 +64,19 @@ def _rank() -> Column:
     return F.coalesce("doc_id", F.lit((1 << 63) - 1))
 
 
+def hashed(bytes_of: DataFrame) -> DataFrame:
+    """key, rank, i, h0, h1, ...: hashes of STEP neighbouring runs a row, of (key, rank, u, last), a line's bytes and the
+    place of its last run."""
+    starts = bytes_of.select("key", "rank", "u", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(STEP))).alias("i"))
+    # beyond the end the last run is taken again, which changes no minimum; a plain if is less code than least()
+    return starts.select("key", "rank", "i", *[F.expr(f"hash(substring(u, if(last - i > {k}, i + {k}, last), {WIDTH}))").alias(f"h{k}") for k in range(STEP)])
+
+
 def signatures(lines: DataFrame) -> DataFrame:
     """A row per class: key, n_lines, first_doc, bands and sketch, three bits of each minimum. A row of the aggregate
     takes STEP runs, so that its buffers are touched once for these."""
     bytes_of = lines.select("key", _rank().alias("rank"), F.col("own").cast("binary").alias("u")).withColumn("last", F.greatest(F.lit(1), F.octet_length("u") - (WIDTH - 1)))
-    starts = bytes_of.select("key", "rank", "u", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(STEP))).alias("i"))
-    # beyond the end the last run is taken again, which changes no minimum
-    hashes = starts.select("key", "rank", "i", *[F.hash(F.substring(F.col("u"), F.least(F.col("i") + k, F.col("last")), F.lit(WIDTH))).alias(f"h{k}") for k in range(STEP)])
+    hashes = hashed(bytes_of)
     minima = [F.min(F.least(*[F.col(f"h{k}").bitwiseXOR(F.lit(p)) for k in range(STEP)])).alias(f"m{i}") for i, p in enumerate(POINTS)]
     made = hashes.groupBy("key").agg(F.count_if(F.col("i") == 1).alias("n_lines"), F.min("rank").alias("first_doc"), *minima)
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
